@@ -5,16 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stackloom.llm.mixing import mix_sources
 from stackloom.llm.near_dup import near_duplicates
+from stackloom.llm.sharding import kd_shards
 from stackloom.llm.tables import table
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_near_duplicates": op2_near_duplicates}
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_shards": op1_kd_shards,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op9_mix_sources": op9_mix_sources,
+}
 
 #: A-Z to a-z, and words, as the contracts have them.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,4 +48,20 @@ reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b F
 least AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
 FROM sets s LEFT JOIN least USING (doc_id)""",
+    "op9_mix_sources": f"""
+WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
+classed AS (SELECT *, len(bin(size)) * 16 + ((size << 4) >> len(bin(size))) AS class,
+    CAST('0x' || substr(md5('7' || doc_id), 1, 7) AS BIGINT) AS spread FROM sized),
+sources AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM sources),
+levelled AS (SELECT *, cap / weight AS own, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+common AS (SELECT arg_min(level, own) AS level FROM levelled WHERE level * weight <= cap),
+targets AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(cap AS DOUBLE), coalesce(c.level * weight, cap)) AS target,
+    CAST('0x' || substr(md5('7:' || coalesce(source, chr(0) || 'null')), 1, 7) AS BIGINT) % 1048576 / 1048576 AS u FROM levelled, common c),
+runs AS (SELECT *, spread % CAST(ceil(count(*) OVER (PARTITION BY source, class) / 20000.0) AS BIGINT) AS run FROM classed),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, run, size, doc_id) AS pos FROM runs)
+SELECT doc_id, size, source_size, target, size * CAST(floor(ratio * pos + u) - floor(ratio * (pos - 1) + u) AS BIGINT) AS taken
+FROM (SELECT n.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio
+    FROM numbered n JOIN targets t ON n.source IS NOT DISTINCT FROM t.source)""",
 }
