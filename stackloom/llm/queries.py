@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.llm import language
 from stackloom.llm.mixing import mix_sources
 from stackloom.llm.near_dup import near_duplicates
+from stackloom.llm.secrets import scan_secrets
 from stackloom.llm.sharding import kd_shards
 from stackloom.llm.tables import table
 
@@ -22,6 +24,23 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    base = F.filter("spans", lambda x: x["kind"] != "entropy")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    digest = F.sha2(F.concat_ws(",", F.transform(base, text)), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, F.concat_ws(",", F.transform("spans", text)).alias("spans"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    model = language.train(documents.filter(~out))
+    return language.predict(documents, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -29,6 +48,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_secrets": op3_secrets,
+    "op5_language": op5_language,
     "op9_mix_sources": op9_mix_sources,
 }
 
