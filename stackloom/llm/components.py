@@ -35,8 +35,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _open(pairs: DataFrame) -> bool:
+    """Whether some node links to two others, or to one that links on."""
+    links = pairs.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w"))
+    onward = links.select(F.col("v").alias("u"))
+    return not links.filter("v != w").select("u").union(links.join(onward, "u", "left_semi").select("u")).isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,18 +49,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     without an edge are not returned.
     """
     pairs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).dropna()
-    pairs = materialize(pairs.mapInArrow(_forest, "u long, v long").distinct(), "edges")
-    state = None
-    while (now := _state(pairs)) != state:
-        state = now
+    pairs = materialize(pairs.mapInArrow(_forest, "u long, v long"), "edges")
+    while _open(pairs):
         # large star: each node links its larger neighbours to the smallest it knows
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large, "edges")
         # small star: each node links its smaller neighbours, and itself, to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.filter("u > v").repartition("u").mapInArrow(_forest, "u long, v long").distinct(), "edges")
+        pairs = materialize(small.filter("u > v").repartition("u").mapInArrow(_forest, "u long, v long"), "edges")
     labels = pairs.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     return labels.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -7,12 +7,13 @@ is level + random part, and a document stops as soon as every slot is taken. Ban
 signature make buckets; buckets propose pairs; pairs are confirmed on the full shingle sets
 of the whole texts; confirmed links are grouped by union-find.
 
-Pairs come in rounds, never all at once. The first round compares every member of a bucket
-with its smallest member. A bucket whose members then share one component is finished.
-The others go on with blocks of centres (8, 64, 512, ... by rank): a centre is compared with
-the later members that are still in other components. The rounds end when no bucket has an
-uncompared pair across components, so no link is lost to a bucket's size and the work of a
-round stays proportional to its rows.
+Pairs come in two rounds, never all at once. The first compares every member of a bucket with
+one centre, the member that meets most others over all its buckets. A bucket whose members
+then share one component is finished. The documents of the others are joined by an exact
+prefix filter: a document's shingles are ordered by how few of these documents have them, and
+a pair is compared only if a shingle at the start of both leaves enough room behind it for
+the similarity asked for. So no link inside a bucket is lost, and copies with many changes,
+which have their own shingles in front, meet next to nothing.
 
 With 32 bands of 4 slots a pair at similarity 0.8 shares no bucket with probability 5e-8.
 """
@@ -126,17 +127,44 @@ def _confirmer(words: int, percent: int):
     return confirm
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, checked on whole texts."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(broadcast_if_small(ids, 16), "id", "left_semi").dropDuplicates(["id"])
-    texts = materialize(texts, "candidate-texts")
     joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     checked = joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_confirmer(words, percent), "a long, b long, linked boolean")
     return materialize(checked.filter("linked").select("a", "b"), "links")
 
 
+def _shingler(words: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = S.texts_of(batch.column(2))
+            for a, b in S.doc_groups(offsets):
+                hashes, counts = S.distinct(*S.shingle_hashes(*S.word_hashes(data, offsets[a : b + 1]), words))
+                take = np.repeat(np.arange(a, b), counts)
+                own = [pa.array(batch.column(i).to_numpy()[take]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.repeat(counts, counts)), pa.array(hashes.view(np.int64))], ["id", "label", "n", "shingle"])
+
+    return cut
+
+
+def _prefix_pairs(labelled_texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that can reach the similarity, from (id, label, text)."""
+    rows = materialize(labelled_texts.mapInArrow(_shingler(words), "id long, label long, n long, shingle long"), "shingles")
+    known = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")) - 1
+    prefix = rows.join(known, "shingle").withColumn("place", place).filter((F.col("df") > 1) & (F.col("place") * 100 <= F.col("n") * (100 - percent)))
+    prefix = materialize(prefix.drop("df"), "prefixes")
+    # Within a shingle's list one side leaves out the label that most of the list has.
+    most = prefix.groupBy("shingle", "label").agg(F.count("*").alias("x")).groupBy("shingle").agg(F.max_by("label", F.struct("x", "label")).alias("usual"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed = prefix.join(most, "shingle").drop("labels")
+    left = mixed.filter("label != usual").select("shingle", F.col("id").alias("a"), F.col("label").alias("own"), F.col("n").alias("an"), F.col("place").alias("at"))
+    room = F.least(F.col("n") - F.col("place"), F.col("an") - F.col("at"))
+    reaches = room * (100 + percent) >= (F.col("n") + F.col("an")) * percent
+    once = (F.col("label") == F.col("usual")) | (F.col("a") < F.col("id"))
+    pairs = left.join(mixed, "shingle").filter((F.col("own") != F.col("label")) & once & reaches)
+    return materialize(pairs.select("a", F.col("id").alias("b")).distinct(), "pairs")
+
+
 def near_duplicates(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -164,38 +192,30 @@ def near_duplicates(
     classes = materialize(usable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")), "classes")
 
     posted = classes.select("rep", "n", F.explode("bands").alias("band"))
-    buckets = posted.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most")).filter("members > 1")
-    near = F.col("n") * 100 >= F.col("centre_n") * percent
-    members = posted.join(buckets.select("band", "centre", "members"), "band")
-    members = materialize(members, "bucket-members")
-    stars = members.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"), "n").distinct()
-    sizes = classes.select(F.col("rep").alias("a"), F.col("n").alias("centre_n"))
-    stars = stars.join(sizes, "a").filter(near & (F.col("centre_n") * 100 >= F.col("n") * percent)).select("a", "b")
-    links = _confirmed(named, materialize(stars, "pairs"), "id", "text", words, percent)
+    met = posted.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    members = materialize(posted.join(met, "band"), "bucket-members")
+    # The documents of all buckets, their texts, and how many others each meets.
+    crowd = materialize(members.groupBy("rep").agg(F.sum("members").alias("meets"), F.first("n").alias("n")), "candidates")
+    texts = named.join(broadcast_if_small(crowd.select(F.col("rep").alias("id")), 16), "id", "left_semi")
+    texts = materialize(texts, "candidate-texts")
+
+    ranked = members.join(crowd.drop("n"), "rep")
+    centres = ranked.groupBy("band").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"), F.col("n").alias("centre_n"))).alias("c"))
+    stars = members.join(centres.select("band", (-F.col("c.minus")).alias("centre"), "c.centre_n"), "band").filter("rep != centre")
+    stars = stars.filter((F.col("n") * 100 >= F.col("centre_n") * percent) & (F.col("centre_n") * 100 >= F.col("n") * percent))
+    stars = materialize(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = _confirmed(texts, stars, words, percent)
     labels = materialize(connected_components(links), "labels")
 
-    # Buckets of three and more members can hold links that no centre has seen.
-    wide = members.filter("members > 2").select("band", "rep", "n")
-    low, high = 1, 8
-    while True:
-        labelled = wide.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        labelled = materialize(labelled, "labelled")
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y").filter(F.col("size") > low + 1).select("band")
-        labelled = labelled.join(mixed, "band", "left_semi")
-        by_rank = Window.partitionBy("band").orderBy("rep")
-        ranked = materialize(labelled.withColumn("rank", F.row_number().over(by_rank) - 1), "ranked")
-        if ranked.isEmpty():
-            break
-        centres = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("band", F.col("rep").alias("a"), F.col("n").alias("centre_n"), F.col("label").alias("own"), F.col("rank").alias("at"))
-        later = (F.col("label") != F.col("own")) & (F.col("rank") > F.col("at"))
-        pairs = ranked.filter(F.col("rank") > low).join(centres, "band").filter(later & near & (F.col("centre_n") * 100 >= F.col("n") * percent))
-        pairs = materialize(pairs.select("a", F.col("rep").alias("b")).distinct(), "pairs")
-        more = _confirmed(named, pairs, "id", "text", words, percent)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = materialize(connected_components(links), "labels")
-        wide = ranked.select("band", "rep", "n")
-        low, high = high, high * 8
+    # Buckets of three and more members can hold links that their centre has no part in.
+    labelled = members.filter("members > 2").select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    rest = labelled.join(mixed, "band", "left_semi").groupBy("rep").agg(F.first("label").alias("label"))
+    pairs = _prefix_pairs(texts.join(rest.withColumnRenamed("rep", "id"), "id").select("id", "label", "text").dropDuplicates(["id"]), words, percent)
+    more = _confirmed(texts, pairs, words, percent)
+    if not more.isEmpty():
+        labels = materialize(connected_components(links.union(more)), "labels")
 
     found = classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("d1", "d2", F.coalesce("label", "rep").alias("component"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.llm import chat, language, warc
+from stackloom.llm.decontaminate import find_leaks
+from stackloom.llm.licenses import scan_licenses
 from stackloom.llm.mixing import mix_sources
 from stackloom.llm.near_dup import near_duplicates
 from stackloom.llm.neighbours import nearest_neighbours
@@ -54,6 +56,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(chat.conversation_records(rows.union(extra))))
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -69,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_language": op5_language,
     "op6_chat": op6_chat,
+    "op7_leaks": op7_leaks,
+    "op8_licenses": op8_licenses,
     "op9_mix_sources": op9_mix_sources,
     "op10_neighbours": op10_neighbours,
 }
