@@ -2,8 +2,9 @@
 
 For every benchmark item the windows of a document with exactly the item's number of words
 are fingerprinted by SimHash over their word shingles, each weighted by its bytes. Windows
-that cannot reach the similarity are left out by an exact bound first: the weight of their
-shingles that occur in any item must be at least the item's share asked for. Fingerprints are
+that cannot reach the similarity are left out by an exact bound first: the weight of a
+window's shingles that occur in one item of its length must be the share asked for of that
+item's weight. Fingerprints are
 looked up in a multi-index: with BLOCKS blocks two fingerprints within RADIUS bits agree to
 RADIUS / BLOCKS bits in at least one block, so probing the blocks finds all within the radius.
 Candidates are verified by exact weighted-shingle similarity, sum of minima over sum of maxima.
@@ -81,10 +82,13 @@ class Items:
                 self.blocks[b].setdefault(row[b * step : (b + 1) * step].tobytes(), []).append(j)
         self.values = [np.frombuffer(b"".join(block), np.uint8).reshape(-1, step) for block in self.blocks]
         self.lists = [[np.array(x) for x in block.values()] for block in self.blocks]
-        # For each window length the least weight of known shingles that can be enough.
-        self.lengths: dict[int, float] = {}
-        for _, n, _, bag in self.rows:
-            self.lengths[n] = min(self.lengths.get(n, np.inf), least * sum(bag.values()))
+        # The items of each known shingle, one after another, and each item's weight.
+        pairs = sorted((h, j) for j, r in enumerate(self.rows) for h in r[3])
+        self.owners = np.array([j for _, j in pairs], np.int64)
+        self.owner_at = np.searchsorted(np.array([h for h, _ in pairs], np.uint64), np.append(self.shingles, 0))
+        self.owner_at[-1] = len(pairs)
+        self.totals = np.array([sum(r[3].values()) for r in self.rows], np.int64)
+        self.lengths = np.array([r[1] for r in self.rows], np.int64)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         maybe = self.table[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)]
@@ -104,26 +108,43 @@ class Items:
         near = np.unique(np.concatenate(near))
         return near[np.bitwise_count(self.prints[near] ^ print_).sum(axis=1) <= RADIUS]
 
+    def windows(self, hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, n_words: int) -> set[tuple[int, int]]:
+        """(first word, words) of the windows that can reach the similarity with some item."""
+        at = np.flatnonzero(known)
+        place = np.searchsorted(self.shingles, hashes[at])
+        counts = self.owner_at[place + 1] - self.owner_at[place]
+        item = self.owners[np.repeat(self.owner_at[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        where = np.repeat(at, counts)
+        have = np.bincount(item, weights=weights[where], minlength=len(self.rows))
+        found: set[tuple[int, int]] = set()
+        for j in np.flatnonzero(have >= self.least * self.totals).tolist():
+            length = int(self.lengths[j])
+            span = max(1, min(length, n_words) - self.k + 1)
+            own = where[item == j]
+            sums = np.concatenate(([0], np.cumsum(weights[own])))
+            # A window's own sum changes only where a matching shingle enters or leaves it.
+            starts = np.unique(np.clip(np.concatenate((own - span + 1, own, own + 1)), 0, len(hashes) - span))
+            inside = sums[np.searchsorted(own, starts + span)] - sums[np.searchsorted(own, starts)]
+            ends = np.append(starts[1:], len(hashes) - span + 1)
+            for i in np.flatnonzero(inside >= self.least * self.totals[j]).tolist():
+                found.update((x, length) for x in range(int(starts[i]), int(ends[i])))
+        return found
+
     def find(self, hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of its best window in one document."""
         found: dict[int, tuple[float, int, int]] = {}
-        sums = np.concatenate(([0], np.cumsum(np.where(known, weights, 0))))
-        for length, enough in self.lengths.items():
+        for at, length in sorted(self.windows(hashes, weights, known, n_words)):
             span = max(1, min(length, n_words) - self.k + 1)
-            if span > len(hashes):
-                continue
-            inside = sums[span:] - sums[: len(hashes) - span + 1]
-            for at in np.flatnonzero(inside >= enough).tolist():
-                own, own_weights = hashes[at : at + span], weights[at : at + span]
-                bag = None
-                for j in self.within(simhash(own, own_weights)).tolist():
-                    item, words, _, item_bag = self.rows[j]
-                    if words != length:
-                        continue
-                    bag = bag or _bag(own, own_weights)
-                    score = similarity(bag, item_bag)
-                    if score >= self.least and score > found.get(item, (0.0,))[0]:
-                        found[item] = (score, at, min(length, n_words))
+            own, own_weights = hashes[at : at + span], weights[at : at + span]
+            bag = None
+            for j in self.within(simhash(own, own_weights)).tolist():
+                item, words, _, item_bag = self.rows[j]
+                if words != length:
+                    continue
+                bag = bag or _bag(own, own_weights)
+                score = similarity(bag, item_bag)
+                if score >= self.least and score > found.get(item, (0.0,))[0]:
+                    found[item] = (score, at, min(length, n_words))
         return found
 
 
