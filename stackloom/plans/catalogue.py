@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.plans import cohort
+from stackloom.plans import cohort, ingest
 
-_MODULES = (cohort,)
+_MODULES = (cohort, ingest)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
