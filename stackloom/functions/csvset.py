@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def to_list(c: Column) -> Column:
     """Trimmed, non-empty parts; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def to_csv(array: Column) -> Column:

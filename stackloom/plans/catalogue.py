@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.plans import cohort, ingest
+from stackloom.plans import cohort, features, ingest
 
-_MODULES = (cohort, ingest)
+_MODULES = (cohort, ingest, features)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
