@@ -190,7 +190,7 @@ def find_leaks(
     counted and carried in passes of ITEMS items and ITEM_BYTES bytes at most, so its size is
     free. Documents without a leak give no row. Null and empty texts, and items with a null
     id or no words, match nothing; an item with fewer than `words` words is one shingle and
-    matches its exact sequence. Ids may be repeated: each row is searched alone. Extra columns
+    matches only a text that is the same sequence as a whole. Ids may be repeated: each row is searched alone. Extra columns
     are ignored.
     """
     spark = documents.sparkSession
