@@ -66,8 +66,8 @@ TEMPLATES = (
     Template("LGPL-3.0", "copyleft", ("lesser", "3"), "This work is licensed under the GNU Lesser General Public License, version 3."),
     Template("AGPL-3.0", "copyleft", ("affero", "3"), "This work is licensed under the GNU Affero General Public License, version 3."),
     Template("MPL-2.0", "copyleft", ("mozilla", "2.0"), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    Template("BSD-3-Clause", "permissive", ("bsd", "3"), "Licensed under the BSD 3-Clause License."),
-    Template("BSD-2-Clause", "permissive", ("bsd", "2"), "Licensed under the BSD 2-Clause License."),
+    Template("BSD-3-Clause", "permissive", ("bsd", "3-clause"), "Licensed under the BSD 3-Clause License."),
+    Template("BSD-2-Clause", "permissive", ("bsd", "2-clause"), "Licensed under the BSD 2-Clause License."),
     Template("CC-BY-4.0", "permissive", ("by", "4.0"), "Licensed under CC BY 4.0."),
     Template("CC-BY-4.0", "permissive", ("attribution", "4.0"), "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     Template("CC-BY-SA-4.0", "copyleft", ("by-sa", "4.0"), "Licensed under CC BY-SA 4.0."),
@@ -78,7 +78,7 @@ TEMPLATES = (
 )
 
 #: A block must hold one of these, in any case.
-TRIGGER = r"(?i)licen[sc]e|permission is hereby|free software|public domain|creative commons"
+TRIGGER = r"(?i)licen[sc]e|permission\s+is\s+hereby|free\s+software|public\s+domain|creative\s+commons"
 _TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Characters kept on each side of a trigger in a long line; the longest template has fewer.
@@ -86,7 +86,7 @@ REACH = 900
 #: A template is confirmed at this share of its words, and at most this share of other words inside.
 FOUND, OTHER = 0.85, 0.25
 #: Templates that the ranking passes on to the comparison of wording.
-RANKED = 4
+RANKED = 6
 
 
 def words_of(text: str) -> list[str]:
@@ -124,12 +124,12 @@ class Scanner:
         self.templates = templates
         self.words = [words_of(t.text) for t in templates]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        raw = [zstandard.ZstdCompressionDict((t.text.lower() + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for t in templates]
+        raw = [zstandard.ZstdCompressionDict((" ".join(w) + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False) for d in raw]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template), best first."""
-        data = block.lower().encode()
+    def ranked(self, words: list[str]) -> list[tuple[float, int]]:
+        """(share of the compressed size saved, template) of a block's words, best first."""
+        data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)), reverse=True)
 
@@ -139,7 +139,7 @@ class Scanner:
             block = text[a:b]
             spans = [m.span() for m in _WORD.finditer(block.lower())] if len(block.lower()) == len(block) else [m.span() for m in _WORD.finditer(block)]
             own = [block[s:e].lower() for s, e in spans]
-            for saved, i in self.ranked(block)[:RANKED]:
+            for saved, i in self.ranked(own)[:RANKED]:
                 if saved <= 0:
                     break
                 template = self.templates[i]
@@ -151,9 +151,9 @@ class Scanner:
                 key = (template.license, start)
                 if key not in best or (row["found"], row["saved"]) > (best[key]["found"], best[key]["saved"]):
                     best[key] = row
-        # Of matches that overlap the one with most of its template's words in order stays.
+        # Of matches that overlap the longest stays, counted by how well its wording fits.
         kept: list[dict] = []
-        for row in sorted(best.values(), key=lambda r: (-r["found"] * (r["end"] - r["start"]), r["start"], r["license"])):
+        for row in sorted(best.values(), key=lambda r: (-(r["found"] - r["other"]) * (r["end"] - r["start"]), r["start"], r["license"])):
             if all(row["end"] <= k["start"] or row["start"] >= k["end"] for k in kept):
                 kept.append(row)
         return sorted(kept, key=lambda r: r["start"])

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from stackloom.llm.tables import materialize
 
 BLOCK, QUERY_BLOCK = 16_384, 512
-#: Most directions (an orthonormal set, at random); the share of them in whose windows a
+#: Most directions, and about how many (whole orthonormal sets, at random); the share of them in whose windows a
 #: candidate lies; the share of a block in a first window; the widening factor; and the share
 #: of a block (and the multiple of k) that must be candidates before a search ends.
-DIRECTIONS, COLLISIONS, FIRST, WIDEN, SHARE, TIMES = 128, 0.875, 0.7, 1.06, 0.08, 6
+DIRECTIONS, USUAL, COLLISIONS, FIRST, WIDEN, SHARE, TIMES = 128, 96, 0.875, 0.7, 1.06, 0.08, 6
 
 
 class Block:
@@ -41,8 +41,9 @@ class Block:
         squares = (vectors * vectors).sum(axis=1)
         longest = np.sqrt(squares.max())
         lifted = np.column_stack((vectors / longest, np.sqrt(np.maximum(0.0, 1 - squares / longest**2))))
-        basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((lifted.shape[1],) * 2))
-        self.directions = basis[:, :DIRECTIONS]
+        rng, d = np.random.default_rng(seed), lifted.shape[1]
+        bases = [np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(max(1, round(USUAL / d)))]
+        self.directions = np.column_stack(bases)[:, :DIRECTIONS]
         projected = lifted @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.sort(projected, axis=0).T.copy()

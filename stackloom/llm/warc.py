@@ -95,7 +95,7 @@ class WarcReader(DataSourceReader):
             if isinstance(f, EqualTo | In) and column in (*_KEYS, "page_id"):
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.wanted[column] = self.wanted.get(column, values) & values
-            elif isinstance(f, IsNotNull) and column in ("refers_to", "page_id"):
+            elif isinstance(f, IsNotNull) and column in (*_KEYS, "page_id"):
                 self.wanted.setdefault(f"{column} is not null", set())
             elif isinstance(f, IsNull) and column == "refers_to":
                 self.wanted.setdefault("refers_to is null", set())
