@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.plans import cohort, features, ingest
+from stackloom.plans import cohort, features, ingest, review
 
-_MODULES = (cohort, ingest, features)
+_MODULES = (cohort, ingest, features, review)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
