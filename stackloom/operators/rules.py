@@ -59,7 +59,7 @@ def _entry(prefix: str, entry: dict) -> str:
     if "text" in entry:
         tests.append(_any([text(t) for t in entry["text"]]))
     if "starts" in entry:
-        tests.append(_any([f"starts_with({prefix}_text, {_quoted(t)})" for t in entry["starts"]]))
+        tests.append(_any([f"left({prefix}_text, {len(t)}) = {_quoted(t)}" for t in entry["starts"]]))
     tests += [token(t) for t in entry.get("all", ())]
     tests += [f"NOT {token(t)}" for t in entry.get("not", ())] + [f"NOT {text(t)}" for t in entry.get("not_text", ())]
     if "more_than" in entry:

@@ -155,10 +155,10 @@ def _classified_sql() -> str:
         cleaned = f"regexp_replace({text}, '[\\[\\]''\"()]', '', 'g')" if p in ("ss", "sv", "so") else text
         split = r"[\\/\s]+" if p == "it" else r"[,\s\\]+"
         tokens.append(f"{text} AS {p}_text, list_filter(regexp_split_to_array({cleaned}, '{split}'), lambda x: x <> '') AS {p}_tokens")
-    parts = ["s AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _HEADERS.items()) + " FROM lineitem)", f"s0 AS (SELECT *, {', '.join(tokens)} FROM s)"]
+    parts = ["s AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _HEADERS.items()) + " FROM lineitem)", f"s0 AS MATERIALIZED (SELECT *, {', '.join(tokens)} FROM s)"]
     stages = rules.stages()
     for i, stage in enumerate(stages):
-        parts.append(f"{'classified' if i == len(stages) - 1 else f's{i + 1}'} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage.items())} FROM s{i})")
+        parts.append(f"{'classified' if i == len(stages) - 1 else f's{i + 1}'} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage.items())} FROM s{i})".replace("cardinality(", "len("))
     return ",\n".join(parts)
 
 
