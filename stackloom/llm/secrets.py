@@ -101,9 +101,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _long_runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _long_runs(mask: np.ndarray, least: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of at least so many set places; a run ends at every cut."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    starts, ends = edges[::2], edges[1::2]
+    inner = np.unique(cuts[(cuts > 0) & (cuts < len(mask))])
+    inner = inner[mask[inner] & mask[inner - 1]]
+    starts, ends = np.sort(np.concatenate((edges[::2], inner))), np.sort(np.concatenate((edges[1::2], inner)))
     keep = ends - starts >= least
     return starts[keep], ends[keep]
 
@@ -111,7 +114,7 @@ def _long_runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Numbers of the documents that can hold a span of any kind."""
     base = int(offsets[0])
-    part = data[base : int(offsets[-1])]
+    part, borders = data[base : int(offsets[-1])], offsets - base
     raw = part.tobytes()
     lower = raw.lower()
     places = []
@@ -120,14 +123,14 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         while at >= 0:
             places.append(at)
             at = where.find(needle, at + 1)
-    starts, _ = _long_runs(_HEX[part], 16)
+    starts, _ = _long_runs(_HEX[part], 16, borders)
     places += starts.tolist()
     digit = (part >= 48) & (part <= 57)
-    starts, ends = _long_runs(_TOKEN[part], WINDOW)
+    starts, ends = _long_runs(_TOKEN[part], WINDOW, borders)
     if len(starts):
         upto = np.concatenate(([0], np.cumsum(digit)))
         places += starts[upto[ends] - upto[starts] >= 3].tolist()
-    return np.unique(np.searchsorted(offsets - base, np.array(places, np.int64), "right") - 1)
+    return np.unique(np.searchsorted(borders, np.array(places, np.int64), "right") - 1)
 
 
 def _scanner(allowed: tuple[str, ...]):

@@ -47,6 +47,21 @@ def test_secrets_on_whole_texts(spark):
     assert X.joined_spans([("hex", 1, 17)]) == "hex:1:17"
 
 
+def test_secrets_of_adjacent_texts(spark):
+    rng = random.Random(4)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    token = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
+    texts = ["0123456789abcdef" * 2] * 5 + [draw("0123456789abcdef", 40) for _ in range(20)] + [draw(token, 48) for _ in range(20)]
+    texts += ["ends in abc", draw("0123456789abcdef", 16), "", None, draw("0123456789abcdef", 16), "plain word", draw(token, 60), "AK", "IAABCDEFGHIJKLMNOP"]
+    rng.shuffle(texts)
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    together = {r.doc_id: r.spans for r in X.scan_secrets(documents(spark, rows).coalesce(1)).collect()}
+    allowed = re.compile("|".join(X.ALLOWED).replace("(?i)", ""), re.IGNORECASE)
+    for i, text in enumerate(texts):
+        alone = X.base_spans(text or "") + [(a, b, "entropy") for a, b in X.entropy_spans(text or "", allowed)]
+        assert [(s.start, s.end, s.kind) for s in together[i]] == sorted(alone, key=lambda s: (s[0], X.KINDS.index(s[2]), s[1])), text
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = L.held_out(docs["doc_id"])
