@@ -1,16 +1,21 @@
 """License scans by conditional compression.
 
-A candidate block is a line, a paragraph or a stretch around a license word in a long line.
-Each is compressed with zstandard alone and with every license template as a raw dictionary;
-the templates are ranked by how much they reduce its size. The best are confirmed by the
-exact differences in wording: the words of template and block are aligned, the share of the
-template's words found in order must be high, and the words that tell licenses apart (names,
-versions, clauses) must all be there.
+A candidate block is a line, a paragraph, a stretch around a license word in a long line, or,
+for each template, the words around a license word that one of its copies can reach, across
+lines and paragraphs. A template is compared with a block if the block holds enough of its
+words: an exact bound, no other template can be confirmed. The block is compressed with
+zstandard alone and with the template as a raw dictionary, and the template is confirmed by
+the exact differences in wording: the words of template and block are aligned, the share of
+the template's words found in order must be high, and the words that tell licenses apart
+(names, versions, clauses) must all be there.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -29,6 +34,21 @@ class Template:
     text: str
 
 
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+    "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+_BSD_TAIL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+
 #: Public license notices.
 TEMPLATES = (
     Template("MIT", "permissive", ("mit",), "Released under the MIT License."),
@@ -75,82 +95,172 @@ TEMPLATES = (
     Template("CC-BY-NC-SA-4.0", "noncommercial", ("by-nc-sa", "4.0"), "Licensed under CC BY-NC-SA 4.0."),
     Template("CC-BY-ND-4.0", "permissive", ("by-nd", "4.0"), "Licensed under CC BY-ND 4.0."),
     Template("CC0-1.0", "public", ("cc0", "1.0"), "Dedicated to the public domain under CC0 1.0."),
+    Template("MIT", "permissive", ("mit",), "under the MIT License"),
+    Template("MIT", "permissive", ("mit",), "under the terms of the MIT License"),
+    Template("Apache-2.0", "permissive", ("apache", "2.0"), "under the Apache License, Version 2.0"),
+    Template("Apache-2.0", "permissive", ("apache", "2.0"), "under the Apache License 2.0"),
+    *(
+        Template(name, "copyleft", needs, f"under the {title}, version {version}")
+        for name, title, version, needs in (
+            ("GPL-3.0", "GNU General Public License", "3", ("general", "3")),
+            ("GPL-2.0", "GNU General Public License", "2", ("general", "2")),
+            ("LGPL-3.0", "GNU Lesser General Public License", "3", ("lesser", "3")),
+            ("LGPL-2.1", "GNU Lesser General Public License", "2.1", ("lesser", "2.1")),
+            ("AGPL-3.0", "GNU Affero General Public License", "3", ("affero", "3")),
+        )
+    ),
+    *(
+        Template(
+            name,
+            "copyleft",
+            needs,
+            f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free "
+            f"Software Foundation, either version {version} of the License, or (at your option) any later version.",
+        )
+        for name, work, title, version, needs in (
+            ("GPL-2.0", "program", "GNU General Public License", "2", ("general", "2")),
+            ("LGPL-3.0", "library", "GNU Lesser General Public License", "3", ("lesser", "3")),
+            ("LGPL-2.1", "library", "GNU Lesser General Public License", "2.1", ("lesser", "2.1")),
+            ("AGPL-3.0", "program", "GNU Affero General Public License", "3", ("affero", "3")),
+        )
+    ),
+    Template("MPL-2.0", "copyleft", ("mozilla", "2.0"), "under the Mozilla Public License, version 2.0"),
+    Template("BSD-3-Clause", "permissive", ("bsd", "3-clause"), "under the BSD 3-Clause License"),
+    Template("BSD-2-Clause", "permissive", ("bsd", "2-clause"), "under the BSD 2-Clause License"),
+    Template("BSD-3-Clause", "permissive", ("redistribution", "endorse", "disclaimer"), f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}"),
+    Template("BSD-2-Clause", "permissive", ("redistribution", "disclaimer"), f"{_BSD_HEAD} {_BSD_TAIL}"),
+    *(
+        Template(name, kind, (part, "4.0"), f"licensed under a Creative Commons {part} 4.0 International License")
+        for name, kind, part in (
+            ("CC-BY-SA-4.0", "copyleft", "attribution-sharealike"),
+            ("CC-BY-NC-4.0", "noncommercial", "attribution-noncommercial"),
+            ("CC-BY-NC-SA-4.0", "noncommercial", "attribution-noncommercial-sharealike"),
+            ("CC-BY-ND-4.0", "permissive", "attribution-noderivatives"),
+        )
+    ),
+    *(
+        Template(name, kind, (f"{name}{end}".lower(),), f"SPDX-License-Identifier: {name}{end}")
+        for kind, ends, names in (
+            ("permissive", ("",), ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-4.0", "CC-BY-ND-4.0")),
+            ("copyleft", ("", "-only", "-or-later"), ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0")),
+            ("copyleft", ("",), ("MPL-2.0", "CC-BY-SA-4.0")),
+            ("noncommercial", ("",), ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0")),
+            ("public", ("",), ("CC0-1.0",)),
+        )
+        for name in names
+        for end in ends
+    ),
 )
 
 #: A block must hold one of these, in any case.
-TRIGGER = r"(?i)licen[sc]e|permission\s+is\s+hereby|free\s+software|public\s+domain|creative\s+commons"
+TRIGGER = "(?i)licen[sc]e|" + "|".join(x.replace(" ", "[^a-z0-9]+") for x in ("permission is hereby", "redistribution and use", "free software", "public domain", "creative commons"))
 _TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: Characters kept on each side of a trigger in a long line; the longest template has fewer.
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Characters kept on each side of a trigger in a long line or paragraph.
 REACH = 900
 #: A template is confirmed at this share of its words, and at most this share of other words inside.
 FOUND, OTHER = 0.85, 0.25
-#: Templates that the ranking passes on to the comparison of wording.
-RANKED = 6
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of candidate blocks: lines, paragraphs and stretches with a trigger."""
-    seen = set()
-    for m in _TRIGGER.finditer(text):
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        b = len(text) if b < 0 else b
-        spans = [(max(a, m.start() - REACH), min(b, m.end() + REACH)), (max(a, m.start() - 60), min(b, m.end() + 60))]
-        above, below = text.rfind("\n\n", 0, m.start()), text.find("\n\n", m.end())
-        spans.append((max(above + 2 if above >= 0 else 0, m.start() - REACH), min(below if below >= 0 else len(text), m.end() + REACH)))
-        for span in spans:
-            if span not in seen:
-                seen.add(span)
-                yield span
+def blocks(text: str, at: int, to: int) -> Iterator[tuple[int, int]]:
+    """Spans of the line, the paragraph and the stretch of a line around a trigger at at:to."""
+    a, b = text.rfind("\n", 0, at) + 1, text.find("\n", to)
+    b = len(text) if b < 0 else b
+    yield max(a, at - REACH), min(b, to + REACH)
+    yield max(a, at - 60), min(b, to + 60)
+    above, below = text.rfind("\n\n", 0, at), text.find("\n\n", to)
+    yield max(above + 2 if above >= 0 else 0, at - REACH), min(below if below >= 0 else len(text), to + REACH)
 
 
 def wording(template: list[str], block: list[str]) -> tuple[float, float, int, int]:
     """(share of the template's words in order, share of other words between them, first and
-    last matched word of the block)."""
+    last matched word of the block). Words matched far from the others, which make too many
+    others lie between, do not count."""
     parts = [p for p in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if p.size]
     if not parts:
         return 0.0, 1.0, 0, 0
-    same = sum(p.size for p in parts)
-    first, last = parts[0].b, parts[-1].b + parts[-1].size
-    return same / len(template), 1 - same / (last - first), first, last
+    while True:
+        same = sum(p.size for p in parts)
+        first, last = parts[0].b, parts[-1].b + parts[-1].size
+        if len(parts) == 1 or same >= (1 - OTHER) * (last - first):
+            return same / len(template), 1 - same / (last - first), first, last
+        lead = (parts[1].b - parts[0].b - parts[0].size) / parts[0].size
+        trail = (parts[-1].b - parts[-2].b - parts[-2].size) / parts[-1].size
+        parts.pop(0 if lead > trail else -1)
 
 
 class Scanner:
     def __init__(self, templates: tuple[Template, ...]):
         self.templates = templates
         self.words = [words_of(t.text) for t in templates]
+        self.bags = [Counter(w) for w in self.words]
+        #: Words from a trigger to the far end of a copy, at most: other words lie between.
+        self.reach = [math.ceil(len(w) / (1 - OTHER)) for w in self.words]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         raw = [zstandard.ZstdCompressionDict((" ".join(w) + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False) for d in raw]
 
-    def ranked(self, words: list[str]) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template) of a block's words, best first."""
+    def saved(self, words: list[str], i: int) -> float:
+        """Share of the compressed size of a block's words that template i saves."""
         data = " ".join(words).encode()
-        alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)), reverse=True)
+        return 1 - len(self.given[i].compress(data)) / len(self.plain.compress(data))
+
+    def possible(self, i: int, bag: Counter) -> bool:
+        """Whether words with these counts can confirm template i."""
+        if any(w not in bag for w in self.templates[i].needs):
+            return False
+        return sum(min(n, bag[w]) for w, n in self.bags[i].items()) >= FOUND * len(self.words[i])
+
+    def matches(self, i: int, words: list[str]) -> Iterator[tuple[float, float, int, int]]:
+        """Wordings in a block that confirm template i, also left and right of each other."""
+        open_ = [(0, len(words))]
+        while open_:
+            a, b = open_.pop()
+            if not self.possible(i, Counter(words[a:b])):
+                continue
+            found, other, first, last = wording(self.words[i], words[a:b])
+            if found < FOUND or other > OTHER:
+                continue
+            if set(self.templates[i].needs) <= set(words[a + first : a + last]):
+                yield found, other, a + first, a + last
+            open_ += [(a, a + first), (a + last, b)]
 
     def scan(self, text: str) -> list[dict]:
+        spans = [m.span() for m in _WORD.finditer(text.translate(_ASCII_LOWER))]
+        own = [text[s:e].lower() for s, e in spans]
+        starts, ends = [s for s, _ in spans], [e for _, e in spans]
+        present = [i for i, t in enumerate(self.templates) if set(t.needs) <= set(own)]
+        ranges: dict[tuple[int, int], list[int]] = {}  # words of a block -> templates
+        for m in _TRIGGER.finditer(text) if present else ():
+            for a, b in blocks(text, *m.span()):
+                ranges[bisect_left(starts, a), bisect_right(ends, b)] = present
+            first, last = bisect_right(ends, m.start()), bisect_left(starts, m.end())
+            for i in present:
+                around = (max(0, first - self.reach[i]), min(len(own), last + self.reach[i]))
+                have = ranges.setdefault(around, [])
+                if i not in have:
+                    ranges[around] = [*have, i]
         best: dict[tuple[str, int], dict] = {}
-        for a, b in blocks(text):
-            block = text[a:b]
-            spans = [m.span() for m in _WORD.finditer(block.lower())] if len(block.lower()) == len(block) else [m.span() for m in _WORD.finditer(block)]
-            own = [block[s:e].lower() for s, e in spans]
-            for saved, i in self.ranked(own)[:RANKED]:
-                if saved <= 0:
-                    break
-                template = self.templates[i]
-                found, other, first, last = wording(self.words[i], own)
-                if found < FOUND or other > OTHER or not set(template.needs) <= set(own[first:last]):
+        for (a, b), templates in ranges.items():
+            block = own[a:b]
+            bag = Counter(block)
+            for i in templates:
+                if not self.possible(i, bag):
                     continue
-                start, end = a + spans[first][0], a + spans[last - 1][1]
-                row = {"license": template.license, "kind": template.kind, "start": start, "end": end, "saved": round(saved, 6), "found": round(found, 6), "other": round(other, 6)}
-                key = (template.license, start)
-                if key not in best or (row["found"], row["saved"]) > (best[key]["found"], best[key]["saved"]):
-                    best[key] = row
+                template = self.templates[i]
+                for found, other, first, last in self.matches(i, block):
+                    start, end = starts[a + first], ends[a + last - 1]
+                    saved = self.saved(block, i)
+                    row = {"license": template.license, "kind": template.kind, "start": start, "end": end, "saved": round(saved, 6), "found": round(found, 6), "other": round(other, 6)}
+                    key = (template.license, start)
+                    rank = lambda r: (round((r["found"] - r["other"]) * (r["end"] - r["start"]), 6), r["found"], r["saved"])
+                    if key not in best or rank(row) > rank(best[key]):
+                        best[key] = row
         # Of matches that overlap the longest stays, counted by how well its wording fits.
         kept: list[dict] = []
         for row in sorted(best.values(), key=lambda r: (-(r["found"] - r["other"]) * (r["end"] - r["start"]), r["start"], r["license"])):

@@ -160,3 +160,70 @@ def test_licenses_are_told_apart(spark):
         assert got.get(800 + i) == {t.license}, (t, got.get(800 + i))
     assert 900 not in got and 901 not in got and not any(i is None or i < 300 for i in got)
     assert scan_licenses(documents(spark, [])).collect() == []
+
+
+MIT = """The software
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+
+def test_licenses_as_they_are_laid_out(spark):
+    rng = random.Random(6)
+    commented = lambda t: "\n".join(" * " + line for line in t.split("\n"))
+    notices = [
+        (MIT, ["MIT"]),
+        (commented(MIT), ["MIT"]),
+        (MIT.replace("free of charge", "at no cost").replace("\n", "\r\n"), ["MIT"]),
+        (MIT + "\n" + MIT, ["MIT", "MIT"]),
+        (BSD.format(""), ["BSD-2-Clause"]),
+        (BSD.format(NAMES), ["BSD-3-Clause"]),
+        (commented(BSD.format(NAMES)), ["BSD-3-Clause"]),
+        ("Licensed under the MIT License.", ["MIT"]),
+        ("Distributed under the\nMIT License", ["MIT"]),
+        ("Available under the Apache License, Version 2.0, see below.", ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        (TEMPLATES[4].text.replace("License. You", "License.\n\nYou").replace("http", "\n\n    http").replace("Unless", "\n\nUnless"), ["Apache-2.0"]),
+        (MIT[:600], []),
+        ("Licensed under the NIT License.", []),
+    ]
+    rows = [(i, prose(rng, 200) + "\n\n" + text + "\n\n" + prose(rng, 200), "en", "a") for i, (text, _) in enumerate(notices)]
+    got = {i: [] for i in range(len(notices))}
+    for r in sorted(scan_licenses(documents(spark, rows)).collect(), key=lambda r: r.start):
+        got[r.doc_id].append(r.license)
+    assert got == {i: want for i, (_, want) in enumerate(notices)}
