@@ -52,22 +52,24 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap: in
     return levelled.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, cap: int = 3) -> DataFrame:
+def mix_sources(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, cap: int = 3, row_col: str | None = None) -> DataFrame:
     """(id, size, source_size, target, copies, taken) for every row of documents.
 
     size is the number of words, 0 for null and empty texts; taken = copies * size. Null
     sources are one source; ids may be null or repeated: rows of one source that agree in
     size and id are interchangeable. An empty table gives no rows. Extra columns are ignored.
-    The offset depends on seed and source alone, so reruns agree.
+    The offset depends on seed and source alone, so reruns agree. row_col names a column that
+    tells rows of one id apart; it is returned too and breaks ties of size and id.
     """
-    rows = documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"))
+    key = [] if row_col is None else [row_col]
+    rows = documents.select(*key, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"))
     rows = materialize(rows.withColumn("class", size_class("size")), "sizes")
     targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cap=cap), "targets")
-    numbered = number_within(rows, ["source"], ["class"], ["size", "id"], hashed(F.col("id"), str(seed)), "at").alias("l")
+    numbered = number_within(rows, ["source"], ["class"], ["size", "id", *key], hashed(F.col("id"), str(seed)), "at").alias("l")
     joined = numbered.join(targets.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "source_size", "target")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.pmod(hashed(F.coalesce(F.col("source"), F.lit("\0null")), f"{seed}:"), F.lit(_STEPS)) / _STEPS
     crossed = F.floor(each * F.col("at") + offset) - F.floor(each * (F.col("at") - 1) + offset)
     copies = F.least(crossed, F.lit(cap)).cast("long")
     out = joined.withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*key, F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

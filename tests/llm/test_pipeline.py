@@ -45,3 +45,51 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, f"file://{tmp_path}") if "text" in empty.columns else empty
         assert empty.count() == 0
+
+
+def repeated(spark, path):
+    """Rows that repeat an id and their text, ids that stand for two texts, rows without an id."""
+    rng = random.Random(22)
+    item = prose(rng, 40, 2000)
+    twice = [(i, prose(rng, 50, 3000), "en", f"s{i % 2}") for i in range(40)]
+    rows = twice + twice + [(0, twice[1][1], "en", "s0"), (None, twice[2][1], "en", "s0")]
+    rows += [(100 + i, prose(rng, 50, 3000), "en", "s2") for i in range(5)]
+    rows += [(100 + i, prose(rng, 10, 3000) + " " + item, "en", "s2") for i in range(5)]
+    rows += [(None, prose(rng, 50, 3000), "en", "s2") for _ in range(5)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return rows, item, spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_decide_on_rows(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    rows, item, docs = repeated(spark, path)
+    own = lambda df: sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in df.collect()))
+    pairs = [(i if i is not None else -1, t) for i, t, *_ in rows]
+    junk = docs.limit(1).selectExpr("100L doc_id", "'12 34' text", "lang", "source", "n_chars")
+    assert own(P.language_id(spark, docs.union(junk), path)) == sorted(p for p in pairs if p[0] >= 0)
+    kept = P.near_dedup(spark, docs, path)
+    texts = {}
+    for i, t in pairs:
+        texts[t] = min(texts.get(t, (True, 0)), (i < 0, i))
+    found = own(kept)
+    assert [p for p in found if item not in p[1]] == sorted((i, t) for t, (_, i) in texts.items() if item not in t)
+    clean = P.decontaminate(spark, docs, path)
+    assert own(clean) == sorted(p for p in pairs if item not in p[1])
+    words = lambda r: len((r.text or "").split())
+    got, want = {}, {}
+    for r in P.mix(spark, docs, path).collect():
+        got[r.source] = got.get(r.source, 0) + words(r)
+    for r in P.mix_sources(docs).collect():
+        want[r.source_size, r.target] = want.get((r.source_size, r.target), 0) + r.taken
+    assert sorted(got.values()) == sorted(v for v in want.values() if v)
+
+
+def test_rows_are_numbered_apart(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    spark.range(1000).repartition(3).write.parquet(path)
+    read = spark.read.parquet(path)
+    for docs in (read, read.union(read), spark.read.parquet(path, path), read.filter("id > 5"), read.limit(0), spark.range(7)):
+        numbered = P._numbered(docs)
+        n = docs.count()
+        assert numbered.columns == ["id", P.ROW]
+        assert (numbered.count(), numbered.select(P.ROW).distinct().count()) == (n, n)
