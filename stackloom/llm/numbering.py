@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.llm.tables import materialize
+from stackloom.llm.tables import broadcast_if_small, materialize
 
 #: Rows that one task numbers, about.
 RUN_ROWS = 20_000
@@ -26,9 +26,8 @@ def number_within(df: DataFrame, group: list[str], strata: list[str], order: lis
     keys = [*group, *strata]
     rows = materialize(df.withColumn("__spread", spread), "to-number")
     match = lambda names: [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in names]
-    runs = rows.groupBy(*keys).agg(F.ceil(F.count("*") / RUN_ROWS).cast("long").alias("__runs"))
-    rows = rows.alias("l").join(runs.alias("r"), match(keys)).select("l.*", "__runs").withColumn("__run", F.pmod(F.col("__spread"), F.col("__runs")))
-    rows = materialize(rows, "runs")
+    runs = materialize(rows.groupBy(*keys).agg(F.ceil(F.count("*") / RUN_ROWS).cast("long").alias("__runs")), "runs")
+    rows = rows.alias("l").join(broadcast_if_small(runs, 64).alias("r"), match(keys)).select("l.*", "__runs").withColumn("__run", F.pmod(F.col("__spread"), F.col("__runs")))
     counts = rows.groupBy(*keys, "__run").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy(*strata, "__run").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))

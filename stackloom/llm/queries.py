@@ -20,7 +20,7 @@ from stackloom.llm.tables import table
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = kd_shards(table(spark, sf_dir, "documents"), shards=8)
-    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,33 @@ def test_mix_awkward_rows(spark):
     assert mix_sources(documents(spark, [])).collect() == []
     out = mix_sources(documents(spark, [(1, None, "en", "a"), (2, "", "en", None)])).collect()
     assert {(r.size, r.target, r.taken) for r in out} == {(0, 0.0, 0)}
+
+
+def test_as_many_shards_as_bytes_ask_for(spark):
+    """500 leaves: shares stay near equal, and what Spark has to plan does not grow with them."""
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randrange(5, 40)), rng.choice(["en", "fr"]), f"https://example.org/{rng.randrange(40)}") for i in range(8_000)]
+    table = documents(spark, rows).repartition(4)
+    total = sum(len((t or "").encode()) + 1 for _, t, *_ in rows)
+    few, many = kd_shards(table, 4), kd_shards(table, None, target_bytes=-(-total // 500))
+    plan = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(many) < 1.2 * plan(few) + 500
+    out = many.collect()
+    size = Counter()
+    for r in out:
+        size[r.shard] += r.size
+    assert set(size) == set(range(500)) and len(out) == len(rows)
+    mean = total / 500
+    assert all(0.4 * mean < s < 1.8 * mean for s in size.values())
+    check_slots(out)
+
+
+def test_whole_source_names_are_coordinates(spark):
+    """Sources that begin alike are told apart: a split by source keeps most sources whole."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 30), "en", f"https://site-{i % 8}.example/") for i in range(1600)]
+    out = kd_shards(documents(spark, rows), 8).collect()
+    where = defaultdict(Counter)
+    for r in out:
+        where[r.doc_id % 8][r.shard] += 1
+    assert sum(max(c.values()) for c in where.values()) > 0.4 * len(rows)
