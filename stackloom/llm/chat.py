@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints.
 
-A record is one JSON object of any known layout: messages, conversations, prompt and
-completion, instruction and output. The fingerprint of a layout is a hash of its nested field
-paths (lists are entered, so their length does not matter); it selects a declarative mapping,
-which turns the record into canonical turns. A template marks the turns, escapes control
+A record is one JSON object of any known layout: messages (texts or lists of parts),
+conversations, prompt and completion, instruction and output. The fingerprint of a layout is a
+hash of its nested field paths (lists are entered, so their length does not matter); paths that
+no mapping uses are left out, so ids and other extra fields do not matter either. It selects a
+declarative mapping, which turns the record into canonical turns; a record with the fields of
+several mappings gets the first of them. A template marks the turns, escapes control
 strings inside texts reversibly, and gives the spans of assistant text for the loss mask.
 """
 
@@ -42,36 +44,69 @@ def _role_of(line: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(line))
 
 
+def _text(value: object) -> str | None:
+    """A text field: null is empty, numbers are written out; None if it is neither."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    return json.dumps(value) if isinstance(value, int | float) else None
+
+
 @dataclass(frozen=True)
 class Mapping:
     """How a layout becomes turns.
 
-    turns: a list field whose elements have `role` and `text` fields; or fields: pairs of
-    (role, field names whose non-empty values are joined by a blank line).
+    turns: a list field whose elements have `role` and `text` fields; names: other names of
+    roles; parts: the text is a list whose elements hold it in this field; lead: (role, field)
+    of a turn before the list. Or fields: pairs of (role, field names whose non-empty values are
+    joined by a blank line).
     """
 
     paths: tuple[str, ...]
     turns: str = ""
     role: str = ""
     text: str = ""
+    parts: str = ""
+    names: tuple[tuple[str, str], ...] = ()
+    lead: tuple[str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
-    def apply(self, record: dict) -> list[tuple[str, str]]:
-        if self.turns:
-            known = {"human": "user", "gpt": "assistant", "bot": "assistant"}
-            rows = record.get(self.turns) or []
-            return [(known.get(r, r) if self.role == "from" else r, t) for r, t in ((x.get(self.role) or "", x.get(self.text) or "") for x in rows)]
-        return [(role, "\n\n".join(v for f in names if (v := record.get(f) or ""))) for role, names in self.fields if any(f in record for f in names)]
-
-
+    def apply(self, record: dict) -> list[tuple[str, str]] | None:
+        """The turns; None if some value is of another kind than the layout says."""
+        found: list[tuple[str | None, str | None]] = []
+        if self.lead and self.lead[1] in record:
+            found.append((self.lead[0], _text(record[self.lead[1]])))
+        for x in (record.get(self.turns) or []) if self.turns else []:
+            if not isinstance(x, dict):
+                return None
+            role, text = _text(x.get(self.role)), x.get(self.text)
+            if self.parts and isinstance(text, list):
+                pieces = [_text(p.get(self.parts)) if isinstance(p, dict) else None for p in text]
+                text = None if None in pieces else "".join(pieces)
+                found.append((dict(self.names).get(role, role), text))
+            else:
+                found.append((dict(self.names).get(role, role), _text(text)))
+        for role, names in self.fields:
+            if any(f in record for f in names):
+                pieces = [_text(record.get(f)) for f in names]
+                found.append((role, None if None in pieces else "\n\n".join(p for p in pieces if p)))
+        return None if any(r is None or t is None for r, t in found) else found
+
+
+_SPEAKERS = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
 MAPPINGS = (
-    Mapping(("messages[].role", "messages[].content"), turns="messages", role="role", text="content"),
-    Mapping(("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value"),
-    Mapping(("prompt", "completion"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
-    Mapping(("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping(("system", "prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Mapping(("instruction", "output"), fields=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Mapping(("instruction", "input", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
+    *(
+        Mapping((*paths, *lead), turns="messages", role="role", text="content", parts=parts, lead=("system", "system") if lead else None)
+        for paths, parts in ((("messages[].role", "messages[].content"), ""), (("messages[].role", "messages[].content[].text"), "text"), (("messages[].role", "messages[].content[].text", "messages[].content"), "text"))
+        for lead in (("system",), ())
+    ),
+    Mapping(("conversations[].from", "conversations[].value", "system"), turns="conversations", role="from", text="value", names=_SPEAKERS, lead=("system", "system")),
+    Mapping(("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", names=_SPEAKERS),
+    *(
+        Mapping((*lead, ask, *more, answer), fields=((("system", ("system",)),) if lead else ()) + (("user", (ask, *more)), ("assistant", (answer,))))
+        for ask, answer, extra in (("prompt", "completion", ()), ("prompt", "response", ()), ("instruction", "output", ("input",)), ("instruction", "response", ("input",)), ("question", "answer", ()))
+        for lead in (("system",), ())
+        for more in ((extra, ()) if extra else ((),))
+    ),
 )
 
 
@@ -111,21 +146,38 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
+def choose(record: object, mappings: tuple[Mapping, ...]) -> tuple[str | None, Mapping | None]:
+    """(fingerprint, mapping) of a record: by its known paths, or the first mapping they hold."""
+    if not isinstance(record, dict):
+        return None, None
+    known = {p for m in mappings for p in m.paths} | {f"{m.turns}[]" for m in mappings if m.turns}
+    paths = field_paths(record) & known
+    layout = fingerprint(paths)
+    for m in mappings:
+        if fingerprint(m.paths) == layout or (m.turns and paths == {f"{m.turns}[]"}):
+            return layout, m
+    return layout, next((m for m in mappings if set(m.paths) <= paths), None)
+
+
 def _formatter(mappings: tuple[Mapping, ...]):
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {fingerprint(m.paths): m for m in mappings}
-        empty = {fingerprint((f"{m.turns}[]",)): m for m in mappings if m.turns}
+        seen: dict[frozenset, tuple[str | None, Mapping | None]] = {}
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 try:
                     record = json.loads(text) if text is not None else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
-                layout = fingerprint(field_paths(record)) if isinstance(record, dict) else None
-                mapping = known.get(layout) or empty.get(layout)
-                formatted, spans = format_turns(mapping.apply(record)) if mapping else (None, None)
-                out.append((layout, formatted, spans and [{"start": a, "end": b} for a, b in spans] if spans is None or spans else []))
+                key = frozenset(field_paths(record)) if isinstance(record, dict) else frozenset()
+                if key not in seen:
+                    if len(seen) > 10_000:  # layouts without end, as from keys that are data
+                        seen.clear()
+                    seen[key] = choose(record, mappings)
+                layout, mapping = seen[key] if isinstance(record, dict) else (None, None)
+                turns = mapping.apply(record) if mapping else None
+                formatted, spans = format_turns(turns) if turns is not None else (None, None)
+                out.append((layout, formatted, None if spans is None else [{"start": a, "end": b} for a, b in spans]))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(_SPAN))], ["id", "layout", "formatted", "loss"])
 
@@ -136,22 +188,38 @@ def format_records(records: DataFrame, id_col: str = "conv_id", json_col: str =
     """(id, layout, formatted, loss) for every row of records, one JSON object each.
 
     layout is the fingerprint, loss an array of spans (start, end) in code points of the
-    formatted text. Texts without a known layout, null and malformed ones included, have a
-    null formatted and loss; nothing is dropped. Null roles and texts are empty. Ids may be
-    null or repeated. Extra columns are ignored.
+    formatted text. Texts without a known layout, null and malformed ones included, and those
+    whose values are of another kind than their layout says (a turn that is no object, a text
+    that is an object), have a null formatted and loss; nothing is dropped. Null roles and
+    texts are empty, numbers are written out. Ids may be null or repeated. Extra columns are
+    ignored.
     """
     id_type = records.schema[id_col].dataType.simpleString()
     return records.select(id_col, json_col).mapInArrow(_formatter(mappings), f"id {id_type}, layout string, formatted string, loss array<struct<start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
 
 
-def conversation_records(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def conversation_records(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", mixed: bool = False) -> DataFrame:
     """(id, record): the rows of each conversation as one JSON object of the messages layout,
     by turn, then role and text where turns tie; rows that repeat stay. A conversation is one
-    sample and must fit a row."""
+    sample and must fit a row. With mixed, the layouts vary by a hash of the id: messages,
+    messages of parts, conversations, and prompt or instruction for a user and an assistant row."""
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
     grouped = turns.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    messages = F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return grouped.select(F.col("id").alias(id_col), F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    as_messages = F.to_json(F.struct(F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    if not mixed:
+        return grouped.select(F.col("id").alias(id_col), as_messages.alias("record"))
+    part = lambda x: F.array(F.struct(F.lit("text").alias("type"), x["content"].alias("text")))
+    as_parts = F.to_json(F.struct(F.transform("rows", lambda x: F.struct(x["role"].alias("role"), part(x).alias("content"))).alias("messages")))
+    speaker = lambda x: F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"])
+    as_talk = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.transform("rows", lambda x: F.struct(speaker(x).alias("from"), x["content"].alias("value"))).alias("conversations")))
+    first, second = F.get("rows", F.lit(0)), F.get("rows", F.lit(1))
+    pair = (F.size("rows") == 2) & (first["role"] == "user") & (second["role"] == "assistant")
+    as_pair = F.to_json(F.struct(first["content"].alias("prompt"), second["content"].alias("response")))
+    as_task = F.to_json(F.struct(first["content"].alias("instruction"), F.lit("").alias("input"), second["content"].alias("output")))
+    own_names = F.exists("rows", lambda x: x["role"].isin("human", "gpt", "bot"))
+    turn = F.pmod(F.xxhash64("id"), F.lit(4))
+    record = F.when(pair & (turn < 2), F.when(turn == 0, as_pair).otherwise(as_task)).when((turn == 2) & ~own_names, as_talk).when(turn == 3, as_parts).otherwise(as_messages)
+    return grouped.select(F.col("id").alias(id_col), record.alias("record"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,15 +2,16 @@
 
 For every benchmark item the windows of a document with exactly the item's number of words
 are fingerprinted by SimHash over their word shingles, each weighted by its bytes. Windows
-that cannot reach the similarity are left out by an exact bound first: the weight of a
-window's shingles that occur in one item of its length must be the share asked for of that
-item's weight. Fingerprints are
-looked up in a multi-index: with BLOCKS blocks two fingerprints within RADIUS bits agree to
-RADIUS / BLOCKS bits in at least one block, so probing the blocks finds all within the radius.
-Candidates are verified by exact weighted-shingle similarity, sum of minima over sum of maxima.
-
-A window at similarity 0.8 lies beyond the radius with probability of about 2e-5; verbatim
-windows have distance 0.
+that cannot reach the similarity with any item are left out by an exact bound first: the
+weight of a window's shingles that occur in one item of its length must be the share asked
+for of that item's weight. Fingerprints are looked up in a multi-index: with BLOCKS blocks two
+fingerprints within RADIUS bits agree to RADIUS // BLOCKS bits in at least one block, so
+looking up every block value that near finds all within the radius. Candidates are verified
+by exact weighted-shingle similarity, sum of minima over sum of maxima.
+
+A window at similarity 0.8 lies beyond the radius with probability of about 2e-5: the items
+by which the bound let a window through are verified whatever their distance, so none is lost.
+Items with fewer words than a shingle are found as exact sequences of their own length.
 """
 
 from __future__ import annotations
@@ -26,18 +27,20 @@ from stackloom.llm import shingles as S
 
 BITS, BLOCKS, RADIUS = 128, 8, 36
 #: Items that one pass over the documents carries, and the most bytes of their texts.
-ITEMS, ITEM_BYTES = 20_000, 64 << 20
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
+#: All differences of two block values that are near enough.
+_NEAR = np.array([x for x in range(1 << BITS // BLOCKS) if x.bit_count() <= RADIUS // BLOCKS], np.int64)
 
 
 def _weigh(data: np.ndarray, offsets: np.ndarray, k: int):
-    """(shingle hashes, weights, counts, words, spans) of each text; a weight is the bytes of
-    the shingle's words. A text with fewer than k words has its whole sequence as one."""
+    """(shingle hashes, weights, counts, words, starts, ends, word hashes) of each text; a weight is the bytes of
+    the shingle's words. A text with fewer than k words has none."""
     hashes, counts, starts, ends = S.word_hashes(data, offsets, S.NON_ALNUM, lower=False, spans=True)
-    own, own_counts = S.shingle_hashes(hashes, counts, k)
+    own, own_counts = S.shingle_hashes(hashes, counts, k, whole_if_shorter=False)
     size = np.concatenate(([0], np.cumsum(ends - starts)))
     first = np.repeat(np.cumsum(counts) - counts, own_counts) + (np.arange(len(own)) - np.repeat(np.cumsum(own_counts) - own_counts, own_counts))
     last = np.minimum(first + k, np.repeat(np.cumsum(counts), own_counts))
-    return own, (size[last] - size[first]).astype(np.int64), own_counts, counts, starts, ends
+    return own, (size[last] - size[first]).astype(np.int64), own_counts, counts, starts, ends, hashes
 
 
 def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -47,76 +50,84 @@ def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.packbits((2 * bits - 1).T @ weights > 0)
 
 
-def similarity(a: dict[int, int], b: dict[int, int]) -> float:
-    """Weighted Jaccard of two bags: shingle -> weight times occurrences."""
-    both = sum(min(w, b[h]) for h, w in a.items() if h in b)
-    return both / max(1, sum(a.values()) + sum(b.values()) - both)
+def _bag(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bag of shingles: sorted distinct hashes, and weight times occurrences of each."""
+    known, place = np.unique(hashes, return_inverse=True)
+    return known, np.bincount(place, weights=weights, minlength=len(known)).astype(np.int64)
 
 
-def _bag(hashes: np.ndarray, weights: np.ndarray) -> dict[int, int]:
-    bag: dict[int, int] = {}
-    for h, w in zip(hashes.tolist(), weights.tolist(), strict=True):
-        bag[h] = bag.get(h, 0) + w
-    return bag
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard of two bags."""
+    _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(a[1][x], b[1][y]).sum())
+    return both / max(1, int(a[1].sum()) + int(b[1].sum()) - both)
 
 
 class Items:
-    """Fingerprints, bags and the block index of a bounded set of benchmark items."""
+    """Fingerprints, bags and indexes of a bounded set of benchmark items, all in flat arrays."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int, least: float):
         self.k, self.least = k, least
-        own, weights, counts, words, _, _ = _weigh(*S.texts_of(pa.array(texts, pa.string())), k)
-        ends = np.cumsum(counts)
-        self.rows = []
-        for i, e, c, n in zip(ids, ends.tolist(), counts.tolist(), words.tolist(), strict=True):
-            if c:
-                self.rows.append((i, n, simhash(own[e - c : e], weights[e - c : e]), _bag(own[e - c : e], weights[e - c : e])))
-        self.shingles = np.unique(own)
+        own, weights, counts, words, _, _, word_hashes = _weigh(*S.texts_of(pa.array(texts, pa.string())), k)
+        long = np.flatnonzero(words >= k)
+        self.ids, self.lengths, ends = np.array(ids, np.int64)[long], words[long], np.cumsum(counts)[long]
+        parts = [slice(e - c, e) for e, c in zip(ends.tolist(), counts[long].tolist(), strict=True)]
+        self.bags = [_bag(own[p], weights[p]) for p in parts]
+        self.prints = np.array([simhash(own[p], weights[p]) for p in parts], np.uint8).reshape(-1, BITS // 8)
+        self.totals = np.array([int(w.sum()) for _, w in self.bags], np.int64)
+        # The items of each known shingle, one after another.
+        hashes = np.concatenate([h for h, _ in self.bags]) if len(long) else np.zeros(0, np.uint64)
+        owners = np.repeat(np.arange(len(long)), [len(h) for h, _ in self.bags])
+        order = np.lexsort((owners, hashes))
+        self.owners = owners[order]
+        self.shingles, at = np.unique(hashes[order], return_index=True)
+        self.owner_at = np.append(at, len(order))
         self.table = np.zeros(1 << 22, bool)  # quick refusal before the exact search
         self.table[(self.shingles & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.prints = np.array([r[2] for r in self.rows], np.uint8).reshape(-1, BITS // 8)
-        step = BITS // BLOCKS // 8
-        self.blocks = [{} for _ in range(BLOCKS)]  # block value -> items
-        for j, row in enumerate(self.prints):
-            for b in range(BLOCKS):
-                self.blocks[b].setdefault(row[b * step : (b + 1) * step].tobytes(), []).append(j)
-        self.values = [np.frombuffer(b"".join(block), np.uint8).reshape(-1, step) for block in self.blocks]
-        self.lists = [[np.array(x) for x in block.values()] for block in self.blocks]
-        # The items of each known shingle, one after another, and each item's weight.
-        pairs = sorted((h, j) for j, r in enumerate(self.rows) for h in r[3])
-        self.owners = np.array([j for _, j in pairs], np.int64)
-        self.owner_at = np.searchsorted(np.array([h for h, _ in pairs], np.uint64), np.append(self.shingles, 0))
-        self.owner_at[-1] = len(pairs)
-        self.totals = np.array([sum(r[3].values()) for r in self.rows], np.int64)
-        self.lengths = np.array([r[1] for r in self.rows], np.int64)
+        # For each block the items in the order of its values, and where each value starts.
+        values = self.prints.view(">u2").astype(np.int64).reshape(-1, BLOCKS)
+        self.block_items = [np.argsort(values[:, b], kind="stable") for b in range(BLOCKS)]
+        self.block_at = [np.searchsorted(np.sort(values[:, b]), np.arange((1 << BITS // BLOCKS) + 1)) for b in range(BLOCKS)]
+        # Short items: for each length the hashes of their whole sequences, sorted, and their ids.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        first = np.cumsum(words) - words
+        for n in range(1, k):
+            some = np.flatnonzero(words == n)
+            if len(some):
+                sequences = np.concatenate([word_hashes[a : a + n] for a in first[some].tolist()])
+                whole, _ = S.shingle_hashes(sequences, np.full(len(some), n), n, whole_if_shorter=False)
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], np.array(ids, np.int64)[some][order]
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         maybe = self.table[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)]
         at = np.flatnonzero(maybe)
-        place = np.minimum(np.searchsorted(self.shingles, hashes[at]), len(self.shingles) - 1)
-        maybe[at] = self.shingles[place] == hashes[at]
+        if len(at):
+            place = np.minimum(np.searchsorted(self.shingles, hashes[at]), len(self.shingles) - 1)
+            maybe[at] = self.shingles[place] == hashes[at]
         return maybe
 
     def within(self, print_: np.ndarray) -> np.ndarray:
         """Items whose fingerprints lie within RADIUS: those near in some block, checked whole."""
-        step, near = BITS // BLOCKS // 8, []
-        for b in range(BLOCKS):
-            apart = np.bitwise_count(self.values[b] ^ print_[b * step : (b + 1) * step]).sum(axis=1)
-            near += [self.lists[b][i] for i in np.flatnonzero(apart <= RADIUS // BLOCKS)]
+        near = []
+        for b, value in enumerate(print_.view(">u2").astype(np.int64).tolist()):
+            at = self.block_at[b]
+            from_, to = at[value ^ _NEAR], at[(value ^ _NEAR) + 1]
+            near += [self.block_items[b][x:y] for x, y in zip(from_[to > from_].tolist(), to[to > from_].tolist(), strict=True)]
         if not near:
             return np.zeros(0, np.int64)
         near = np.unique(np.concatenate(near))
         return near[np.bitwise_count(self.prints[near] ^ print_).sum(axis=1) <= RADIUS]
 
-    def windows(self, hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, n_words: int) -> set[tuple[int, int]]:
-        """(first word, words) of the windows that can reach the similarity with some item."""
+    def windows(self, hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, n_words: int) -> dict[tuple[int, int], list[int]]:
+        """(first word, words) of the windows that can reach the similarity with some item -> those items."""
         at = np.flatnonzero(known)
         place = np.searchsorted(self.shingles, hashes[at])
         counts = self.owner_at[place + 1] - self.owner_at[place]
         item = self.owners[np.repeat(self.owner_at[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
         where = np.repeat(at, counts)
-        have = np.bincount(item, weights=weights[where], minlength=len(self.rows))
-        found: set[tuple[int, int]] = set()
+        have = np.bincount(item, weights=weights[where], minlength=len(self.ids))
+        found: dict[tuple[int, int], list[int]] = {}
         for j in np.flatnonzero(have >= self.least * self.totals).tolist():
             length = int(self.lengths[j])
             span = max(1, min(length, n_words) - self.k + 1)
@@ -127,26 +138,40 @@ class Items:
             inside = sums[np.searchsorted(own, starts + span)] - sums[np.searchsorted(own, starts)]
             ends = np.append(starts[1:], len(hashes) - span + 1)
             for i in np.flatnonzero(inside >= self.least * self.totals[j]).tolist():
-                found.update((x, length) for x in range(int(starts[i]), int(ends[i])))
+                for x in range(int(starts[i]), int(ends[i])):
+                    found.setdefault((x, length), []).append(j)
         return found
 
     def find(self, hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of its best window in one document."""
         found: dict[int, tuple[float, int, int]] = {}
-        for at, length in sorted(self.windows(hashes, weights, known, n_words)):
+        for (at, length), certain in sorted(self.windows(hashes, weights, known, n_words).items()):
             span = max(1, min(length, n_words) - self.k + 1)
             own, own_weights = hashes[at : at + span], weights[at : at + span]
-            bag = None
-            for j in self.within(simhash(own, own_weights)).tolist():
-                item, words, _, item_bag = self.rows[j]
-                if words != length:
+            bag = _bag(own, own_weights)
+            for j in sorted({*certain, *self.within(simhash(own, own_weights)).tolist()}):
+                if self.lengths[j] != length:
                     continue
-                bag = bag or _bag(own, own_weights)
-                score = similarity(bag, item_bag)
+                item, score = int(self.ids[j]), similarity(bag, self.bags[j])
                 if score >= self.least and score > found.get(item, (0.0,))[0]:
                     found[item] = (score, at, min(length, n_words))
         return found
 
+    def find_short(self, word_hashes: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word in it, words) where a short item first stands in a document."""
+        for n, (whole, ids) in self.short.items():
+            own, counts = S.shingle_hashes(word_hashes, words, n, whole_if_shorter=False)
+            low, high = np.searchsorted(whole, own), np.searchsorted(whole, own, "right")
+            hits = np.flatnonzero(high > low)
+            doc = np.searchsorted(np.cumsum(counts), hits, "right")
+            at = hits - (np.cumsum(counts) - counts)[doc]
+            seen = set()
+            for h, d, a in zip(hits.tolist(), doc.tolist(), at.tolist(), strict=True):
+                for item in ids[low[h] : high[h]].tolist():
+                    if (d, item) not in seen:
+                        seen.add((d, item))
+                        yield d, item, a, n
+
 
 def _finder(shipped):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,17 +181,19 @@ def _finder(shipped):
             data, offsets = S.texts_of(batch.column(1))
             out: list[tuple] = []
             for a, b in S.doc_groups(offsets):
-                own, weights, counts, words, starts, ends = _weigh(data, offsets[a : b + 1], items.k)
+                own, weights, counts, words, starts, ends, word_hashes = _weigh(data, offsets[a : b + 1], items.k)
                 known = items.known(own)
                 upto = np.concatenate(([0], np.cumsum(known)))
                 stops, word_starts = np.cumsum(counts), np.cumsum(words) - words
+                found = [(i, item, 1.0, at, n) for i, item, at, n in items.find_short(word_hashes, words)]
                 for i in np.flatnonzero(upto[stops] - upto[stops - counts] > 0).tolist():
                     part = slice(stops[i] - counts[i], stops[i])
-                    for item, (score, at, length) in items.find(own[part], weights[part], known[part], int(words[i])).items():
-                        first, last = word_starts[i] + at, word_starts[i] + at + length - 1
-                        before = data[offsets[a + i] : starts[first]].tobytes().decode("utf-8", "replace")
-                        inside = data[starts[first] : ends[last]].tobytes().decode("utf-8", "replace")
-                        out.append((a + i, item, score, len(before), len(before) + len(inside)))
+                    found += [(i, item, *best) for item, best in items.find(own[part], weights[part], known[part], int(words[i])).items()]
+                for i, item, score, at, length in found:
+                    first, last = word_starts[i] + at, word_starts[i] + at + length - 1
+                    before = data[offsets[a + i] : starts[first]].tobytes().decode("utf-8", "replace")
+                    inside = data[starts[first] : ends[last]].tobytes().decode("utf-8", "replace")
+                    out.append((a + i, item, score, len(before), len(before) + len(inside)))
             at, item, score, start, end = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["id", "item_id", "similarity", "start", "end"])
 
@@ -189,9 +216,10 @@ def find_leaks(
     Words are runs of letters, digits and non-ASCII characters, lower-cased. The benchmark is
     counted and carried in passes of ITEMS items and ITEM_BYTES bytes at most, so its size is
     free. Documents without a leak give no row. Null and empty texts, and items with a null
-    id or no words, match nothing; an item with fewer than `words` words is one shingle and
-    matches only a text that is the same sequence as a whole. Ids may be repeated: each row is searched alone. Extra columns
-    are ignored.
+    id or no words, match nothing; an item with fewer than `words` words is found where a
+    document holds exactly its words in a row. Ids may be null or repeated: each row of the
+    documents is searched alone, and repeated items give a row each for items of one id only
+    once. Extra columns are ignored.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.lower(F.coalesce(item_text_col, F.lit(""))).alias("text")).filter("id is not null and text != ''")

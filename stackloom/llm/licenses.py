@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Template:
     license: str
-    kind: str  # permissive, copyleft, noncommercial, public
+    kind: str  # permissive, copyleft, noncommercial, noderivatives, public
     needs: tuple[str, ...]  # words without which a block is another license
     text: str
 
@@ -93,7 +93,7 @@ TEMPLATES = (
     Template("CC-BY-SA-4.0", "copyleft", ("by-sa", "4.0"), "Licensed under CC BY-SA 4.0."),
     Template("CC-BY-NC-4.0", "noncommercial", ("by-nc", "4.0"), "Licensed under CC BY-NC 4.0."),
     Template("CC-BY-NC-SA-4.0", "noncommercial", ("by-nc-sa", "4.0"), "Licensed under CC BY-NC-SA 4.0."),
-    Template("CC-BY-ND-4.0", "permissive", ("by-nd", "4.0"), "Licensed under CC BY-ND 4.0."),
+    Template("CC-BY-ND-4.0", "noderivatives", ("by-nd", "4.0"), "Licensed under CC BY-ND 4.0."),
     Template("CC0-1.0", "public", ("cc0", "1.0"), "Dedicated to the public domain under CC0 1.0."),
     Template("MIT", "permissive", ("mit",), "under the MIT License"),
     Template("MIT", "permissive", ("mit",), "under the terms of the MIT License"),
@@ -135,13 +135,14 @@ TEMPLATES = (
             ("CC-BY-SA-4.0", "copyleft", "attribution-sharealike"),
             ("CC-BY-NC-4.0", "noncommercial", "attribution-noncommercial"),
             ("CC-BY-NC-SA-4.0", "noncommercial", "attribution-noncommercial-sharealike"),
-            ("CC-BY-ND-4.0", "permissive", "attribution-noderivatives"),
+            ("CC-BY-ND-4.0", "noderivatives", "attribution-noderivatives"),
         )
     ),
     *(
         Template(name, kind, (f"{name}{end}".lower(),), f"SPDX-License-Identifier: {name}{end}")
         for kind, ends, names in (
-            ("permissive", ("",), ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-4.0", "CC-BY-ND-4.0")),
+            ("permissive", ("",), ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "CC-BY-4.0")),
+            ("noderivatives", ("",), ("CC-BY-ND-4.0",)),
             ("copyleft", ("", "-only", "-or-later"), ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0")),
             ("copyleft", ("",), ("MPL-2.0", "CC-BY-SA-4.0")),
             ("noncommercial", ("",), ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0")),

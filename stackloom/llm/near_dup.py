@@ -153,12 +153,14 @@ def _shingler(words: int):
 def _prefix_pairs(labelled_texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different labels that can reach the similarity, from (id, label, text)."""
     rows = materialize(labelled_texts.mapInArrow(_shingler(words), "id long, label long, n long, shingle long"), "shingles")
-    known = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    # Written, so that the join's exchange is its own and a frequent shingle's rows can be split.
+    known = materialize(rows.groupBy("shingle").agg(F.count("*").alias("df")), "frequencies")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")) - 1
     prefix = rows.join(known, "shingle").withColumn("place", place).filter((F.col("df") > 1) & (F.col("place") * 100 <= F.col("n") * (100 - percent)))
     prefix = materialize(prefix.drop("df"), "prefixes")
     # Within a shingle's list one side leaves out the label that most of the list has.
     most = prefix.groupBy("shingle", "label").agg(F.count("*").alias("x")).groupBy("shingle").agg(F.max_by("label", F.struct("x", "label")).alias("usual"), F.count("*").alias("labels")).filter("labels > 1")
+    most = materialize(most, "usual-labels")
     mixed = prefix.join(most, "shingle").drop("labels")
     left = mixed.filter("label != usual").select("shingle", F.col("id").alias("a"), F.col("label").alias("own"), F.col("n").alias("an"), F.col("place").alias("at"))
     room = F.least(F.col("n") - F.col("place"), F.col("an") - F.col("at"))

@@ -1,11 +1,12 @@
 """Secret scans: three base patterns, and sliding-window entropy over candidate strings.
 
 A batch of texts is first searched as bytes: keywords, AKIA, runs of hexadecimal digits and
-long runs of token characters with digits. Only texts with one of these are decoded; there
+long runs of token characters with digits or capitals. Only texts with one of these are decoded; there
 the patterns run over the whole text. A candidate string is cut into maximal runs of each
 character class, a window slides over a run, and its Shannon entropy follows from the two
 counts that change with each step. Windows at or above the class's threshold merge into
-spans of kind `entropy`, unless an allow-list entry explains the string.
+spans of kind `entropy`, unless ordinary words and numbers between separators, the host of an
+address or an allow-list entry explain the window: a path in front of a key does not hide it.
 """
 
 from __future__ import annotations
@@ -36,13 +37,17 @@ CLASSES = (
     ("upper", re.compile(r"[A-Z0-9]{20,}"), 3.4),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.75),
 )
-#: Strings that are no secrets however they look: addresses, paths, identifiers, placeholders.
+#: What is no secret however it looks: identifiers and placeholders. Only windows that touch one are suppressed.
 ALLOWED = (
-    r"(?i)^(?:https?|www|ftp)\b",
-    r"^/*(?:[\w-]+/){2,}",
-    r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])",
     r"(?i)(?:example|dummy|placeholder|changeme|abcdefgh|01234567|xxxx)",
 )
+#: Ordinary parts of paths and compound names: a word, a number, or a short word with a number.
+_ORDINARY = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]{1,3}[0-9]{1,4})(?![A-Za-z0-9])")
+#: A window counts if so many of its characters belong to no ordinary part.
+LEAST_STRANGE = 15
+#: A string without digits needs so many capitals, small letters and changes between them.
+_CAPITALS, _CHANGES = 4, 5
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _TOKEN = np.array([chr(b) in "+/_=-" or (b < 128 and chr(b).isalnum()) for b in range(256)])
@@ -68,21 +73,35 @@ def windows_entropy(text: str, window: int = WINDOW) -> list[float]:
     return out
 
 
+def _drawn(part: str) -> bool:
+    """Whether a window holds the mixture of characters that random strings have."""
+    digits, letters = sum(c.isdigit() for c in part), sum(c.isalpha() for c in part)
+    if digits:
+        return letters >= 3
+    upper = [c.isupper() for c in part if c.isalpha()]
+    return sum(upper) >= _CAPITALS and len(upper) - sum(upper) >= _CAPITALS and sum(a != b for a, b in zip(upper, upper[1:], strict=False)) >= _CHANGES
+
+
 def entropy_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int]]:
-    """Merged spans of random-looking windows of text, with digits and letters in each."""
+    """Merged spans of random-looking windows of text that nothing explains."""
     found: list[tuple[int, int]] = []
     for candidate in CANDIDATE.finditer(text):
-        if allowed.search(candidate[0]) or text[max(0, candidate.start() - 3) : candidate.start()] == "://":
-            continue
+        a, b = candidate.span()
+        explained = [0] * (b - a + 1)  # how many characters before each place are explained
+        for m in _ORDINARY.finditer(candidate[0]):
+            explained[m.start() + 1 : m.end() + 1] = [1] * (m.end() - m.start())
+        if text[max(0, a - 3) : a] == "://":  # the host, or user and host, of an address
+            end = candidate[0].find("/") if "/" in candidate[0] else b - a
+            explained[1 : end + 1] = [1] * end
+        for m in allowed.finditer(candidate[0]):
+            explained[m.start() + 1 : m.end() + 1] = [WINDOW] * (m.end() - m.start())
+        for i in range(b - a):
+            explained[i + 1] += explained[i]
         for _, pattern, least in CLASSES:
-            for run in pattern.finditer(text, candidate.start(), candidate.end()):
-                own = run[0]
-                for i, bits in enumerate(windows_entropy(own)):
-                    if bits < least:
-                        continue
-                    part = own[i : i + WINDOW]
-                    digits, letters = sum(c.isdigit() for c in part), sum(c.isalpha() for c in part)
-                    if digits >= 3 and letters >= 3:
+            for run in pattern.finditer(text, a, b):
+                for i, bits in enumerate(windows_entropy(run[0])):
+                    at = run.start() - a + i
+                    if bits >= least and explained[at + WINDOW] - explained[at] <= WINDOW - LEAST_STRANGE and _drawn(run[0][i : i + WINDOW]):
                         found.append((run.start() + i, run.start() + i + WINDOW))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -125,11 +144,11 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             at = where.find(needle, at + 1)
     starts, _ = _long_runs(_HEX[part], 16, borders)
     places += starts.tolist()
-    digit = (part >= 48) & (part <= 57)
+    digit, capital = (part >= 48) & (part <= 57), (part >= 65) & (part <= 90)
     starts, ends = _long_runs(_TOKEN[part], WINDOW, borders)
     if len(starts):
-        upto = np.concatenate(([0], np.cumsum(digit)))
-        places += starts[upto[ends] - upto[starts] >= 3].tolist()
+        digits, capitals = (np.concatenate(([0], np.cumsum(x))) for x in (digit, capital))
+        places += starts[(digits[ends] > digits[starts]) | (capitals[ends] - capitals[starts] >= _CAPITALS)].tolist()
     return np.unique(np.searchsorted(borders, np.array(places, np.int64), "right") - 1)
 
 

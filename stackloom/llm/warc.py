@@ -16,8 +16,10 @@ of any other record, and of all records with payload=false, is skipped by seekin
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -128,12 +130,14 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         for path in partition.paths:
-            system, inner = fs.FileSystem.from_uri(path)
+            system, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
             with system.open_input_file(inner) as raw:
-                yield from self._file(raw)
+                if inner.endswith(".gz"):  # members in a row; skipping means reading on
+                    yield from self._file(gzip.GzipFile(fileobj=raw), float("inf"))
+                else:
+                    yield from self._file(raw, raw.size())
 
-    def _file(self, raw) -> Iterator[tuple]:
-        end = raw.size()
+    def _file(self, raw, end: float) -> Iterator[tuple]:
         at, buffer, start = 0, b"", 0  # buffer holds raw[start:]
 
         def need(n: int) -> bytes:
@@ -146,8 +150,10 @@ class WarcReader(DataSourceReader):
 
         while at < end:
             size = 4096
-            while (cut := (head := need(min(size, end - at))).find(b"\r\n\r\n")) < 0 and at + size < end:
+            while (cut := (head := need(int(min(size, end - at)))).find(b"\r\n\r\n")) < 0 and at + size < end and len(head) >= size:
                 size *= 2
+            if not head.strip():
+                break
             if cut < 0:
                 raise ValueError("a WARC header does not end")
             lines = head[:cut].decode("utf-8").split("\r\n")
@@ -189,12 +195,13 @@ class WarcSource(DataSource):
 def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_bytes: int = 64 << 20) -> DataFrame:
     """The records of all archives below path, with SCHEMA's columns.
 
-    Spark lists the files, so any store that it reads can be listed; executors open them by
-    URI. With payload, payload_digest is computed from a response's bytes, otherwise it is
+    Files named *.warc, *.warc.gz and Spark's part-* are read. Spark lists them, so any store that
+    it reads can be listed; executors open them by URI with pyarrow, which knows local files,
+    hdfs, s3 (s3a and s3n are taken as s3) and gs. With payload, payload_digest is computed from a response's bytes, otherwise it is
     the header's. Revisits have no payload; their payload_bytes come from the HTTP headers.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "length").collect()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{part-*,*.warc,*.warc.gz}").load(path).select("path", "length").collect()
     spark.dataSource.register(WarcSource)
     reader = spark.read.format("warc").option("files", json.dumps([[r.path, r.length] for r in listed]))
     return reader.option("payload", str(payload).lower()).option("partition_bytes", str(partition_bytes)).load()

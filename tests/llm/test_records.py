@@ -38,19 +38,37 @@ def test_layouts_become_the_same_turns(spark):
         (8, "not json"),
         (None, None),
         (9, json.dumps([1, 2])),
+        (10, json.dumps({"messages": [1, 2]})),
+        (11, json.dumps({"messages": [{"role": "user", "content": {"deep": 1}}, {"role": "assistant", "content": "b"}]})),
+        (12, json.dumps({"prompt": 7, "response": None})),
+        (13, json.dumps({"messages": [{"role": 3, "content": 4.5}]})),
+        (14, json.dumps({"id": "x", "name": "y", "messages": [{"role": "user", "content": "a", "weight": 1}, {"role": "assistant", "content": "b"}]})),
+        (15, json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}]}, {"role": "assistant", "content": "b"}]})),
+        (16, json.dumps({"system": "s", "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]})),
+        (17, json.dumps({"prompt": "a", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]})),
+        (18, json.dumps({"prompt": {"a": 1}, "response": "b"})),
+        (19, "[" * 5000),
     ]
     out = {r.conv_id: r for r in chat.format_records(spark.createDataFrame(rows, "conv_id long, record string").withColumn("formatted", F.lit("clash"))).collect()}
     assert len(out) == len(rows)
     assert {out[i].formatted for i in range(1, 6)} == {chat.format_turns([("user", "a"), ("assistant", "b")])[0]}
     assert len({out[i].layout for i in range(1, 6)}) == 5
-    assert out[6].formatted == "" and all(out[i].formatted is None for i in (7, 8, None, 9))
+    assert out[6].formatted == "" and all(out[i].formatted is None for i in (7, 8, None, 9, 10, 11, 18, 19))
+    assert {out[i].formatted for i in (14, 15, 17)} == {out[1].formatted} and out[14].layout == out[1].layout
+    assert out[12].formatted == chat.format_turns([("user", "7"), ("assistant", "")])[0]
+    assert out[13].formatted == chat.format_turns([("3", "4.5")])[0]
+    assert out[16].formatted == chat.format_turns([("system", "s"), ("user", "a"), ("assistant", "b")])[0]
 
 
 def test_conversations_read_back(spark):
     rows = [(c, t, r, HOSTILE[(c + t) % len(HOSTILE)]) for c in range(30) for t, r in enumerate(["system", "user", "assistant", "user", "assistant"])]
     rows += [(40, 0, "user", None), (40, 1, None, "x"), (40, 1, None, "x"), (40, 1, "assistant", "y"), (None, 0, "user", "z"), (41, None, "assistant", "t" * 100_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1)).repartition(5)
-    out = {r.conv_id: r for r in chat.read_back(chat.format_records(chat.conversation_records(turns))).collect()}
+    rows += [(50 + c, t, r, HOSTILE[(c + t) % len(HOSTILE)]) for c in range(12) for t, r in enumerate(["user", "assistant"])] + [(70 + c, 0, r, "who") for c, r in enumerate(["human", "gpt", "bot"] * 3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1)).repartition(5)
+    records = chat.conversation_records(turns, mixed=True)
+    assert chat.format_records(records).select("layout").distinct().count() == 5
+    out = {r.conv_id: r for r in chat.read_back(chat.format_records(records)).collect()}
     for c in {r[0] for r in rows}:
         own = sorted(((t if t is not None else -1, r or "", x or "") for i, t, r, x in rows if i == c))
         loss = "".join(x for _, r, x in own if r == "assistant")
@@ -109,6 +127,42 @@ def test_predicates_reach_the_headers(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_compressed_archives_are_read(spark, tmp_path):
+    """A record for each gzip member, under a name of its own, as archives are passed around."""
+    import gzip
+
+    rows, pages = pages_table(spark)
+    path = fresh_path(spark, "test-warc")
+    warc.write_warc(pages, path)
+    plain = b"".join(bytes(x.content) for x in spark.read.format("binaryFile").load(path).collect())
+    cuts = [m.start() for m in re.finditer(rb"WARC/1\.1\r\nWARC-Type: re[a-z]+\r\nWARC-Record-ID", plain)] + [len(plain)]
+    with open(tmp_path / "crawl.warc.gz", "wb") as f:
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            f.write(gzip.compress(plain[a:b]))
+    key = lambda r: (r.page_id, r.record_type, r.payload or b"", r.payload_digest)
+    want = sorted(map(key, warc.read_warc(spark, path).collect()))
+    assert sorted(map(key, warc.read_warc(spark, f"file://{tmp_path}").collect())) == want
+    some = warc.read_warc(spark, f"file://{tmp_path}").filter("record_type = 'revisit'").count()
+    assert some == sum(r[1] == "revisit" for r in want)
+
+
+def test_recall_on_the_given_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in table.collect()}
+    ids = np.array(sorted(vectors))
+    all_ = np.stack([vectors[i] for i in ids])
+    found = {}
+    for r in nearest_neighbours(table, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recalls = []
+    for q in ids[ids % 20 == 0]:
+        scores = all_ @ vectors[q]
+        scores[ids == q] = -np.inf
+        recalls.append(len(found[q] & set(ids[np.lexsort((ids, -scores))[:20]].tolist())) / 20)
+    print("recall", np.mean(recalls), min(recalls))
+    assert np.mean(recalls) >= 0.9 and min(recalls) >= 0.5
+
+
 def test_neighbours_reach_nine_tenths(spark):
     rng = np.random.default_rng(7)
     vectors = rng.standard_normal((4000, 32)) * rng.uniform(0.5, 2, (4000, 1))

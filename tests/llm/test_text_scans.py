@@ -29,7 +29,8 @@ def test_secrets_on_whole_texts(spark):
         (303, "x0123456789abcdefz", "hex"),
         (304, "blob Zx9Qw3Er7Ty1Ui5Op8As2Df6Gh4Jk0 end", "entropy"),
     ]
-    clean = [(310, "token: short"), (311, "AKIASHORT"), (312, "0123456789abcde"), (313, "https://a.example.com/path/0123456789/AbCdEfGhIjKlMnOp12345"), (314, "ſecret=abcdefghijklmnop"), (315, "password=secret: abcdefghijklmnop")]
+    planted += [(305, "in config/prod/wJalrXUtnF3MI/K7MD3NG/bPxRfiCY9X4MPL3KQY1 now", "entropy"), (306, "see https://h.example/q/Zx9Qw3Er7Ty1Ui5Op8As2Df6Gh4Jk0", "entropy")]
+    clean = [(320, "src/main/java/org/apache/commons/lang3/StringUtils"), (321, "user_account_settings_2024_final_version_v2"), (322, "id 123e4567-e89b-12d3-a456-426614174000."), (323, "Rindfleischetikettierungsgesetz getElementsByClassNameAndTag"), (310, "token: short"), (311, "AKIASHORT"), (312, "0123456789abcde"), (313, "https://a.sub.net/path/2024/articles/about-us-and-our-friends-of-old"), (314, "ſecret=abcdefghijklmnop"), (315, "password=secret: abcdefghijklmnop")]
     rows = awkward_rows() + [(i, t, "en", "a") for i, t, _ in planted] + [(i, t, "en", "a") for i, t in clean]
     texts = {i: t or "" for i, t, *_ in rows}
     out = X.scan_secrets(documents(spark, rows)).collect()
@@ -62,6 +63,17 @@ def test_secrets_of_adjacent_texts(spark):
         assert [(s.start, s.end, s.kind) for s in together[i]] == sorted(alone, key=lambda s: (s[0], X.KINDS.index(s[2]), s[1])), text
 
 
+def test_random_keys_are_found():
+    """Keys drawn at random, of several lengths and alphabets, alone and behind a path."""
+    rng, allowed = random.Random(14), re.compile("|".join(X.ALLOWED).replace("(?i)", ""), re.IGNORECASE)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, least in ((letters + "0123456789", 0.95), (letters + "0123456789+/", 0.9), (letters, 0.9)):
+        for n in (20, 32, 40, 64):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            assert sum(bool(X.entropy_spans(f"a {k} b", allowed)) for k in keys) >= least * 300, (alphabet, n)
+            assert sum(bool(X.entropy_spans(f"config/prod/{k}", allowed)) for k in keys) >= least * 300, (alphabet, n)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = L.held_out(docs["doc_id"])
@@ -108,8 +120,10 @@ def brute_leaks(text, item, k=5, least=0.8):
     own, want = words(text or ""), words(item)
     best = 0.0
     if own and want:
-        if len(want) < k:  # one shingle: only the same sequence as a whole
-            return float(own == want)
+        if len(want) < k:  # exactly these words in a row
+            return float(any(own[i : i + len(want)] == want for i in range(len(own))))
+        if len(own) < k:
+            return 0.0
         target = bag(want)
         span = min(len(want), len(own))
         for at in range(len(own) - span + 1):
@@ -121,7 +135,7 @@ def brute_leaks(text, item, k=5, least=0.8):
 
 def test_leaks_match_brute_force(spark):
     rng = random.Random(12)
-    items = [(i, prose(rng, rng.randrange(12, 50), 3000)) for i in range(12)] + [(50, "tiny item"), (51, ""), (52, None), (None, "no id but words")]
+    items = [(i, prose(rng, rng.randrange(12, 50), 3000)) for i in range(12)] + [(50, "tiny item"), (53, "Item"), (54, "a tiny item, HERE"), (51, ""), (52, None), (None, "no id but words")]
     rows = [r for r in awkward_rows() if r[0] != 206]
     for i, text in items[:12]:
         words = text.split(" ")
