@@ -18,7 +18,7 @@ leaves' room, which is the median where no large group is involved.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +80,9 @@ def _keys_of(cells: pa.Array, place: pa.Array, dims: int) -> np.ndarray:
     return (flat << inside) + low.astype(np.int64)[:, None]
 
 
-def _cells(documents_like: DataFrame, numbers: list[str], strings: list[str], low: dict, high: dict, bounds: dict[str, list[tuple[str, int]]]) -> DataFrame:
-    """documents_like with `cells`, an array of one cell for each dimension, numbers first."""
+def _cells(documents_like: DataFrame, numbers: list[str], strings: list[str], low: dict, high: dict, bounds: dict[str, list[tuple[str, int]]], then: Callable | None = None, schema: str = "") -> DataFrame:
+    """documents_like with `cells`, an array of one cell for each dimension, numbers first; or,
+    with `then`, the batches of that schema which it makes of these, in the same Python worker."""
     shipped = documents_like.sparkSession.sparkContext.broadcast({n: (np.array([v for v, _ in bounds[n]], object), np.array([0, *(c for _, c in bounds[n])])) for n in strings})
     rest = [c for c in documents_like.columns if c not in {f"at_{n}" for n in (*numbers, *strings)}]
 
@@ -101,6 +102,8 @@ def _cells(documents_like: DataFrame, numbers: list[str], strings: list[str], lo
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(found))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.ListArray.from_arrays(offsets, pa.array(flat))], [*rest, "cells"])
 
+    if then is not None:
+        return documents_like.mapInArrow(lambda batches: then(cut(batches)), schema)
     kinds = ", ".join(f"`{c}` {documents_like.schema[c].dataType.simpleString()}" for c in rest)
     return documents_like.mapInArrow(cut, f"{kinds}, cells array<int>")
 
@@ -283,7 +286,7 @@ def kd_shards(
     several = several.select(*_GROUP, F.array(F.struct(F.lit(1.0).alias("upto"), F.col("shard").alias("leaf"))).alias("parts"))
     parts = rows.sparkSession.createDataFrame(dealt, f"{group_kinds}, parts array<struct<upto:double,leaf:int>>")
     placed_groups = materialize(several.union(parts), "placed-groups")
-    own = _cells(rows.withColumn("place", place), *scale).mapInArrow(place_in, f"id {rows.schema['id'].dataType.simpleString()}, {group_kinds}, shard int")
+    own = _cells(rows.withColumn("place", place), *scale, then=place_in, schema=f"id {rows.schema['id'].dataType.simpleString()}, {group_kinds}, shard int")
     joined = own.join(broadcast_if_small(placed_groups, 64), _GROUP, "left")
     draw = hashed(F.col("id"), "deal") / F.lit(float(1 << 28))
     mine = F.filter("parts", lambda p: draw < p["upto"])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Bytes that separate words: [\x20\x09-\x0D].
 BLANK = np.zeros(256, bool)
