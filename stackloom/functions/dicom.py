@@ -39,14 +39,21 @@ def to_date(c: Column) -> Column:
 
 
 #: The order in which formats of a birth date are tried.
-BIRTH_FORMATS = ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "ddMMyyyy", "MM/dd/yyyy", "MM-dd-yyyy")
-_SHAPES = {"yyyyMMdd": r"^\d{8}$", "ddMMyyyy": r"^\d{8}$"}
+BIRTH_FORMATS = (
+    "yyyyMMdd", "ddMMyyyy", "MMddyyyy",
+    "yyyy-MM-dd", "dd-MM-yyyy", "MM-dd-yyyy",
+    "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy",
+    "yyyy.MM.dd", "dd.MM.yyyy", "MM.dd.yyyy",
+    "yyyy_MM_dd", "dd_MM_yyyy", "MM_dd_yyyy",
+    "yyyy MM dd", "dd MM yyyy", "MM dd yyyy",
+    "yyyy/dd/MM", "yyyy-dd-MM", "yyyy.dd.MM",
+)
 
 
 def birth_date(c: Column) -> Column:
-    """The first format that gives a calendar date."""
+    """The first format, in order, that gives a calendar date. Only parts of full length count."""
     t = F.trim(c)
-    shape = lambda f: _SHAPES.get(f, "^" + f.replace("yyyy", r"\d{4}").replace("MM", r"\d{2}").replace("dd", r"\d{2}").replace(".", r"\.") + "$")
+    shape = lambda f: "^" + f.replace("yyyy", r"\d{4}").replace("MM", r"\d{2}").replace("dd", r"\d{2}").replace(".", r"\.") + "$"
     return F.coalesce(*(F.when(t.rlike(shape(f)), F.try_to_date(t, f)) for f in BIRTH_FORMATS))
 
 

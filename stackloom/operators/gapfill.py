@@ -29,10 +29,37 @@ def with_bins(rows: DataFrame, slices: str | None = None) -> DataFrame:
 
 
 def compatible(technique: Column, scanning_sequence: Column) -> Column:
-    """Whether a technique can come from a scanning sequence; unknown families always can."""
+    """Whether a technique can come from a scanning sequence.
+
+    Null or empty values allow anything. Research sequences (RM) allow anything but an EPI
+    technique where RM is all there is. SE techniques need SE or IR, or neither EP nor GR; GRE
+    techniques need GR, or neither SE nor EP; EPI techniques need EP; others always fit."""
+    has = lambda letters: F.upper(scanning_sequence).contains(letters)
     family = reduce(lambda c, kv: F.when(technique.isin(*kv[1]), kv[0]).otherwise(c), FAMILIES.items(), F.lit(None).cast("string"))
-    needs = F.when(family == "SE", scanning_sequence.contains("SE")).when(family == "GRE", scanning_sequence.contains("GR")).when(family == "EPI", scanning_sequence.contains("EP"))
-    return F.coalesce(needs, F.lit(True))
+    only_rm = F.upper(scanning_sequence).isin("RM", "['RM']")
+    fits = F.when(has("RM") & ~has("TIRM"), ~(only_rm & F.coalesce(family == "EPI", F.lit(False))))
+    fits = fits.when(family == "EPI", has("EP")).when(family == "SE", has("SE") | has("IR") | (~has("EP") & ~has("GR"))).when(family == "GRE", has("GR") | (~has("SE") & ~has("EP")))
+    unknown = (F.coalesce(scanning_sequence, F.lit("")) == "") | (F.coalesce(technique, F.lit("")) == "")
+    return F.when(unknown, True).otherwise(F.coalesce(fits, F.lit(True)))
+
+
+#: Wording and techniques that tell a 3D from a 2D acquisition, in order.
+TEXT_3D = ("3d", "space", "mprage", "cube", "vista", "ciss", "vibe", "3d-tse", "3d tse", "isotropic", "mp2rage", "bravo")
+TEXT_2D = ("2d", "haste", "blade", "propeller", "tse2d", "flash2d", "single shot", "single-shot", "ss-tse", "sstse")
+TECHNIQUES_3D = ("MPRAGE", "MEMPRAGE", "MP2RAGE", "3D-TSE", "CISS", "bSSFP", "TOF-MRA", "PC-MRA", "SWI", "QALAS", "SPACE", "MDME")
+TECHNIQUES_2D = ("TSE", "SE", "SS-TSE", "EPI", "GRE-EPI", "SE-EPI", "FLASH", "DWI-EPI", "BOLD-EPI", "GRASE", "GRE", "IR-TSE", "ME-SE")
+
+
+def acquisition_type(known: Column, is_3d: Column, is_2d: Column, text: Column, technique: Column) -> Column:
+    """struct(value, method): the acquisition type of a stack without one, from flags, wording
+    and technique in this order; value is null where it is known already or cannot be told."""
+    says = lambda words: reduce(lambda a, b: a | b, (F.lower(F.coalesce(text, F.lit(""))).contains(w) for w in words))
+    told = lambda value, method: F.struct(F.lit(value).cast("string").alias("value"), F.lit(method).alias("method"))
+    found = F.when(F.coalesce(known, F.lit("")) != "", told(None, "already_set"))
+    found = found.when(is_3d, told("3D", "unified_flag")).when(is_2d, told("2D", "unified_flag"))
+    found = found.when(says(TEXT_3D), told("3D", "text_pattern")).when(says(TEXT_2D), told("2D", "text_pattern"))
+    found = found.when(technique.isin(*TECHNIQUES_3D), told("3D", "technique_inference")).when(technique.isin(*TECHNIQUES_2D), told("2D", "technique_inference"))
+    return found.otherwise(told(None, "unknown"))
 
 
 def _offsets() -> list[tuple[int, dict[str, int]]]:

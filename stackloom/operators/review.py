@@ -17,13 +17,27 @@ class Rule:
 
 _ANAT = "intent = 'anat'"
 _EMPTY = "coalesce({0}, 'Unknown') IN ('', 'Unknown')"
+_LOWER = "lower(coalesce(constructs, ''))"
+#: The families that a rule knows of techniques, and the constructs that it expects of provenances.
+SE_TECHNIQUES = ("TSE", "SPACE", "BLADE", "PROPELLER", "HASTE", "Multi-echo SE", "IR-TSE", "STIR", "FLAIR", "DIR")
+EP_TECHNIQUES = ("EPI", "DWI-EPI", "BOLD-EPI", "Perfusion-EPI")
+EXPECTED = {
+    "SWIRecon": ("swi", "qsm", "phase", "magnitude", "minip", "mip"),
+    "DTIRecon": ("adc", "fa", "trace", "md", "ad", "rd", "eadc"),
+    "SyMRI": ("t1map", "t2map", "pdmap", "myelin", "synthetic"),
+    "PerfusionRecon": ("cbf", "cbv", "mtt", "tmax", "ttp"),
+}
+_SE, _EP = (", ".join(f"'{t}'" for t in x) for x in (SE_TECHNIQUES, EP_TECHNIQUES))
+_UNEXPECTED = " OR ".join(f"(provenance = '{p}' AND NOT (" + " OR ".join(f"contains({_LOWER}, '{w}')" for w in words) + "))" for p, words in EXPECTED.items())
 #: The rules in their order, with their bounds.
 RULES = (
-    Rule("technique_missing", "warning", f"NOT {_EMPTY.format('base')} AND {_EMPTY.format('technique')} AND provenance <> 'Localizer' AND NOT excluded"),
+    Rule("technique_family_mismatch", "error", f"(provenance = 'SWIRecon' AND technique IN ({_SE}, {_EP})) OR (technique IN ({_SE}) AND (contains({_LOWER}, 'swi') OR contains({_LOWER}, 'qsm')))"),
+    Rule("technique_missing", "warning", f"NOT {_EMPTY.format('base')} AND {_EMPTY.format('technique')} AND provenance <> 'Localizer' AND intent <> 'excluded'"),
     Rule("brain_aspect", "warning", f"{_ANAT} AND (aspect > 1.4 OR aspect < 0.7)"),
     Rule("spine_aspect", "warning", "spinal_cord = 1 AND aspect < 1.3"),
     Rule("localizer_slices", "warning", "provenance = 'Localizer' AND n_instances > 20"),
     Rule("low_slices", "info", f"{_ANAT} AND n_instances < 10"),
+    Rule("provenance_construct_mismatch", "warning", f"{_LOWER} <> '' AND ({_UNEXPECTED})"),
     Rule("contrast_undetermined", "info", f"{_ANAT} AND base = 'T1w' AND post_contrast IS NULL"),
     Rule("base_missing", "warning", f"{_ANAT} AND {_EMPTY.format('base')} AND coalesce(constructs, '') = '' AND provenance = 'RawRecon'"),
 )
@@ -51,16 +65,21 @@ def merge_audit(events: DataFrame, keys: list[str], order: str, old: str, new: s
 
 
 def pivot_audit(merged: DataFrame, key: str, tag: str, names: dict[object, str]) -> DataFrame:
-    """One row for each study, columns <name>_old_value and <name>_new_value of each listed tag;
-    columns without any value are dropped. The list of tags bounds the width."""
+    """One row for each study, columns <name>_old_value and <name>_new_value of each listed tag.
+    The list of tags bounds the width; filled_columns tells which columns have a value."""
     cells = []
     for value, name in names.items():
         for side in ("old_value", "new_value"):
             cells.append(F.max(F.when(F.col(tag) == F.lit(value), F.col(side))).alias(f"{name}_{side}"))
-    wide = merged.groupBy(key).agg(*cells)
+    return merged.groupBy(key).agg(*cells)
+
+
+def filled_columns(wide: DataFrame, key: str) -> list[str]:
+    """The columns of a pivot that some row fills, for writers that leave out empty ones: one
+    aggregate over the table, one row to the driver."""
     columns = [c for c in wide.columns if c != key]
     filled = wide.agg(*(F.count(c).alias(c) for c in columns)).first()
-    return wide.select(key, *(c for c in columns if filled[c]))
+    return [c for c in columns if filled[c]]
 
 
 def majority_pair(rows: DataFrame, group: str, pair: list[str], least: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ STACK_KEYS = {"te": "multi_echo", "ti": "multi_ti", "fa": "multi_flip_angle", "i
 
 
 def signature(columns: dict[str, int | None] = SIGNATURE) -> list[Column]:
-    return [(F.round(c, d) if d is not None else F.col(c)).alias(c) for c, d in columns.items()]
+    return [(F.bround(c, d) if d is not None else F.col(c)).alias(c) for c, d in columns.items()]
 
 
 def discover(instances: DataFrame, columns: dict[str, int | None] = SIGNATURE) -> DataFrame:
@@ -25,8 +25,10 @@ def discover(instances: DataFrame, columns: dict[str, int | None] = SIGNATURE) -
 
 
 def varying_columns(stacks: DataFrame, columns: list[str]) -> DataFrame:
-    """(series_id, n_stacks, varies_<column>...): a null is a value of its own."""
-    distinct = [(F.count_distinct(F.struct(c)) > 1).alias(f"varies_{c}") for c in columns]
+    """(series_id, n_stacks, varies_<column>...): a null is a value of its own. Extremes and counts
+    tell it in one pass, where distinct counts would repeat every row for each column."""
+    differs = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    distinct = [(differs(c) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))).alias(f"varies_{c}") for c in columns]
     return stacks.groupBy("series_id").agg(F.count("*").alias("n_stacks"), *distinct)
 
 

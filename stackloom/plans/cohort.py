@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackloom.operators.identity import timepoint
 from stackloom.sources import adapter as A
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,7 +22,10 @@ def cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = A.subject_cohorts(spark, sf_dir)
     subjects = members.groupBy("cohort_id").agg(F.count_distinct("subject_id").alias("n_subjects"))
     # Rows are counted per study first: each study belongs to one subject, so sums stay exact.
-    files = A.instances(spark, sf_dir).groupBy("study_id").agg(F.count_distinct("series_id").alias("series"), F.count_distinct("sop_uid").alias("files"))
+    # A SOP key names its study, and two plain aggregates do what two distinct counts would
+    # repeat every row for: rows of one key first, then keys by series.
+    keys = A.instances(spark, sf_dir).groupBy("study_id", "sop_uid").agg(F.collect_set("series_id").alias("series"))
+    files = keys.groupBy("study_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("series")))).cast("long").alias("series"), F.count("*").alias("files"))
     per_subject = A.studies(spark, sf_dir).join(files, "study_id", "left").groupBy("subject_id").agg(F.count("*").alias("studies"), F.sum("series").alias("series"), F.sum("files").alias("files"))
     held = members.join(per_subject, "subject_id").groupBy("cohort_id").agg(F.sum("studies").alias("n_studies"), F.sum("series").alias("n_series"), F.sum("files").alias("n_instances"))
     return A.cohorts(spark, sf_dir).join(subjects, "cohort_id", "left").join(held, "cohort_id", "left").select("cohort_id", "name", *map(_zero, ("n_subjects", "n_studies", "n_series", "n_instances")))
@@ -90,12 +94,9 @@ def sessions_per_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timepoint_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months since a subject's first study, snapped to the nearest half year within one."""
-    first = Window.partitionBy("subject_id")
-    dated = A.studies(spark, sf_dir).filter("study_date is not null").withColumn("days", F.datediff("study_date", F.min("study_date").over(first)))
-    months = F.abs(F.rint(F.col("days") / 30.44)).cast("int")
-    half = (F.rint(months / 6) * 6).cast("int")
-    snapped = F.when(F.abs(months - half) <= 1, half).otherwise(months)
-    return dated.select("study_id", "subject_id", F.concat(F.lit("M"), F.lpad(snapped.cast("string"), 2, "0")).alias("timepoint"), "days").withColumn("timepoint", F.when(snapped > 99, F.concat(F.lit("M"), snapped)).otherwise(F.col("timepoint")))
+    first = F.min("study_date").over(Window.partitionBy("subject_id"))
+    dated = A.studies(spark, sf_dir).filter("study_date is not null").withColumn("first", first)
+    return dated.select("study_id", "subject_id", timepoint(F.col("first"), F.col("study_date")).alias("timepoint"), F.datediff("study_date", "first").alias("days"))
 
 
 def table_counts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +136,12 @@ SELECT subject_id, subject_code, CASE WHEN subject_id % 3 = 0 THEN '["' || c_mkt
 FROM subject JOIN customer ON c_custkey = subject_id""",
     "sessions_per_subject": f"WITH {A.CTES} SELECT subject_id, study_date, string_agg(DISTINCT modality, ',' ORDER BY modality) AS modalities, count(*) AS n_studies FROM study GROUP BY 1, 2",
     "timepoint_labels": f"""
-WITH {A.CTES}, d AS (SELECT *, CAST(study_date - min(study_date) OVER (PARTITION BY subject_id) AS INTEGER) AS days FROM study WHERE study_date IS NOT NULL),
-m AS (SELECT *, CAST(abs(round_even(days / 30.44, 0)) AS INTEGER) AS months FROM d), h AS (SELECT *, CAST(round_even(months / 6, 0) * 6 AS INTEGER) AS half FROM m),
-s AS (SELECT *, CASE WHEN abs(months - half) <= 1 THEN half ELSE months END AS snapped FROM h)
-SELECT study_id, subject_id, 'M' || CASE WHEN snapped > 99 THEN CAST(snapped AS VARCHAR) ELSE lpad(CAST(snapped AS VARCHAR), 2, '0') END AS timepoint, days FROM s""",
+WITH {A.CTES}, f AS (SELECT *, min(study_date) OVER (PARTITION BY subject_id) AS d0 FROM study WHERE study_date IS NOT NULL),
+a AS (SELECT *, (year(study_date) - year(d0)) * 12 + month(study_date) - month(d0) AS apart FROM f),
+w AS (SELECT *, CASE WHEN d0 + apart * INTERVAL 1 MONTH > study_date THEN apart - 1 ELSE apart END AS whole FROM a),
+m AS (SELECT *, CAST(round_even(whole + date_diff('day', CAST(d0 + whole * INTERVAL 1 MONTH AS DATE), study_date) / 30.44::DOUBLE, 0) AS INTEGER) AS months FROM w),
+h AS (SELECT *, greatest(6, CAST(round_even(months / 6, 0) * 6 AS INTEGER)) AS half FROM m),
+s AS (SELECT *, CASE WHEN months = 0 THEN 0 WHEN abs(months - half) <= 1 THEN half ELSE months END AS snapped FROM h)
+SELECT study_id, subject_id, 'M' || CASE WHEN snapped > 99 THEN CAST(snapped AS VARCHAR) ELSE lpad(CAST(snapped AS VARCHAR), 2, '0') END AS timepoint, CAST(study_date - d0 AS INTEGER) AS days FROM s""",
     "table_counts_union": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES),
 }

@@ -202,7 +202,7 @@ moves(rank, dtr, dte, dti, dfa) AS (VALUES {_MOVES}),
 c AS (SELECT sop_uid, seq, rank, tr + dtr * 100 AS tr, te + dte * 5 AS te, ti + dti * 100 AS ti, fa + dfa * 5 AS fa FROM b, moves WHERE part_id % 10 = 0
     AND (dtr = 0 OR tr + dtr * 100 >= 0) AND (dte = 0 OR te + dte * 5 >= 0) AND (dti = 0 OR ti + dti * 100 >= 0) AND (dfa = 0 OR fa + dfa * 5 >= 0)),
 met AS (SELECT c.sop_uid, c.seq, c.rank, r.base, r.technique, r.n, min(c.rank) OVER (PARTITION BY c.sop_uid) AS least FROM c JOIN refs r ON c.tr = r.tr AND c.te = r.te AND c.ti IS NOT DISTINCT FROM r.ti AND c.fa = r.fa),
-v AS (SELECT sop_uid, seq, rank, base, technique, CAST(sum(n) AS BIGINT) AS n, CASE WHEN technique IN ({_IN("SE")}) THEN seq LIKE '%SE%' WHEN technique IN ({_IN("GRE")}) THEN seq LIKE '%GR%' WHEN technique IN ({_IN("EPI")}) THEN seq LIKE '%EP%' ELSE true END AS fits
+v AS (SELECT sop_uid, seq, rank, base, technique, CAST(sum(n) AS BIGINT) AS n, CASE WHEN technique IN ({_IN("SE")}) THEN seq LIKE '%SE%' OR seq LIKE '%IR%' OR NOT (seq LIKE '%EP%' OR seq LIKE '%GR%') WHEN technique IN ({_IN("GRE")}) THEN seq LIKE '%GR%' OR NOT (seq LIKE '%SE%' OR seq LIKE '%EP%') WHEN technique IN ({_IN("EPI")}) THEN seq LIKE '%EP%' ELSE true END AS fits
     FROM met WHERE rank = least GROUP BY ALL),
 w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY sop_uid ORDER BY fits DESC, n DESC, base, technique) = 1)
 SELECT sop_uid, rank, n, CASE WHEN fits AND n >= 2 THEN base END AS base, CASE WHEN fits AND n >= 2 THEN technique END AS technique,

@@ -61,10 +61,12 @@ def stack_instance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stack_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series with one stack, with several, the most stacks, and confidences below 0.85."""
-    stacks = A.instances(spark, sf_dir).groupBy("series_id", "image_type").agg(F.min("fa").alias("confidence"))
-    sizes = stacks.groupBy("series_id").agg(F.count("*").alias("n"), F.min("confidence").alias("low"), F.count_if(F.col("confidence") < 50).alias("n_low"))
-    return sizes.agg(F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multi"), F.max("n").alias("most"), F.min("low").alias("least_confidence"), F.sum("n_low").alias("n_low"))
+    """Series with one stack and with several, the most stacks; confidences: mean, least, and how
+    many lie below 0.85 (A8, A9)."""
+    stacks = A.instances(spark, sf_dir).groupBy("series_id", "image_type").agg((F.min("fa") / 100).alias("confidence"))
+    sizes = stacks.groupBy("series_id").agg(F.count("*").alias("n"), F.min("confidence").alias("low"), F.sum("confidence").alias("all"), F.count_if(F.col("confidence") < 0.85).alias("n_low"))
+    counts = [F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multi"), F.max("n").alias("most"), F.min("low").alias("least_confidence"), F.sum("n_low").alias("n_low")]
+    return sizes.agg(*counts, F.round(F.sum("all") / F.sum("n"), 6).alias("mean_confidence"))
 
 
 def first_instance_per_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +167,10 @@ SELECT series_id, n_stacks, CASE WHEN n_stacks > 1 THEN CASE WHEN a > 1 THEN 'mu
 WITH {A.CTES}, s AS (SELECT DISTINCT series_id, image_type FROM instance), c AS (SELECT series_id, image_type, count(*) AS n FROM instance WHERE te >= 10 GROUP BY 1, 2)
 SELECT series_id, image_type, coalesce(n, 0) AS stack_n_instances FROM s LEFT JOIN c USING (series_id, image_type)""",
     "stack_metrics": f"""
-WITH {A.CTES}, s AS (SELECT series_id, image_type, min(fa) AS confidence FROM instance GROUP BY 1, 2),
-g AS (SELECT series_id, count(*) AS n, min(confidence) AS low, count(*) FILTER (confidence < 50) AS n_low FROM s GROUP BY 1)
-SELECT count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multi, max(n) AS most, min(low) AS least_confidence, CAST(sum(n_low) AS BIGINT) AS n_low FROM g""",
+WITH {A.CTES}, s AS (SELECT series_id, image_type, min(fa) / 100 AS confidence FROM instance GROUP BY 1, 2),
+g AS (SELECT series_id, count(*) AS n, min(confidence) AS low, sum(confidence) AS total, count(*) FILTER (confidence < 0.85::DOUBLE) AS n_low FROM s GROUP BY 1)
+SELECT count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 1) AS multi, max(n) AS most, min(low) AS least_confidence, CAST(sum(n_low) AS BIGINT) AS n_low,
+    round(sum(total) / sum(n), 6) AS mean_confidence FROM g""",
     "first_instance_per_stack": f"WITH {A.CTES} SELECT DISTINCT ON (series_id, image_type) series_id, image_type, sop_uid, part_id, te FROM instance ORDER BY series_id, image_type, sop_uid, part_id, supplier_id, te, tr",
     "resume_filter": f"""
 WITH {A.CTES}, r AS (SELECT DISTINCT sop_uid, series_id, concat_ws('/', study_id, instance_number) AS path FROM instance)

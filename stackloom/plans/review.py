@@ -1,4 +1,4 @@
-"""Classification, quality control, naming and audit of stacks."""
+"""Naming, audit, votes and sessions of stacks."""
 
 from __future__ import annotations
 
@@ -6,58 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.operators import review as R
-from stackloom.operators import rules
 from stackloom.sources import adapter as A
 from stackloom.streaming import ingest as stream
 
-#: Header fields made of line items, in SQL that Spark and the oracle share.
-_HEADERS = {
-    "stack_id": "concat_ws('.', l_orderkey, l_linenumber)",
-    "image_type": "CASE l_partkey % 6 WHEN 0 THEN 'ORIGINAL/PRIMARY/M' WHEN 1 THEN 'DERIVED/SECONDARY/ADC' WHEN 2 THEN 'DERIVED/PRIMARY/SWI' WHEN 3 THEN 'ORIGINAL/PRIMARY/LOCALIZER' WHEN 4 THEN 'DERIVED/PRIMARY/MPR' END",
-    "scanning_sequence": "CASE l_suppkey % 4 WHEN 0 THEN 'SE' WHEN 1 THEN 'GR,IR' WHEN 2 THEN 'EP' ELSE '[GR]' END",
-    "sequence_variant": "CASE l_linenumber % 3 WHEN 0 THEN 'SK,SP' WHEN 1 THEN 'SP,MP' END",
-    "scan_options": "CASE l_linenumber % 4 WHEN 0 THEN 'FS' WHEN 1 THEN 'PFP,FS' WHEN 2 THEN '' END",
-    "sequence_name": "CASE l_partkey % 5 WHEN 0 THEN 'tfl3d1_ns' WHEN 1 THEN 'tse2d1_15' WHEN 2 THEN 'ep_b1000' WHEN 3 THEN 'fl3d1r' END",
-    "text": "CASE l_orderkey % 10 WHEN 0 THEN 't1 mprage sag' WHEN 1 THEN 't2 tse tra' WHEN 2 THEN 'ep2d diff adc' WHEN 3 THEN 'swi minip' WHEN 4 THEN 'bold resting state' WHEN 5 THEN 'flair t2 space' WHEN 6 THEN 'localizer' WHEN 7 THEN 't1 post gd brain' WHEN 8 THEN 'spine t2 sag' END",
-    "te": "l_quantity * 2",
-    "tr": "l_extendedprice / 10",
-    "ti": "CASE WHEN l_tax <> 0 THEN l_tax * 40000 END",
-    "b_value": "CASE WHEN l_suppkey % 4 = 2 THEN l_linenumber * 200 END",
-    "acquisition_type": "CASE WHEN l_linenumber % 2 = 0 THEN '3D' ELSE '2D' END",
-    "stack_key": "CASE l_linenumber WHEN 1 THEN 'multi_echo' WHEN 2 THEN 'multi_ti' END",
-    "contrast_agent": "CASE WHEN l_orderkey % 13 = 0 THEN 'gadovist' END",
-    "aspect": "l_quantity / 25",
-    "n_instances": "CAST(l_quantity AS INTEGER)",
-}
-_KEEP = ["stack_id", "aspect", "n_instances"]
-_OUT = ["provenance", "provenance_confidence", "technique", "technique_confidence", "base", "modifiers", "constructs", "post_contrast", "spinal_cord", "excluded", "intent"]
-_TAGS = {1: "PatientName_0010_0010", 2: "PatientID_0010_0020", 3: "StudyDate_0008_0020"}
+_TAGS = {1: "PatientName_0010_0010", 2: "PatientID_0010_0020", 3: "StudyDate_0008_0020", 4: "StationName_0008_1010"}
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = _lines(spark, sf_dir).select(*(F.expr(e).alias(n) for n, e in _HEADERS.items()))
-    return rules.classify(headers, _KEEP)
-
-
-def classify_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provenance, technique, base, modifiers, constructs and intent of every stack."""
-    return _classified(spark, sf_dir).drop("aspect", "n_instances")
-
-
-def classification_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stacks by intent, base and technique (A10)."""
-    return _classified(spark, sf_dir).groupBy("intent", "base", "technique").agg(F.count("*").alias("n"), F.count_if("excluded").alias("n_excluded"))
-
-
-def qc_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violated rules of every stack (Q2-Q6, Q8-Q10)."""
-    return R.violations(_classified(spark, sf_dir), ["stack_id"])
-
-
 def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that collide within a study and folder are numbered."""
     rows = A.instances(spark, sf_dir).select("sop_uid", "study_id", F.col("image_type").alias("folder"), F.concat_ws("-", "coil", "echo_numbers").alias("name"), "acquisition_date")
@@ -134,8 +92,9 @@ def operation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects that have no study (U4)."""
-    return A.subjects(spark, sf_dir).join(A.studies(spark, sf_dir), "subject_id", "left_anti").select("subject_id", "subject_code")
+    """Subjects that have no dated study in 1998 (U4)."""
+    recent = A.studies(spark, sf_dir).filter("study_date >= DATE '1998-01-01'")
+    return A.subjects(spark, sf_dir).join(recent, "subject_id", "left_anti").select("subject_id", "subject_code")
 
 
 def streamed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,34 +102,16 @@ def streamed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.ingest_once(spark, f"{sf_dir}/lineitem*.parquet", lambda rows: rows.selectExpr("concat_ws('.', l_orderkey, l_linenumber) AS sop_uid", "l_orderkey AS study_id"), ["sop_uid"])
 
 
-_ALL = (classify_stacks, classification_breakdown, qc_rule_violations, export_names, export_file_lists, audit_merge, audit_pivot, contrast_conflicts, technique_vote, evidence_confidence, recovered_dates, construct_sets, session_counts, operation_stats, missing_members, streamed_headers)
+_ALL = (export_names, export_file_lists, audit_merge, audit_pivot, contrast_conflicts, technique_vote, evidence_confidence, recovered_dates, construct_sets, session_counts, operation_stats, missing_members, streamed_headers)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
-def _classified_sql() -> str:
-    """The rule compiler's stages as DuckDB common tables; the last is `classified`."""
-    tokens = []
-    for field, p in rules.PREFIX.items():
-        text = f"{'lower' if p == 'sn' else 'upper'}(coalesce({field}, ''))"
-        cleaned = f"regexp_replace({text}, '[\\[\\]''\"()]', '', 'g')" if p in ("ss", "sv", "so") else text
-        split = r"[\\/\s]+" if p == "it" else r"[,\s\\]+"
-        tokens.append(f"{text} AS {p}_text, list_filter(regexp_split_to_array({cleaned}, '{split}'), lambda x: x <> '') AS {p}_tokens")
-    parts = ["s AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _HEADERS.items()) + " FROM lineitem)", f"s0 AS MATERIALIZED (SELECT *, {', '.join(tokens)} FROM s)"]
-    stages = rules.stages()
-    for i, stage in enumerate(stages):
-        parts.append(f"{'classified' if i == len(stages) - 1 else f's{i + 1}'} AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage.items())} FROM s{i})".replace("cardinality(", "len("))
-    return ",\n".join(parts)
-
-
 _AUDIT = """audit AS (SELECT l_orderkey AS study_id, l_partkey % 4 + 1 AS tag, printf('%06d', l_suppkey) || '-' || l_linenumber AS at_,
     CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS o, CASE WHEN l_linestatus <> 'O' THEN l_linestatus END AS n FROM lineitem),
 merged AS (SELECT study_id, tag, min((at_, o)) FILTER (o IS NOT NULL) AS a, max((at_, n)) FILTER (n IS NOT NULL) AS b FROM audit GROUP BY study_id, tag),
 m AS (SELECT study_id, tag, a[2] AS old_value, b[2] AS new_value FROM merged)"""
 
 ORACLE_SQL = {
-    "classify_stacks": f"WITH {_classified_sql()} SELECT stack_id, {', '.join(_OUT)} FROM classified",
-    "classification_breakdown": f"WITH {_classified_sql()} SELECT intent, base, technique, count(*) AS n, count(*) FILTER (excluded) AS n_excluded FROM classified GROUP BY ALL",
-    "qc_rule_violations": f"WITH {_classified_sql()} " + " UNION ALL ".join(f"SELECT stack_id, '{r.id}' AS rule, '{r.severity}' AS severity FROM classified WHERE {r.violated}" for r in R.RULES),
     "export_names": f"""WITH {A.CTES}, n AS (SELECT sop_uid, study_id, image_type AS folder, concat_ws('-', coil, echo_numbers) AS name, coalesce(CAST(acquisition_date AS VARCHAR), 'zzz') AS d FROM instance)
 SELECT sop_uid, study_id, folder, CASE WHEN count(*) OVER (PARTITION BY study_id, folder, name) > 1
     THEN name || '_' || row_number() OVER (PARTITION BY study_id, folder, name ORDER BY d, sop_uid) ELSE name END AS unique_name FROM n""",
@@ -188,6 +129,6 @@ SELECT study_id, d AS recovered, source_rank FROM r QUALIFY row_number() OVER (P
     "session_counts": """SELECT o_custkey AS session_id, count(*) AS total, count(*) FILTER (o_orderstatus IN ('O', 'F')) AS reviewed, count(*) FILTER (o_orderstatus = 'F') AS confirmed,
     first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS newest FROM orders GROUP BY o_custkey""",
     "operation_stats": "SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
-    "missing_members": f"WITH {A.CTES} SELECT subject_id, subject_code FROM subject WHERE subject_id NOT IN (SELECT subject_id FROM study)",
+    "missing_members": f"WITH {A.CTES} SELECT subject_id, subject_code FROM subject WHERE subject_id NOT IN (SELECT subject_id FROM study WHERE study_date >= DATE '1998-01-01')",
     "streamed_headers": "SELECT DISTINCT concat_ws('.', l_orderkey, l_linenumber) AS sop_uid, l_orderkey AS study_id FROM lineitem",
 }
