@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.plans import classification, cohort, features, handling, ingest, review
+from stackloom.plans import classification, cohort, features, handling, ingest, readings, review
 
-_MODULES = (cohort, ingest, features, classification, handling, review)
+_MODULES = (cohort, ingest, features, classification, handling, readings, review)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
