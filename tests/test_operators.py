@@ -242,16 +242,16 @@ def test_headers_are_read_up_to_the_last_tag(spark, tmp_path):
     assert [(r.modality, r.study_date, r.te, r.rows, r.tr) for r in rows] == [("MR", dt.date(2020, 1, 2), 12.5, 256, None)] * 2
 
 
-def test_streams_of_one_name_go_on(spark, tmp_path):
+def test_streams_of_one_name_go_on(spark, tmp_path, monkeypatch):
     source, name = f"{tmp_path}/in", "headers"
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    monkeypatch.setattr(ingest, "_shared", lambda _, name: f"file://{tmp_path}/shared/{name}")
     shape = lambda rows: rows.select("k")
     spark.createDataFrame([(1,), (2,), (2,)], "k int").write.parquet(f"file://{source}")
     assert sorted(r.k for r in ingest.ingest_once(spark, f"file://{source}", shape, ["k"], name=name).collect()) == [1, 2]
     spark.createDataFrame([(2,), (3,)], "k int").write.mode("append").parquet(f"file://{source}")
     assert sorted(r.k for r in ingest.ingest_once(spark, f"file://{source}", shape, ["k"], name=name).collect()) == [1, 2, 3]
-    spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"file://{tmp_path}/shared")
+    assert spark.read.parquet(f"file://{tmp_path}/shared/{name}/rows").count() == 3 and written.count() >= 2
 
 
 def test_small_readings_of_nothing(spark):
