@@ -1,8 +1,9 @@
 """Classification, quality control and export of stacks.
 
 The stacks are line items and orders with the headers of a protocol each. The oracles hold the
-outcome of every protocol as literals, worked out by hand from what the detectors are to do, and
-rules, folders and names as SQL of their own; no expression is shared with the operators.
+outcome of every protocol as literals, taken from a run and reasoned through one by one against
+what the detectors are to do, and rules, folders and names as SQL of their own; no expression is
+shared with the operators.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def export_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (classify_stacks, classification_breakdown, qc_rule_violations, intent_synthesis, acceleration_regex, acquisition_type_inference, technique_compatibility, qc_categorise_priority, qc_axis_flags, qc_available_filters, qc_worklist, qc_confirm_drafts, export_plan, export_filters)
 QUERIES = {f.__name__: f for f in _ALL}
 
-# Protocol -> what the detectors make of it, worked out by hand: provenance and confidence,
+# Protocol -> what the detectors are to make of it: provenance and confidence,
 # technique and confidence, base and confidence, modifiers, constructs, accelerations, contrast,
 # spine, why excluded, intent, reasons without those of the spine heuristic, and whether it can apply.
 _EXPECTED = """expected(protocol, provenance, provenance_confidence, technique, technique_confidence, base, base_confidence, modifiers, constructs,

@@ -1,7 +1,7 @@
 """Protocols of made-up scanners: the headers that the classification queries read.
 
-A line item takes part `l_partkey % len(PROTOCOLS)` of this list; the oracle holds, written by
-hand, what the reference's detectors make of each.
+A line item takes part `l_partkey % len(PROTOCOLS)` of this list; the oracle holds what the
+detectors are to make of each.
 """
 
 from __future__ import annotations
