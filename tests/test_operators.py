@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions import misc
-from stackloom.operators import export, gapfill, identity, imports, packing, qc, review, rules, upsert
+from stackloom.operators import completion, export, fingerprint, gapfill, identity, imports, packing, qc, review, rules, upsert
 from stackloom.plans.protocols import FIELDS, PROTOCOLS
 from stackloom.sources import files, headers
 from stackloom.streaming import ingest
@@ -258,3 +258,58 @@ def test_small_readings_of_nothing(spark):
     none = F.lit(None).cast("string")
     row = spark.range(1).select(misc.vendor(none).alias("a"), misc.pet_tracer(none).alias("b"), misc.echo_number(none).alias("c"), misc.size_bytes(F.lit("1.5 GiB")).alias("d"), misc.size_bytes(none).alias("e"), misc.mean_confidence(F.array().cast("array<double>")).alias("f")).first()
     assert row[:] == ("OTHER", None, None, 1610612736, None, 0.8)
+
+
+def _best_fit(a, b):
+    """Likeness by its definition: every cut of the longer text, subsequences by recursion."""
+    import functools
+
+    def common(x, y):
+        @functools.cache
+        def at(i, j):
+            return 0 if i == len(x) or j == len(y) else 1 + at(i + 1, j + 1) if x[i] == y[j] else max(at(i + 1, j), at(i, j + 1))
+
+        return at(0, 0)
+
+    def one_way(s, t):
+        n = len(s)
+        cuts = [t[i : i + n] for i in range(len(t) - n + 1)] + [t[:i] for i in range(1, n)] + [t[-i:] for i in range(1, n)]
+        return max(200 * common(s, c) / (n + len(c)) for c in cuts)
+
+    short, long = sorted((a, b), key=len)
+    return max(one_way(short, long), one_way(long, short) if len(a) == len(b) else 0)
+
+
+def test_likeness_is_the_best_fit_of_all_cuts():
+    texts = ["GE", "SIEMENS", "SIEMNS", "PHILLIPS MEDICAL", "G", "FLUORODEOXYGLUCOSE", "FLT", "WATER", "DOTATATE", "TAU", "UAT"]
+    assert all(abs(fingerprint.likeness(a, b) - _best_fit(a, b)) < 1e-9 for a in texts for b in texts)
+
+
+def test_names_become_canonical_by_parts_then_by_likeness(spark):
+    names = {None: None, "": None, " ": None, "toshiba siemens": "CANON", "Siemens, formerly GE": "GE", "hitachi": "HITACHI", "SIEMNS": "SIEMENS", "phillips medical": "PHILIPS", "acme": "ACME", "q" * 300: "Q" * 300}
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    assert [r.m for r in rows.select("i", fingerprint.manufacturer(F.col("n")).alias("m")).sort("i").collect()] == list(names.values())
+    assert rows.limit(0).select(fingerprint.manufacturer(F.col("n"))).collect() == []
+
+
+def test_contrast_duplicates_of_a_session(spark):
+    look = ("T1w", "TSE", "Axial", 10.0, 500.0)
+    rows = [
+        (1, "a", 1, "d", 1, *look), (2, "b", 1, "d", 1, *look),  # alike, both after contrast
+        (3, "c", 2, "d", 1, *look), (4, "e", 2, "d", 0, *look),  # before and after
+        (5, "f", 3, "d", 1, *look), (6, "f", 3, "d", 1, *look), (7, "g", 3, "d", 1, *look),  # two of one series
+        (8, "h", None, "d", 1, *look), (9, "i", None, "d", 1, *look), (10, "j", 4, None, 1, *look), (11, "k", 4, None, 1, *look),
+        (12, "l", 5, "d", 0, None, None, None, None, None), (13, "m", 5, "d", 0, "", "", "", 0.0, 0.0), (14, "n", 5, "d", None, None, None, None, None, None),
+        (15, None, 6, "d", 1, *look), (16, "o", 6, "d", 1, *look),
+    ]
+    schema = "series_stack_id int, series_instance_uid string, subject_id int, study_date string, post_contrast int, base string, technique string, stack_orientation string, mr_te double, mr_tr double"
+    out = completion.contrast_duplicates(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r.series_stack_id for r in out) == [1, 2, 12, 13]
+    assert {r.signature for r in out} == {"T1w|TSE|Axial|10.0|500.0", "||||"}
+
+
+def test_reasons_keep_order_and_come_once(spark):
+    rows = spark.createDataFrame([(1, None, "MR", 0.2), (2, "z,a,a", "MR", None), (3, "", "CT", 0.1), (4, "orientation:low_confidence", "MR", 0.8499)], "i int, r string, m string, c double")
+    doubt = completion.doubtful_orientation(F.col("m"), F.col("c"))
+    out = rows.select("i", completion.completed_review(F.col("r"), **{"orientation:low_confidence": doubt}).alias("r")).sort("i").collect()
+    assert [r.r for r in out] == ["orientation:low_confidence", "a,z", "", "orientation:low_confidence"]
