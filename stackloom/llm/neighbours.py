@@ -7,8 +7,8 @@ array, counts in how many windows a vector lies, and widens all windows by virtu
 threshold are verified by exact inner product in double precision.
 
 Rows are dealt into blocks of about BLOCK vectors; a block's arrays are built where the block
-lies. The stated query set meets every block, in blocks of its own, and keeps its best few
-per block before they are merged.
+lies. The stated query set meets every block, in slices of a few query blocks, and keeps its
+best few per block before they are merged.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from stackloom.llm.tables import materialize
 
 BLOCK, QUERY_BLOCK = 16_384, 512
+#: Query blocks that meet an index block in one task, and the most tasks of a search.
+SLICE, MOST_TASKS = 4, 20_000
 #: Most directions, and about how many (whole orthonormal sets, at random); the share of them in whose windows a
 #: candidate lies; the share of a block in a first window; the widening factor; and the share
 #: of a block (and the multiple of k) that must be candidates before a search ends.
@@ -90,7 +92,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(column[0].as_buffer(), np.float64).reshape(-1, dim)
 
 
-def _packed(rows: DataFrame, block: Column, prefix: str) -> DataFrame:
+def _packed(rows: DataFrame, block: Column, name: str) -> DataFrame:
     """One row for each block: its ids and its vectors, one after another, as bytes."""
 
     def pack(key, pdf):
@@ -98,28 +100,36 @@ def _packed(rows: DataFrame, block: Column, prefix: str) -> DataFrame:
 
         pdf = pdf.sort_values("id")
         vectors = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"dim": [key[0]], f"{prefix}_block": [key[1]], f"{prefix}_ids": [pdf["id"].to_numpy(np.int64).tobytes()], f"{prefix}_vectors": [vectors.tobytes()]})
+        return pd.DataFrame({"dim": [key[0]], name: [key[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
 
-    return rows.withColumn("block", block).groupBy("dim", "block").applyInPandas(pack, f"dim int, {prefix}_block long, {prefix}_ids binary, {prefix}_vectors binary")
+    return rows.withColumn("block", block).groupBy("dim", "block").applyInPandas(pack, f"dim int, {name} long, ids binary, vectors binary")
 
 
 def _search(k: int):
+    """Rows of a (dim, v_block, slice) arrive together: the block first, then its query blocks."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, block = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n).slice(i, 1) for n in batch.schema.names}
-                dim, number = row["dim"][0].as_py(), row["v_block"][0].as_py()
-                if have != (dim, number):
-                    have, block = (dim, number), Block(np.frombuffer(row["v_ids"][0].as_buffer(), np.int64), _matrix(row["v_vectors"], dim))
-                queries = np.frombuffer(row["q_ids"][0].as_buffer(), np.int64)
-                found = [block.nearest(q, v, k) for q, v in zip(queries.tolist(), _matrix(row["q_vectors"], dim), strict=True)]
-                repeated = np.repeat(queries, [len(ids) for ids, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "id", "score"])
+                dim, asks = row["dim"][0].as_py(), row["asks"][0].as_py()
+                key = (dim, row["v_block"][0].as_py(), row["slice"][0].as_py())
+                ids, vectors = np.frombuffer(row["ids"][0].as_buffer(), np.int64), _matrix(row["vectors"], dim)
+                if not asks:
+                    have, block = key, Block(ids, vectors)
+                elif have == key:
+                    found = [block.nearest(q, v, k) for q, v in zip(ids.tolist(), vectors, strict=True)]
+                    repeated = np.repeat(ids, [len(near) for near, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(repeated), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))], ["query_id", "id", "score"])
 
     return search
 
 
+def _numbers(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row that `queries` selects its k nearest rows
     found, by largest inner product, itself not among them; ties go to the smaller id.
@@ -137,10 +147,14 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col:
     sizes = {(r.dim, r.asks): r.n for r in usable.groupBy("dim", "asks").agg(F.count("*").alias("n")).collect()}
     total, asking = sum(sizes.values()), sum(n for (_, asks), n in sizes.items() if asks)
     blocks, query_blocks = max(1, -(-total // BLOCK)), max(1, -(-asking // QUERY_BLOCK))
-    index = materialize(_packed(usable, F.pmod(F.xxhash64("id"), F.lit(blocks)), "v"), "index")
-    asked = _packed(usable.filter("asks"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)), "q")
-    asked = materialize(asked, "asked").withColumn("v_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = index.join(asked, ["dim", "v_block"]).repartition("v_block", "q_block").sortWithinPartitions("dim", "v_block")
+    slices = -(-query_blocks // SLICE)
+    index = materialize(_packed(usable, F.pmod(F.xxhash64("id"), F.lit(blocks)), "v_block"), "index")
+    asked = materialize(_packed(usable.filter("asks"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)), "q_block"), "asked")
+    # A block is sent, and its arrays are built, once for each slice of the queries.
+    index = index.select("dim", "v_block", _numbers(slices).alias("slice"), F.lit(False).alias("asks"), "ids", "vectors")
+    asked = asked.select("dim", _numbers(blocks).alias("v_block"), F.pmod("q_block", F.lit(slices)).alias("slice"), F.lit(True).alias("asks"), "ids", "vectors")
+    tasks = max(int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks * slices, MOST_TASKS))
+    met = index.union(asked).repartition(tasks, "dim", "v_block", "slice").sortWithinPartitions("dim", "v_block", "slice", "asks")
     found = met.mapInArrow(_search(k), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stackloom.llm import chat, warc
+from stackloom.llm import neighbours
 from stackloom.llm.neighbours import nearest_neighbours
 from stackloom.llm.tables import fresh_path
 
@@ -189,3 +190,21 @@ def test_neighbours_reach_nine_tenths(spark):
     few = nearest_neighbours(table.filter("vec_id < 6"), F.col("vec_id") == 0, k=20).collect()
     assert len(few) == 5
     assert nearest_neighbours(table.limit(0), F.lit(True)).collect() == []
+
+
+def test_neighbours_over_several_blocks_and_slices(spark, monkeypatch):
+    for name, value in {"BLOCK": 500, "QUERY_BLOCK": 20, "SLICE": 2}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    vectors = np.random.default_rng(3).standard_normal((2000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(9000, [1.0, 0.0]), (9020, [0.5, 2.0])]
+    found = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(found) == {*range(0, 2000, 20), 9000, 9020} and found[9000] == [(1, 9020)]
+    hits = 0
+    for q in range(0, 2000, 20):
+        assert sorted(n for n, _ in found[q]) == list(range(1, 21))
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len({i for _, i in found[q]} & set(np.argsort(-scores)[:20].tolist()))
+    assert hits / 2000 >= 0.9
