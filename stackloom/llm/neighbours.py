@@ -29,6 +29,8 @@ SLICE, MOST_TASKS = 4, 20_000
 #: candidate lies; the share of a block in a first window; the widening factor; and the share
 #: of a block (and the multiple of k) that must be candidates before a search ends.
 DIRECTIONS, USUAL, COLLISIONS, FIRST, WIDEN, SHARE, TIMES = 128, 96, 0.875, 0.7, 1.06, 0.08, 6
+#: How far apart the arrays' values are kept; projections of unit vectors lie in [-1, 1].
+APART = 4.0
 
 
 class Block:
@@ -47,8 +49,12 @@ class Block:
         bases = [np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(max(1, round(USUAL / d)))]
         self.directions = np.column_stack(bases)[:, :DIRECTIONS]
         projected = lifted @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.sort(projected, axis=0).T.copy()
+        # The arrays lie one after another, each shifted by APART, so that one search finds the
+        # bounds of all windows.
+        self.order = np.argsort(projected, axis=0, kind="stable").T.ravel()
+        self.shifts = APART * np.arange(projected.shape[1])
+        self.sorted = (np.sort(projected, axis=0) + self.shifts).T.ravel()
+        self.longest = longest
         spans = np.quantile(projected, (0.5 - FIRST / 2, 0.5 + FIRST / 2), axis=0)
         self.start = max(float((spans[1] - spans[0]).mean() / 2), 1e-9)
         self.needed = int(np.ceil(COLLISIONS * self.directions.shape[1]))
@@ -62,28 +68,34 @@ class Block:
     def _widened(self, query: np.ndarray, k: int) -> tuple[np.ndarray, float]:
         """Windows hold most of an array, so what is counted are the vectors outside of them:
         widening takes back those of the new flanks."""
-        n, m = len(self.ids), len(self.sorted)
+        n, m, order = len(self.ids), len(self.shifts), self.order
         enough = min(n, max(int(SHARE * n), TIMES * k))
         centre = np.append(query / np.linalg.norm(query), 0.0) @ self.directions
-        radius, low, high = self.start, [0] * m, [n] * m
-        misses, first = np.zeros(n, np.int64), True
+        radius, misses, low, high = self.start, None, None, None
         while True:
-            flanks = []
-            for i in range(m):
-                a, b = self.sorted[i].searchsorted((centre[i] - radius, centre[i] + radius)).tolist()
-                flanks += (self.order[i, :a], self.order[i, b:]) if first else (self.order[i, a : low[i]], self.order[i, high[i] : b])
-                low[i], high[i] = a, b
-            counted = np.bincount(np.concatenate(flanks), minlength=n)
-            misses = counted if first else misses - counted
+            reach = np.clip((centre - radius, centre + radius), -APART / 2, APART / 2) + self.shifts
+            a, b = (side.tolist() for side in self.sorted.searchsorted(reach))
+            if misses is None:  # between one array's window and the next one's lies what both leave out
+                flanks = [order[i:j] for i, j in zip([0, *b], [*a, n * m], strict=True)]
+                misses = np.bincount(np.concatenate(flanks), minlength=n)
+            else:
+                flanks = [order[i:j] for x, y in ((a, low), (high, b)) for i, j in zip(x, y, strict=True)]
+                misses -= np.bincount(np.concatenate(flanks), minlength=n)
             found = np.flatnonzero(m - misses >= self.needed)
             if len(found) >= enough or not misses.any():
                 return found, radius
-            radius, first = radius * WIDEN, False
+            radius, low, high = radius * WIDEN, a, b
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         found = self.candidates(query, k + 1)
         found = found[self.ids[found] != query_id]
-        scores = (self.vectors[found] * query).sum(axis=1)
+        vectors = self.vectors[found]
+        if len(found) > k:  # a quick product leaves those that rounding could bring among the best
+            rough = vectors @ query
+            slack = 8 * len(query) * np.finfo(float).eps * self.longest * np.linalg.norm(query)
+            near = ~(rough < np.partition(rough, -k)[-k] - slack)
+            found, vectors = found[near], vectors[near]
+        scores = (vectors * query).sum(axis=1)
         best = np.lexsort((self.ids[found], -scores))[:k]
         return self.ids[found][best], scores[best]
 
