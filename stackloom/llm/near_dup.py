@@ -87,6 +87,10 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
+#: Pairs of one document that are confirmed together.
+PART = 1024
+
+
 def _signer(words: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +135,12 @@ def _confirmer(words: int, percent: int):
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, checked on whole texts."""
-    joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    """The pairs (a, b) that are linked, checked on whole texts. A document with many pairs meets
+    them in parts of about PART, each with a copy of its text."""
+    parts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts")), "parts")
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts")).drop("parts")
+    own = texts.toDF("a", "text_a").join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    joined = dealt.join(texts.toDF("b", "text_b"), "b").join(own, ["a", "part"])
     checked = joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_confirmer(words, percent), "a long, b long, linked boolean")
     return materialize(checked.filter("linked").select("a", "b"), "links")
 
@@ -197,7 +205,8 @@ def near_duplicates(
     classes = materialize(usable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")), "classes")
 
     posted = classes.select("rep", "n", F.explode("bands").alias("band"))
-    met = posted.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    # Written, like the centres and mixed buckets, so that AQE can split a frequent band's rows.
+    met = materialize(posted.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
     members = materialize(posted.join(met, "band"), "bucket-members")
     # The documents of all buckets, their texts, and how many others each meets.
     crowd = materialize(members.groupBy("rep").agg(F.sum("members").alias("meets"), F.first("n").alias("n")), "candidates")
@@ -206,7 +215,8 @@ def near_duplicates(
 
     ranked = members.join(crowd.drop("n"), "rep")
     centres = ranked.groupBy("band").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"), F.col("n").alias("centre_n"))).alias("c"))
-    stars = members.join(centres.select("band", (-F.col("c.minus")).alias("centre"), "c.centre_n"), "band").filter("rep != centre")
+    centres = materialize(centres.select("band", (-F.col("c.minus")).alias("centre"), "c.centre_n"), "centres")
+    stars = members.join(centres, "band").filter("rep != centre")
     stars = stars.filter((F.col("n") * 100 >= F.col("centre_n") * percent) & (F.col("centre_n") * 100 >= F.col("n") * percent))
     stars = materialize(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = _confirmed(texts, stars, words, percent)
@@ -215,7 +225,7 @@ def near_duplicates(
     # Buckets of three and more members can hold links that their centre has no part in.
     labelled = members.filter("members > 2").select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    mixed = materialize(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y"), "mixed")
     rest = labelled.join(mixed, "band", "left_semi").groupBy("rep").agg(F.first("label").alias("label"))
     pairs = _prefix_pairs(texts.join(rest.withColumnRenamed("rep", "id"), "id").select("id", "label", "text").dropDuplicates(["id"]), words, percent)
     more = _confirmed(texts, pairs, words, percent)
