@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.llm import chat, language, warc
+from stackloom.llm.centroids import cluster_vectors
 from stackloom.llm.decontaminate import find_leaks
 from stackloom.llm.licenses import scan_licenses
 from stackloom.llm.mixing import mix_sources
@@ -15,7 +16,9 @@ from stackloom.llm.near_dup import near_duplicates
 from stackloom.llm.neighbours import nearest_neighbours
 from stackloom.llm.secrets import scan_secrets
 from stackloom.llm.sharding import kd_shards
+from stackloom.llm.substrings import drop_repeats
 from stackloom.llm.tables import table
+from stackloom.llm.whitening import whiten
 
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,24 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "of"))
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.concat_ws(",", F.transform("centroid", lambda x: x.cast("string"))), 256)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_mix_sources": op9_mix_sources,
     "op10_neighbours": op10_neighbours,
+    "op11_substrings": op11_substrings,
+    "op12_whitening": op12_whitening,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
 
@@ -96,6 +120,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _rounds(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds as common table expressions: centroids c0, c1, ... of (cluster, dim, x)."""
+    out = f"""
+WITH vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (SELECT vec_id, unnest(x) AS x, unnest(range(64)) AS dim FROM vectors),
+first AS (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS cluster FROM vectors WHERE vec_id IS NOT NULL ORDER BY 2 LIMIT {k}),
+c0 AS (SELECT cluster, unnest(x) AS x, unnest(range(64)) AS dim FROM first)"""
+    for i in range(rounds + 1):
+        out += f""",
+d{i} AS (SELECT f.vec_id, c.cluster, CAST(sum((f.x - c.x) * (f.x - c.x)) AS BIGINT) AS distance FROM flat f JOIN c{i} c USING (dim) GROUP BY ALL),
+a{i} AS (SELECT vec_id, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM d{i} GROUP BY vec_id),
+s{i} AS (SELECT cluster, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM flat JOIN a{i} USING (vec_id) GROUP BY ALL),
+c{i + 1} AS (SELECT c.cluster, dim, CASE WHEN n IS NULL THEN c.x ELSE CAST((s - ((s % n) + n) % n) / n AS BIGINT) END AS x FROM c{i} c LEFT JOIN s{i} USING (cluster, dim))"""
+    return out
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
@@ -108,6 +151,19 @@ reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b F
 least AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
 FROM sets s LEFT JOIN least USING (doc_id)""",
+    "op11_substrings": f"""
+WITH words AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM windows JOIN firsts USING (win), range(13) AS t(o) WHERE first < doc_id),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)""",
+    "op13_centroids": f"""{_rounds()}
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia, h.digest AS centroid_sha256
+FROM a3 a JOIN (SELECT cluster, sha256(string_agg(x, ',' ORDER BY dim)) AS digest FROM c3 GROUP BY cluster) h USING (cluster)""",
     "op9_mix_sources": f"""
 WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents),
 classed AS (SELECT *, len(bin(size)) * 16 + ((size << 4) >> len(bin(size))) AS class,
