@@ -88,6 +88,13 @@ def _anchors(window: int):
     return anchors
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of a batch, and the hot ones among them, as bytes."""
+    for batch in batches:
+        anchors, hot = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array([anchors.tobytes()]), pa.array([anchors[hot].tobytes()])], ["known", "often"])
+
+
 def _codes(words: np.ndarray) -> np.ndarray:
     return words.view(np.uint8).reshape(-1, 8)[:, :CODE]
 
@@ -243,8 +250,8 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
     repeated = materialize(seen.filter("low < high").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
     schema = "route long, hot boolean, key long, id long, start int, words binary"
     if 8 * repeated.count() <= BROADCAST_BYTES:
-        found = repeated.toPandas()  # within BROADCAST_BYTES
-        known, often = np.sort(found["anchor"].to_numpy(np.int64)), found.loc[found["hot"], "anchor"].to_numpy(np.int64)
+        parts = repeated.mapInArrow(_packed, "known binary, often binary").collect()  # within BROADCAST_BYTES
+        known, often = (np.sort(np.frombuffer(b"".join(getattr(p, c) for p in parts), np.int64)) for c in ("known", "often"))
         send = spark.sparkContext.broadcast
         return rows.select("key", "id", "text").mapInArrow(_emit(window, send(known), send(often)), schema)
     own = rows.select("key", "text").withColumnRenamed("key", "id").mapInArrow(_anchors(window), "anchor long, id long")
