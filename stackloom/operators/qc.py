@@ -61,22 +61,32 @@ def available_filters(rows: DataFrame, csv: str) -> DataFrame:
     return on_axis.select(F.explode(F.array(F.struct(F.lit("axis").alias("kind"), F.substring_index("reason", ":", 1).alias("value")), F.struct(F.lit("flag").alias("kind"), flag_of(F.col("reason")).alias("value")))).alias("x")).select("x.*").distinct()
 
 
+def has_flag(csv: Column, axis: str | None = None, flag: str | None = None) -> Column:
+    """Whether any reason is one of the axis (null: of any axis) and has the flag (null: any). The
+    reasons' case counts, and a reason may have more text before or behind."""
+    return reduce(lambda a, b: a | b, (F.coalesce(csv, F.lit("")).contains(f"{a}:{flag or ''}") for a in ([axis] if axis else AXES)))
+
+
+def worth_a_look(intent: Column, csv: Column) -> Column:
+    """Localizers are looked at only for what is missing or in conflict; a stack without an
+    intent is treated like them."""
+    return F.coalesce(intent != "localizer", F.lit(False)) | has_flag(csv, flag="missing") | has_flag(csv, flag="conflict")
+
+
 def worklist(cache: DataFrame, subjects: DataFrame, members: DataFrame, cohorts: DataFrame, drafts: DataFrame, cohort_id: int, axis: str | None = None, flag: str | None = None) -> DataFrame:
     """The stacks of a cohort that need a look at an axis, each once, with their drafts.
 
     A stack belongs to a cohort that it comes from by name, or of which its subject is a member.
     cache(stack_id, series_id, subject_id, origin, study_date, field_strength, manufacturer, model,
-    localizer, review_required, review_reasons, ...); drafts(series_id, field, new_value) are shown as
-    one JSON object. The order is the caller's: WORKLIST_ORDER.
+    intent, review_required, review_reasons, ...); drafts(series_id, field, new_value) are shown as
+    one JSON object. The order is the caller's: WORKLIST_ORDER; worklist_page cuts a page.
     """
     name = cohorts.filter(F.col("cohort_id") == cohort_id).select(F.col("name").alias("__name"))
     listed = members.filter(F.col("cohort_id") == cohort_id).select("subject_id").distinct().withColumn("__member", F.lit(True))
     rows = cache.join(listed, "subject_id", "left").join(name, F.col("origin") == F.col("__name"), "left")
     rows = rows.filter(F.col("__member").isNotNull() | F.col("__name").isNotNull()).drop("__member", "__name")
-    rows = rows.filter("review_required = 1 and coalesce(localizer, 0) = 0")
-    wanted = [axis] if axis else list(AXES)
     csv = F.col("review_reasons")
-    rows = rows.filter(reduce(lambda a, b: a | b, ((axis_flag(csv, a) == flag) if flag else axis_flag(csv, a).isNotNull() for a in wanted)))
+    rows = rows.filter((F.col("review_required") == 1) & has_flag(csv, axis, flag) & worth_a_look(F.col("intent"), csv))
     changes = drafts.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("field", "new_value"))).alias("d"))
     changes = changes.select("series_id", F.to_json(F.map_from_entries("d")).alias("draft_changes"))
     rows = rows.join(subjects.select("subject_id", "subject_code"), "subject_id", "left").join(changes, "series_id", "left")
@@ -91,6 +101,11 @@ def worklist_order() -> list[Column]:
     return [F.col(c[1:]).desc_nulls_last() if c[0] == "-" else F.col(c).asc_nulls_last() for c in WORKLIST_ORDER]
 
 
+def worklist_page(listed: DataFrame, offset: int = 0, limit: int = 100) -> tuple[DataFrame, int]:
+    """A page of a worklist in its order, and the number of items in all."""
+    return listed.orderBy(*worklist_order()).offset(offset).limit(limit), listed.count()
+
+
 def confirm_drafts(cache: DataFrame, drafts: DataFrame, key: str = "series_id") -> DataFrame:
     """The cache with its drafts pushed: the drafted axes take the new values, their reasons go,
     and review_required becomes 0 where no reason is left. Drafts of other fields, and rows

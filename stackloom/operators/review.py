@@ -16,8 +16,10 @@ class Rule:
 
 
 _ANAT = "intent = 'anat'"
-_EMPTY = "coalesce({0}, 'Unknown') IN ('', 'Unknown')"
+_EMPTY = "coalesce({0}, '') = ''"
+_HERE = "coalesce(localizer, 0) <> 1"
 _LOWER = "lower(coalesce(constructs, ''))"
+_NOT_FROM = "coalesce(provenance, '') NOT IN ({0})"
 #: The families that a rule knows of techniques, and the constructs that it expects of provenances.
 SE_TECHNIQUES = ("TSE", "SPACE", "BLADE", "PROPELLER", "HASTE", "Multi-echo SE", "IR-TSE", "STIR", "FLAIR", "DIR")
 EP_TECHNIQUES = ("EPI", "DWI-EPI", "BOLD-EPI", "Perfusion-EPI")
@@ -32,19 +34,21 @@ _UNEXPECTED = " OR ".join(f"(provenance = '{p}' AND NOT (" + " OR ".join(f"conta
 #: The rules in their order, with their bounds.
 RULES = (
     Rule("technique_family_mismatch", "error", f"(provenance = 'SWIRecon' AND technique IN ({_SE}, {_EP})) OR (technique IN ({_SE}) AND (contains({_LOWER}, 'swi') OR contains({_LOWER}, 'qsm')))"),
-    Rule("technique_missing", "warning", f"NOT {_EMPTY.format('base')} AND {_EMPTY.format('technique')} AND provenance <> 'Localizer' AND intent <> 'excluded'"),
-    Rule("brain_aspect", "warning", f"{_ANAT} AND (aspect > 1.4 OR aspect < 0.7)"),
-    Rule("spine_aspect", "warning", "spinal_cord = 1 AND aspect < 1.3"),
-    Rule("localizer_slices", "warning", "provenance = 'Localizer' AND n_instances > 20"),
-    Rule("low_slices", "info", f"{_ANAT} AND n_instances < 10"),
+    Rule("technique_missing", "warning", f"{_HERE} AND coalesce(intent, '') NOT IN ('localizer', 'excluded') AND {_NOT_FROM.format("'SyMRI', 'SWIRecon', 'DTIRecon'")} AND {_EMPTY.format('technique')} AND NOT {_EMPTY.format('base')}"),
+    Rule("brain_aspect_ratio_anomaly", "warning", f"{_ANAT} AND coalesce(spinal_cord, 0) <> 1 AND {_HERE} AND (aspect > 1.4 OR aspect < 0.7)"),
+    Rule("spine_aspect_ratio_anomaly", "warning", "spinal_cord = 1 AND aspect < 1.3"),
+    Rule("localizer_slice_count", "warning", "localizer = 1 AND n_instances > 20"),
+    Rule("non_localizer_low_slices", "info", f"{_HERE} AND {_ANAT} AND n_instances < 10"),
     Rule("provenance_construct_mismatch", "warning", f"{_LOWER} <> '' AND ({_UNEXPECTED})"),
     Rule("contrast_undetermined", "info", f"{_ANAT} AND base = 'T1w' AND post_contrast IS NULL"),
-    Rule("base_missing", "warning", f"{_ANAT} AND {_EMPTY.format('base')} AND coalesce(constructs, '') = '' AND provenance = 'RawRecon'"),
+    Rule("base_missing", "warning", f"{_HERE} AND {_ANAT} AND {_EMPTY.format('constructs')} AND {_NOT_FROM.format("'SyMRI', 'SWIRecon', 'DTIRecon', 'PerfusionRecon'")} AND {_EMPTY.format('base')}"),
 )
 
 
 def violations(rows: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each violated rule: keep, rule, severity. A condition that is null holds not."""
+    """One row for each violated rule: keep, rule, severity. A condition that is null holds not.
+
+    rows(base, technique, provenance, constructs, intent, localizer, spinal_cord, post_contrast, aspect, n_instances)."""
     found = [F.when(F.expr(r.violated), F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules]
     return rows.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("v")).select(*keep, "v.rule", "v.severity")
 

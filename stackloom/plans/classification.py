@@ -54,9 +54,29 @@ def classification_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(again.alias("x"), "k").groupBy("x.axis", "x.value").agg(F.sum("k").alias("n"))
 
 
+_RULE_FIELDS = "base technique provenance constructs intent localizer spinal_cord post_contrast aspect n_instances".split()
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored classifications whose axes are dealt out so that every rule finds some."""
+    k = F.col("k")
+    number = lambda values, key: _dealt(values, key).cast("int")
+    return _orders(spark, sf_dir).withColumns({
+        "base": _dealt(("T1w", None, "", "T2w", "Unknown"), k), "technique": _dealt(("TSE", None, "EPI", "", "MPRAGE", "RESOLVE", "Unknown"), k),
+        "provenance": _dealt(("RawRecon", "SWIRecon", None, "DTIRecon", "SyMRI", "PerfusionRecon", "EPIMix", "Localizer", "RawRecon", "RawRecon", "RawRecon"), k),
+        "constructs": _dealt((None, "SWI,Phase", "", "QSM", "ADC,FA", "T1map", "CBF", None, "", None, "Other", None, None), k),
+        "intent": _dealt(("anat", "anat", "dwi", "localizer", None, "excluded", "anat", "fmap"), F.floor(k / 2)), "localizer": number((0, 0, None, 1), F.floor(k / 3)),
+        "spinal_cord": number((None, 0, 1), F.floor(k / 5)), "post_contrast": number((None, 1, 0), F.floor(k / 7)),
+        "aspect": F.when(k % 9 != 0, (k % 30) / 12), "n_instances": F.when(k % 8 != 0, (k % 40).cast("int")),
+    })
+
+
 def qc_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violated rules of every stack (Q1-Q10)."""
-    return R.violations(_classified(spark, sf_dir), ["stack_id"])
+    """Violated rules of every stack, as classified and as stored (Q1-Q10)."""
+    localizer = F.when(F.col("provenance") == "Localizer", 1).otherwise(0)
+    classified = R.violations(_classified(spark, sf_dir).withColumn("localizer", localizer), ["stack_id"])
+    stored = R.violations(_stored(spark, sf_dir).select(F.concat(F.lit("o"), "stack_id").alias("stack_id"), *_RULE_FIELDS), ["stack_id"])
+    return classified.union(stored)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +152,7 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reviewed(spark, sf_dir).select(
         "stack_id", F.col("stack_id").alias("series_id"), "subject_id", "study_date", "review_reasons",
         F.when(F.coalesce("review_reasons", F.lit("")) == "", 0).otherwise(1).alias("review_required"),
-        F.when(k % 17 == 0, "asia").alias("origin"), (k % 13 == 0).cast("int").alias("localizer"),
+        F.when(k % 17 == 0, "asia").alias("origin"), F.when(k % 13 == 0, "localizer").when(k % 11 != 0, "anat").alias("intent"),
         F.when(k % 3 != 0, k % 7).alias("field_strength"), _dealt(("GE", "SIEMENS", None), k).alias("manufacturer"), _dealt(("m1", "m2"), k).alias("model"),
         F.lit("T1w").alias("base"), F.lit("TSE").alias("technique"), F.lit("FLAIR").alias("modifiers"), F.lit("RawRecon").alias("provenance"), F.lit("ADC").alias("constructs"),
     )
@@ -144,10 +164,23 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.filter("draft_id % 3 <> 0").withColumn("new_value", F.concat(F.lit("v"), F.col("draft_id") % 5))
 
 
+def _worklist(spark: SparkSession, sf_dir: str, axis: str | None, flag: str | None) -> DataFrame:
+    return qc.worklist(_cache(spark, sf_dir), A.subjects(spark, sf_dir), A.subject_cohorts(spark, sf_dir), A.cohorts(spark, sf_dir), _drafts(spark, sf_dir), 2, axis, flag)
+
+
+_SHOWN = ("stack_id", "subject_code", "study_date", "field_strength", "manufacturer", "review_reasons", "has_draft", "draft_changes")
+
+
 def qc_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 items of a cohort's worklist on base problems."""
-    listed = qc.worklist(_cache(spark, sf_dir), A.subjects(spark, sf_dir), A.subject_cohorts(spark, sf_dir), A.cohorts(spark, sf_dir), _drafts(spark, sf_dir), 2, axis="base")
-    return listed.orderBy(*qc.worklist_order()).limit(500).select("stack_id", "subject_code", "study_date", "field_strength", "manufacturer", "review_reasons", "has_draft", "draft_changes")
+    """A page of a cohort's worklist on base problems: items 101 to 600."""
+    return qc.worklist_page(_worklist(spark, sf_dir, "base", None), 100, 500)[0].select(*_SHOWN)
+
+
+def qc_worklist_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole worklists by axis and flag: any reason of the axis counts."""
+    asked = (("base", "missing"), ("technique", "conflict"), (None, "low_confidence"), (None, None))
+    parts = [_worklist(spark, sf_dir, a, f).select(F.lit(f"{a or 'any'}:{f or 'any'}").alias("asked"), "stack_id", "review_reasons", "has_draft") for a, f in asked]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def qc_confirm_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +212,7 @@ def export_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.chosen(_stacks(spark, sf_dir), intents=("anat", "misc"), include=("SyMRI",), exclude=("RawRecon",)).groupBy("intent", "provenance").agg(F.count("*").alias("n"))
 
 
-_ALL = (classify_stacks, classification_breakdown, qc_rule_violations, intent_synthesis, acceleration_regex, acquisition_type_inference, technique_compatibility, qc_categorise_priority, qc_axis_flags, qc_available_filters, qc_worklist, qc_confirm_drafts, export_plan, export_filters)
+_ALL = (classify_stacks, classification_breakdown, qc_rule_violations, intent_synthesis, acceleration_regex, acquisition_type_inference, technique_compatibility, qc_categorise_priority, qc_axis_flags, qc_available_filters, qc_worklist, qc_worklist_flags, qc_confirm_drafts, export_plan, export_filters)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # Protocol -> what the detectors are to make of it: provenance and confidence,
@@ -231,15 +264,37 @@ _STACKS = """s AS (SELECT concat_ws('.', l_orderkey, l_linenumber, l_suppkey, l_
 t AS (SELECT *, count(*) OVER (PARTITION BY series_id) > 1 AS several, ['anat', 'dwi', NULL][k % 3 + 1] AS intent, ['RawRecon', 'SyMRI', NULL, 'SWIRecon', 'EPIMix'][k % 5 + 1] AS provenance,
     CASE WHEN k % 4 <> 0 THEN lpad(CAST(k % 50 AS VARCHAR), 6, '0') ELSE 'zzz' END AS at_ FROM s)"""
 
+_LISTED = """j AS (SELECT series_id, to_json(map(list(field ORDER BY field), list(v ORDER BY field)))::VARCHAR AS draft_changes FROM d GROUP BY 1),
+member AS (SELECT c_custkey AS subject_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 OR (c_custkey % 7 = 0 AND (n_regionkey + 1) % 5 = 2)),
+listed AS (SELECT stack_id, c_name AS subject_code, study_date, CASE WHEN k % 3 <> 0 THEN k % 7 END AS field_strength, ['GE', 'SIEMENS', NULL][k % 3 + 1] AS manufacturer, ['m1', 'm2'][k % 2 + 1] AS model,
+    reasons AS review_reasons, draft_changes IS NOT NULL AS has_draft, draft_changes
+    FROM r LEFT JOIN customer ON c_custkey = subject_id LEFT JOIN j ON series_id = stack_id
+    WHERE (k % 17 = 0 OR subject_id IN (SELECT subject_id FROM member)) AND reasons <> ''
+    AND ((k % 13 <> 0 AND k % 11 <> 0) OR regexp_matches(reasons, '(base|technique|modifier|provenance|construct):(missing|conflict)')))"""
+_STORED = f"""SELECT 'o' || o_orderkey AS stack_id, {_AT(("T1w", None, "", "T2w", "Unknown"), f"({_K})")} AS base, {_AT(("TSE", None, "EPI", "", "MPRAGE", "RESOLVE", "Unknown"), f"({_K})")} AS technique,
+    {_AT(("RawRecon", "SWIRecon", None, "DTIRecon", "SyMRI", "PerfusionRecon", "EPIMix", "Localizer", "RawRecon", "RawRecon", "RawRecon"), f"({_K})")} AS provenance,
+    {_AT((None, "SWI,Phase", "", "QSM", "ADC,FA", "T1map", "CBF", None, "", None, "Other", None, None), f"({_K})")} AS constructs,
+    {_AT(("anat", "anat", "dwi", "localizer", None, "excluded", "anat", "fmap"), f"(({_K}) // 2)")} AS intent, CAST({_AT((0, 0, None, 1), f"(({_K}) // 3)")} AS INTEGER) AS localizer,
+    CAST({_AT((None, 0, 1), f"(({_K}) // 5)")} AS INTEGER) AS spinal_cord, CAST({_AT((None, 1, 0), f"(({_K}) // 7)")} AS INTEGER) AS post_contrast,
+    CASE WHEN ({_K}) % 9 <> 0 THEN (({_K}) % 30)::DOUBLE / 12 END AS aspect, CASE WHEN ({_K}) % 8 <> 0 THEN CAST(({_K}) % 40 AS INTEGER) END AS n_instances FROM orders"""
+
 ORACLE_SQL = {
     "classify_stacks": f"WITH {_EXPECTED} SELECT stack_id, aspect, n_instances, provenance, provenance_confidence, technique, technique_confidence, base, base_confidence, modifiers, constructs, accelerations, post_contrast, spinal_cord, excluded, intent, review_reasons FROM c",
     "classification_breakdown": f"WITH {_EXPECTED}, a AS (SELECT 'intent' AS axis, intent AS value FROM c UNION ALL SELECT 'base', base FROM c UNION ALL SELECT 'technique', technique FROM c UNION ALL SELECT 'provenance', provenance FROM c UNION ALL SELECT 'post_contrast', CAST(post_contrast AS VARCHAR) FROM c UNION ALL SELECT 'review', CASE WHEN review_reasons = '' THEN '0' ELSE '1' END FROM c) SELECT axis, value, count(*) AS n FROM a GROUP BY ALL",
-    "qc_rule_violations": f"""WITH {_EXPECTED}
-SELECT stack_id, 'brain_aspect' AS rule, 'warning' AS severity FROM c WHERE intent = 'anat' AND (aspect > 1.4::DOUBLE OR aspect < 0.7::DOUBLE)
-UNION ALL SELECT stack_id, 'spine_aspect', 'warning' FROM c WHERE spinal_cord = 1 AND aspect < 1.3::DOUBLE
-UNION ALL SELECT stack_id, 'localizer_slices', 'warning' FROM c WHERE provenance = 'Localizer' AND n_instances > 20
-UNION ALL SELECT stack_id, 'low_slices', 'info' FROM c WHERE intent = 'anat' AND n_instances < 10
-UNION ALL SELECT stack_id, 'contrast_undetermined', 'info' FROM c WHERE intent = 'anat' AND base = 'T1w' AND post_contrast IS NULL""",
+    "qc_rule_violations": f"""WITH {_EXPECTED}, z AS ({_STORED}), y AS (
+SELECT stack_id, base, technique, provenance, constructs, intent, CASE WHEN provenance = 'Localizer' THEN 1 ELSE 0 END AS localizer, spinal_cord, post_contrast, aspect, n_instances FROM c UNION ALL SELECT * FROM z),
+x AS (SELECT *, coalesce(constructs, '') AS con, coalesce(provenance, '') AS prov, coalesce(intent, '') AS folder, coalesce(localizer, 0) = 1 AS scout, coalesce(base, '') AS b, coalesce(technique, '') AS t FROM y)
+SELECT stack_id, 'technique_family_mismatch' AS rule, 'error' AS severity FROM x
+    WHERE (prov = 'SWIRecon' AND t IN ('TSE', 'EPI')) OR (t = 'TSE' AND (con LIKE '%SWI%' OR con = 'QSM')) -- of the techniques dealt, TSE is of the SE family, EPI of EP; RESOLVE may be any
+UNION ALL SELECT stack_id, 'technique_missing', 'warning' FROM x WHERE NOT scout AND folder NOT IN ('localizer', 'excluded') AND prov NOT IN ('SyMRI', 'SWIRecon', 'DTIRecon') AND t = '' AND b <> ''
+UNION ALL SELECT stack_id, 'brain_aspect_ratio_anomaly', 'warning' FROM x WHERE folder = 'anat' AND spinal_cord IS DISTINCT FROM 1 AND NOT scout AND (aspect > 1.4::DOUBLE OR aspect < 0.7::DOUBLE)
+UNION ALL SELECT stack_id, 'spine_aspect_ratio_anomaly', 'warning' FROM x WHERE spinal_cord = 1 AND aspect < 1.3::DOUBLE
+UNION ALL SELECT stack_id, 'localizer_slice_count', 'warning' FROM x WHERE scout AND n_instances > 20
+UNION ALL SELECT stack_id, 'non_localizer_low_slices', 'info' FROM x WHERE NOT scout AND folder = 'anat' AND n_instances < 10
+UNION ALL SELECT stack_id, 'provenance_construct_mismatch', 'warning' FROM x WHERE con <> '' AND CASE prov WHEN 'SWIRecon' THEN NOT regexp_matches(con, '(?i)swi|qsm|phase|magnitude|m(in)?ip')
+    WHEN 'DTIRecon' THEN NOT regexp_matches(con, '(?i)adc|fa|trace|md|ad|rd') WHEN 'SyMRI' THEN NOT regexp_matches(con, '(?i)t[12]map|pdmap|myelin|synthetic') WHEN 'PerfusionRecon' THEN NOT regexp_matches(con, '(?i)cb[fv]|mtt|tmax|ttp') ELSE false END
+UNION ALL SELECT stack_id, 'contrast_undetermined', 'info' FROM x WHERE folder = 'anat' AND b = 'T1w' AND post_contrast IS NULL
+UNION ALL SELECT stack_id, 'base_missing', 'warning' FROM x WHERE NOT scout AND folder = 'anat' AND con = '' AND prov NOT IN ('SyMRI', 'SWIRecon', 'DTIRecon', 'PerfusionRecon') AND b = ''""",
     "intent_synthesis": f"""
 WITH x AS (SELECT o_orderkey AS stack_id, {_AT(_BASES, f'({_K})')} AS base, string_split(coalesce({_AT(_CONSTRUCTS, f'({_K})')}, ''), ',') AS c, {_AT(_PROVENANCES, f'({_K})')} AS p, {_AT(_TEXTS, f'({_K})')} AS t, {_AT(_TECHNIQUES, f'({_K})')} AS q FROM orders)
 SELECT stack_id, CASE WHEN p = 'Localizer' THEN 'localizer' WHEN p = 'DTIRecon' THEN 'dwi' WHEN p = 'ASLRecon' THEN 'perf' WHEN p = 'BOLDRecon' THEN 'func'
@@ -277,12 +332,13 @@ SELECT stack_id, category, priority FROM r JOIN m USING (reasons)""",
     "qc_axis_flags": f"WITH {_REV} SELECT stack_id, " + ", ".join(f"{_FLAG(a)} AS {a}_flag" for a in qc.AXES) + " FROM r",
     "qc_available_filters": "SELECT * FROM (VALUES ('axis', 'base'), ('axis', 'technique'), ('axis', 'provenance'), ('flag', 'missing'), ('flag', 'conflict'), ('flag', 'low_confidence'), ('flag', 'ambiguous'), ('flag', 'review')) v(kind, value)",
     "qc_worklist": f"""
-WITH {_REV}, {_DRAFT}, j AS (SELECT series_id, to_json(map(list(field ORDER BY field), list(v ORDER BY field)))::VARCHAR AS draft_changes FROM d GROUP BY 1),
-member AS (SELECT c_custkey AS subject_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 OR (c_custkey % 7 = 0 AND (n_regionkey + 1) % 5 = 2))
-SELECT stack_id, c_name AS subject_code, study_date, CASE WHEN k % 3 <> 0 THEN k % 7 END AS field_strength, ['GE', 'SIEMENS', NULL][k % 3 + 1] AS manufacturer, reasons AS review_reasons, draft_changes IS NOT NULL AS has_draft, draft_changes
-FROM r LEFT JOIN customer ON c_custkey = subject_id LEFT JOIN j ON series_id = stack_id
-WHERE (k % 17 = 0 OR subject_id IN (SELECT subject_id FROM member)) AND k % 13 <> 0 AND reasons LIKE '%base:%'
-ORDER BY c_name NULLS LAST, study_date NULLS LAST, field_strength DESC NULLS LAST, manufacturer NULLS LAST, ['m1', 'm2'][k % 2 + 1], stack_id LIMIT 500""",
+WITH {_REV}, {_DRAFT}, {_LISTED} SELECT stack_id, subject_code, study_date, field_strength, manufacturer, review_reasons, has_draft, draft_changes FROM listed WHERE review_reasons LIKE '%base:%'
+ORDER BY subject_code NULLS LAST, study_date NULLS LAST, field_strength DESC NULLS LAST, manufacturer NULLS LAST, model, stack_id LIMIT 500 OFFSET 100""",
+    "qc_worklist_flags": f"""
+WITH {_REV}, {_DRAFT}, {_LISTED} SELECT 'base:missing' AS asked, stack_id, review_reasons, has_draft FROM listed WHERE review_reasons LIKE '%base:missing%'
+UNION ALL SELECT 'technique:conflict', stack_id, review_reasons, has_draft FROM listed WHERE review_reasons LIKE '%technique:conflict%'
+UNION ALL SELECT 'any:low_confidence', stack_id, review_reasons, has_draft FROM listed WHERE regexp_matches(review_reasons, '(base|technique|modifier|provenance|construct):low_confidence')
+UNION ALL SELECT 'any:any', stack_id, review_reasons, has_draft FROM listed WHERE regexp_matches(review_reasons, '(base|technique|modifier|provenance|construct):')""",
     "qc_confirm_drafts": f"""
 WITH {_REV}, {_DRAFT}, w AS (SELECT series_id AS stack_id, max(v) FILTER (field = 'base') AS b, max(v) FILTER (field = 'technique') AS t FROM d GROUP BY 1),
 l AS (SELECT r.*, b, t, CASE WHEN b IS NULL AND t IS NULL THEN reasons ELSE nullif(array_to_string(list_filter(string_split(reasons, ','), lambda x: NOT ((b IS NOT NULL AND x LIKE 'base:%') OR (t IS NOT NULL AND x LIKE 'technique:%'))), ','), '') END AS kept FROM r LEFT JOIN w USING (stack_id))

@@ -189,7 +189,7 @@ SELECT o_orderkey, d AS date_text, CAST(try_strptime(d, '%Y-%m-%d') AS DATE) AS
 SELECT event_id, ([true, false, true, false, true, NULL, true])[event_id % 7 + 1] AS value, CASE WHEN event_id % 7 = 5 THEN 'not a truth value: maybe' END AS warning FROM events""",
     "field_strength_snap": f"""
 WITH {A.CTES}, r AS (SELECT DISTINCT sop_uid, part_id, te, CASE WHEN te % 2 = 0 THEN te / 10 + 0.013::DOUBLE ELSE te * 600 END AS raw FROM instance), t AS (SELECT *, CASE WHEN raw > 100 THEN raw / 10000 ELSE raw END AS tesla FROM r)
-SELECT sop_uid, part_id, te, raw, (list_sort(list_transform([0.2, 0.35, 0.5, 1.0, 1.5, 3.0, 7.0]::DOUBLE[], lambda s: {{'d': abs(tesla - s), 's': s}})))[1].s AS field_strength FROM t""",
+SELECT sop_uid, part_id, te, raw, (list_sort(list_transform([0.5, 1.0, 1.5, 3.0, 7.0]::DOUBLE[], lambda s: {{'d': abs(tesla - s), 's': s}})))[1].s AS field_strength FROM t""",
     "physics_bins": f"""
 WITH {A.CTES} SELECT DISTINCT sop_uid, part_id, CAST(round_even(tr / 100, 0) * 100 AS INTEGER) AS tr_bin, CAST(round_even(te / 5, 0) * 5 AS INTEGER) AS te_bin, CAST(round_even(ti / 100, 0) * 100 AS INTEGER) AS ti_bin,
     CAST(round_even(fa / 5, 0) * 5 AS INTEGER) AS fa_bin, CASE WHEN te > 0 THEN CAST(ceil(te / 20) * 20 AS INTEGER) END AS slice_bin FROM instance""",

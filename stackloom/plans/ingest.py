@@ -42,15 +42,42 @@ def orphan_parent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return childless.union(parentless)
 
 
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances with all fields of a stack's signature: orders are series of MR, CT or PET images,
+    and what varies within a series follows from its number."""
+    o, line = F.col("l_orderkey"), F.col("l_linenumber")
+    kind, what, half = o % 3, F.floor(o / 3) % 12, line % 2
+    varies = lambda *which: half * what.isin(*which).cast("int")
+    of = lambda modality, value: F.when(kind == modality, value)
+    noise = (F.col("l_suppkey") % 3) * 0.001  # less than the rounding
+    plane = F.element_at(F.array(*map(F.lit, ("Axial", "Coronal"))), (varies(3, 11) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        o.alias("series_id"), F.concat_ws(".", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("sop_uid"), line.alias("line"),
+        of(0, 10.0 + 5.25 * varies(0, 1) + noise).alias("echo_time"), of(0, F.when(what == 4, 900.0 + 50 * varies(4))).alias("inversion_time"), of(0, (1 + varies(1)).cast("string")).alias("echo_numbers"),
+        of(0, 7 + varies(10)).alias("echo_train_length"), of(0, 2000.0 + 100 * varies(7, 9) + noise).alias("repetition_time"), of(0, F.when(what != 5, F.lit(90.0)).when(half == 0, 30.0)).alias("flip_angle"),
+        of(0, F.when(varies(6, 9) == 1, "HEA;HEP").otherwise("HEA")).alias("receive_coil_name"), of(1, 100 + varies(0)).cast("string").alias("xray_exposure"), of(1, 120.0 + 20 * varies(1, 2) + noise).alias("kvp"),
+        of(1, 200.0 + 10 * varies(2) + 10 * noise).alias("tube_current"), of(2, varies(0, 1)).cast("int").alias("pet_bed_index"), of(2, F.when(varies(1, 2) == 1, "dynamic").otherwise("static")).alias("pet_frame_type"),
+        plane.alias("orientation"), F.when(varies(8) == 1, "DERIVED").when(what == 8, None).otherwise("ORIGINAL").alias("image_type"),
+    )
+
+
 def stack_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stacks of each series and their index."""
-    found = K.discover(A.instances(spark, sf_dir), {"image_type": None, "coil": None, "echo_numbers": None})
-    return found.select("series_id", "image_type", "coil", "echo_numbers", "first_sop", "n_instances", "stack_index")
+    """Stacks over all signature fields in two runs: what the first run has found keeps its index,
+    the second's new ones follow (A6, K5, W2)."""
+    rows = _headers(spark, sf_dir)
+    first = K.ensure_stacks(rows.filter("line between 2 and 3"), None)
+    return K.ensure_stacks(rows, first).drop("first_instance")
+
+
+def stack_of_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each instance with the index of its stack (K5)."""
+    rows = _headers(spark, sf_dir)
+    return K.stack_of_instances(rows, K.ensure_stacks(rows)).select("sop_uid", "series_id", "stack_index")
 
 
 def stack_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What varies between a series' stacks."""
-    return K.stack_key(A.instances(spark, sf_dir).select("series_id", "te", "ti", "fa", "image_type", "coil").distinct())
+    return K.stack_key(K.ensure_stacks(_headers(spark, sf_dir)))
 
 
 def stack_instance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +170,27 @@ def archive_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_ordered(documents, "source", "name", "size", 50_000).select("source", "name", "size", "chunk")
 
 
-QUERIES = {f.__name__: f for f in (dedupe_instances, ingest_conflicts, assign_dimension_ids, orphan_parent_audit, stack_discovery, stack_key, stack_instance_counts, stack_metrics, first_instance_per_stack, resume_filter, sister_series, middle_instance, import_subjects_upsert, import_memberships_replace, import_identifiers_replace, table_explorer_page, archive_bin_packing)}
+QUERIES = {f.__name__: f for f in (dedupe_instances, ingest_conflicts, assign_dimension_ids, orphan_parent_audit, stack_discovery, stack_of_instance, stack_key, stack_instance_counts, stack_metrics, first_instance_per_stack, resume_filter, sister_series, middle_instance, import_subjects_upsert, import_memberships_replace, import_identifiers_replace, table_explorer_page, archive_bin_packing)}
+
+_FIELDS = ", ".join(K.SIGNATURE)
+_NULLS = ", ".join(f"{c} NULLS FIRST" for c in K.SIGNATURE)
+_SAME = " AND ".join(f"b.{c} IS NOT DISTINCT FROM one.{c}" for c in K.SIGNATURE)
+_HEADERS = """h AS (SELECT l_orderkey AS series_id, concat_ws('.', l_orderkey, l_linenumber, l_suppkey, l_partkey) AS sop_uid, l_linenumber AS line, kind, what,
+    CASE WHEN kind = 0 THEN CASE WHEN what IN (0, 1) AND half = 1 THEN 15.25::DOUBLE ELSE 10.0::DOUBLE END END AS echo_time,
+    CASE WHEN kind = 0 AND what = 4 THEN CASE WHEN half = 1 THEN 950.0::DOUBLE ELSE 900.0::DOUBLE END END AS inversion_time,
+    CASE WHEN kind = 0 THEN CASE WHEN what = 1 AND half = 1 THEN '2' ELSE '1' END END AS echo_numbers,
+    CASE WHEN kind = 0 THEN CASE WHEN what = 10 AND half = 1 THEN 8 ELSE 7 END END::BIGINT AS echo_train_length,
+    CASE WHEN kind = 0 THEN CASE WHEN what IN (7, 9) AND half = 1 THEN 2100.0::DOUBLE ELSE 2000.0::DOUBLE END END AS repetition_time,
+    CASE WHEN kind = 0 THEN CASE WHEN what <> 5 THEN 90.0::DOUBLE WHEN half = 0 THEN 30.0::DOUBLE END END AS flip_angle,
+    CASE WHEN kind = 0 THEN CASE WHEN what IN (6, 9) AND half = 1 THEN 'HEA;HEP' ELSE 'HEA' END END AS receive_coil_name,
+    CASE WHEN kind = 1 THEN CASE WHEN what = 0 AND half = 1 THEN '101' ELSE '100' END END AS xray_exposure,
+    CASE WHEN kind = 1 THEN CASE WHEN what IN (1, 2) AND half = 1 THEN 140.0::DOUBLE ELSE 120.0::DOUBLE END END AS kvp,
+    CASE WHEN kind = 1 THEN CASE WHEN what = 2 AND half = 1 THEN 210.0::DOUBLE ELSE 200.0::DOUBLE END END AS tube_current,
+    CASE WHEN kind = 2 THEN CASE WHEN what IN (0, 1) THEN half ELSE 0 END END::INTEGER AS pet_bed_index,
+    CASE WHEN kind = 2 THEN CASE WHEN what IN (1, 2) AND half = 1 THEN 'dynamic' ELSE 'static' END END AS pet_frame_type,
+    CASE WHEN what IN (3, 11) AND half = 1 THEN 'Coronal' ELSE 'Axial' END AS orientation,
+    CASE WHEN what <> 8 THEN 'ORIGINAL' WHEN half = 1 THEN 'DERIVED' END AS image_type
+    FROM (SELECT *, l_orderkey % 3 AS kind, (l_orderkey // 3) % 12 AS what, l_linenumber % 2 AS half FROM lineitem))"""
 
 ORACLE_SQL = {
     "dedupe_instances": f"WITH {A.CTES} SELECT sop_uid, study_id, series_id, part_id, te FROM instance QUALIFY row_number() OVER (PARTITION BY sop_uid ORDER BY part_id, supplier_id, te, tr) = 1",
@@ -155,14 +202,20 @@ SELECT count(*) AS n, count(*) AS n_distinct, (SELECT coalesce(max(series_id), 0
 WITH {A.CTES} SELECT 'study without instance' AS problem, study_id AS key FROM study WHERE study_id NOT IN (SELECT study_id FROM instance)
 UNION ALL SELECT DISTINCT 'instance without study', study_id FROM instance WHERE study_id NOT IN (SELECT study_id FROM study)""",
     "stack_discovery": f"""
-WITH {A.CTES}, g AS (SELECT series_id, image_type, coil, echo_numbers, min(sop_uid) AS first_sop, count(*) AS n_instances FROM instance GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY first_sop, image_type NULLS FIRST, coil NULLS FIRST, echo_numbers NULLS FIRST) - 1 AS INTEGER) AS stack_index FROM g""",
+WITH {_HEADERS}, a AS (SELECT series_id, {_FIELDS}, min(sop_uid) AS first FROM h WHERE line IN (2, 3) GROUP BY ALL),
+one AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY first, {_NULLS}) - 1 AS i FROM a),
+b AS (SELECT series_id, {_FIELDS}, min(sop_uid) AS first, count(*) AS n_instances FROM h GROUP BY ALL),
+j AS (SELECT b.*, one.i FROM b LEFT JOIN one ON b.series_id = one.series_id AND {_SAME}),
+two AS (SELECT *, row_number() OVER (PARTITION BY series_id, i IS NULL ORDER BY first, {_NULLS}) AS r, coalesce(max(i) OVER (PARTITION BY series_id), -1) AS top FROM j)
+SELECT series_id, {_FIELDS}, n_instances, CAST(coalesce(i, top + r) AS INTEGER) AS stack_index, i IS NULL AS is_new FROM two""",
+    "stack_of_instance": f"""
+WITH {_HEADERS}, b AS (SELECT *, min(sop_uid) OVER (PARTITION BY series_id, {_FIELDS}) AS first FROM h)
+SELECT sop_uid, series_id, CAST(dense_rank() OVER (PARTITION BY series_id ORDER BY first, {_NULLS}) - 1 AS INTEGER) AS stack_index FROM b""",
     "stack_key": f"""
-WITH {A.CTES}, s AS (SELECT DISTINCT series_id, te, ti, fa, image_type, coil FROM instance),
-v AS (SELECT series_id, count(*) AS n_stacks, count(DISTINCT te) + max(CAST(te IS NULL AS INT)) AS a, count(DISTINCT ti) + max(CAST(ti IS NULL AS INT)) AS b,
-    count(DISTINCT fa) + max(CAST(fa IS NULL AS INT)) AS c, count(DISTINCT image_type) AS d, count(DISTINCT coil) AS e FROM s GROUP BY 1)
-SELECT series_id, n_stacks, CASE WHEN n_stacks > 1 THEN CASE WHEN a > 1 THEN 'multi_echo' WHEN b > 1 THEN 'multi_ti' WHEN c > 1 THEN 'multi_flip_angle'
-    WHEN d > 1 THEN 'multi_image_type' WHEN e > 1 THEN 'multi_coil' ELSE 'multi_stack' END END AS stack_key FROM v""",
+WITH {_HEADERS}, s AS (SELECT series_id, CAST(count(DISTINCT ({_FIELDS})) AS BIGINT) AS n_stacks, min(kind) AS kind, min(what) AS what FROM h GROUP BY 1)
+SELECT series_id, n_stacks, CASE WHEN n_stacks > 1 THEN CASE WHEN what IN (3, 11) THEN 'multi_orientation' WHEN what = 8 THEN 'image_type_variation'
+    WHEN kind = 0 THEN CASE what WHEN 0 THEN 'multi_echo' WHEN 1 THEN 'multi_echo' WHEN 4 THEN 'multi_ti' WHEN 5 THEN 'multi_flip_angle' WHEN 6 THEN 'multi_coil' WHEN 9 THEN 'multi_coil' ELSE 'multi_stack' END
+    WHEN kind = 1 THEN CASE what WHEN 2 THEN 'multi_parameter' ELSE 'multi_stack' END ELSE CASE WHEN what IN (0, 1) THEN 'multi_bed' ELSE 'multi_stack' END END END AS stack_key FROM s""",
     "stack_instance_counts": f"""
 WITH {A.CTES}, s AS (SELECT DISTINCT series_id, image_type FROM instance), c AS (SELECT series_id, image_type, count(*) AS n FROM instance WHERE te >= 10 GROUP BY 1, 2)
 SELECT series_id, image_type, coalesce(n, 0) AS stack_n_instances FROM s LEFT JOIN c USING (series_id, image_type)""",
