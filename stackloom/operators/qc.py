@@ -29,7 +29,7 @@ WEIGHTS = {"low_confidence": 1, "missing": 2, "conflict": 3, "ambiguous": 2}
 
 
 def _reasons(csv: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(csv, F.lit(""))), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.lower(F.coalesce(csv, F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def categories(csv: Column, allowed: tuple[str, ...] = tuple(CATEGORIES)) -> Column:

@@ -531,6 +531,22 @@ def classify(rows: DataFrame, keep: list[str]) -> DataFrame:
     return found.select(*keep, *last)
 
 
+#: The columns that classify reads, and their types.
+INPUTS = {**{f: "string" for f in PREFIX}, "text": "string", "te": "double", "tr": "double", "ti": "double", "b_value": "double", "acquisition_type": "string", "stack_key": "string", "contrast_agent": "string"}
+
+
+def branch_outcome(rows: DataFrame, branch: str) -> DataFrame:
+    """rows with routed_base, routed_constructs, routed_technique and routed_intent: what a branch
+    (swi, symri or epimix) makes of them, whatever their provenance. Columns of INPUTS that rows
+    lack count as null."""
+    out = tokenised(rows.withColumns({c: F.lit(None).cast(t) for c, t in INPUTS.items() if c not in rows.columns}))
+    flags = stages()[:2]
+    for stage in (*flags, {"branch": f"'{branch}'"}, {"branch_output": branch_output()}, {"branch_key": "substring_index(branch_output, ':', 2)"}):
+        out = out.withColumns({name: F.expr(test) for name, test in stage.items()})
+    routed = {"routed_base": of_branch(0), "routed_constructs": of_branch(1), "routed_technique": branch_technique(), "routed_intent": of_branch(3)}
+    return out.select(*rows.columns, *(F.expr(e).alias(n) for n, e in routed.items()))
+
+
 def review_reasons() -> Column:
     """CSV of what asks for a look at a stack: axes with conflicts or a confidence below 0.6."""
     low = lambda axis, c: F.when(c < 0.6, f"{axis}:low_confidence")
