@@ -206,30 +206,37 @@ def _first_documents(window: int):
     return shards
 
 
-def _cleaned(window: int):
-    """(number of words, removed spans, kept words) of each document."""
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _merged(window: int):
+    """The spans that windows starting at the given words cover."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, spans, kept = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
-                words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()  # on \x20 and \x09-\x0D
-                n_words.append(len(words))
-                own = []
-                if starts.is_valid:
-                    at = np.sort(starts.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                    cuts = np.flatnonzero(at[1:] > at[:-1] + window) + 1
-                    own = [(int(p[0]), int(p[-1]) + window) for p in np.split(at, cuts)]
-                    for a, b in reversed(own):
-                        del words[a:b]
-                spans.append([{"start": a, "end": b} for a, b in own])
-                kept.append(b" ".join(words).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.large_string()).cast(pa.string())],
-                ["id", "n_words", "removed", "kept"],
-            )
-
-    return cleaned
+            spans = []
+            for starts in batch.column("starts"):
+                at = np.sort(starts.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                cuts = np.flatnonzero(at[1:] > at[:-1] + window)
+                first, last = at[np.append(0, cuts + 1)], at[np.append(cuts, len(at) - 1)] + window
+                spans.append([{"start": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, _SPANS)], ["key", "removed"])
+
+    return merged
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, number of words, removed spans, kept words) of each document."""
+    for batch in batches:
+        n_words, spans, kept = [], [], []
+        for text, removed in zip(batch.column("text"), batch.column("removed").to_pylist(), strict=True):
+            words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()  # on \x20 and \x09-\x0D
+            n_words.append(len(words))
+            spans.append(removed or [])
+            for span in reversed(spans[-1]):
+                del words[span["start"] : span["end"]]
+            kept.append(b" ".join(words).decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.string())], ["id", "n_words", "removed", "kept"])
 
 
 def _numbered(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -288,8 +295,8 @@ def drop_repeats(documents: DataFrame, window: int = 13, id_col: str = "doc_id",
     met = own.join(broadcast_if_small(found, 128), ["route", "hash"])
     earlier = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("id"), F.col("start") + i.cast("int"))), lambda x: x.isNotNull())
     starts = met.select("key", earlier.alias("starts")).filter(F.size("starts") > 0).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    starts = materialize(starts, "starts")
-    size = starts.agg(F.count("*").alias("n"), F.sum(F.size("starts")).alias("all")).first()
-    starts = broadcast_if_small(starts, 1, 32 * size.n + 4 * (size["all"] or 0))
-    joined = rows.join(starts, "key", "left").select(F.col("own_id").alias("id"), "text", "starts")
-    return joined.mapInArrow(_cleaned(window), f"id {id_type}, n_words long, removed array<struct<start:int,end:int>>, kept string").withColumnRenamed("id", id_col)
+    spans = materialize(starts.mapInArrow(_merged(window), "key long, removed array<struct<start:int,end:int>>"), "spans")
+    size = spans.agg(F.count("*").alias("n"), F.sum(F.size("removed")).alias("all")).first()
+    spans = broadcast_if_small(spans, 1, 64 * size.n + 24 * (size["all"] or 0))
+    joined = rows.join(spans, "key", "left").select(F.col("own_id").alias("id"), "text", "removed")
+    return joined.mapInArrow(_cleaned, f"id {id_type}, n_words long, removed array<struct<start:int,end:int>>, kept string").withColumnRenamed("id", id_col)
