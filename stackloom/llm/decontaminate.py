@@ -2,16 +2,17 @@
 
 For every benchmark item the windows of a document with exactly the item's number of words
 are fingerprinted by SimHash over their word shingles, each weighted by its bytes. Windows
-that cannot reach the similarity with any item are left out by an exact bound first: the
-weight of a window's shingles that occur in one item of its length must be the share asked
-for of that item's weight. Fingerprints are looked up in a multi-index: with BLOCKS blocks two
-fingerprints within RADIUS bits agree to RADIUS // BLOCKS bits in at least one block, so
-looking up every block value that near finds all within the radius. Candidates are verified
-by exact weighted-shingle similarity, sum of minima over sum of maxima.
-
-A window at similarity 0.8 lies beyond the radius with probability of about 2e-5: the items
-by which the bound let a window through are verified whatever their distance, so none is lost.
-Items with fewer words than a shingle are found as exact sequences of their own length.
+whose shingles occur in no item by the share asked for are left out: they can be similar to
+none. A window's fingerprint is a difference of running sums, so that all windows of one size
+cost one pass. Fingerprints are looked up in a multi-index: two fingerprints within RADIUS bits
+agree to RADIUS // BLOCKS bits in at least one of BLOCKS blocks, so the items that are that near
+in some block are all items within the radius and a few more. Those within the radius are
+the candidates, and exact weighted-shingle similarity, sum of minima over sum of maxima,
+verifies them. Nothing is found but by its fingerprint.
+
+The fingerprints of a window and an item at similarity 0.8 differ in about 20 of 128 bits; the
+radius is exceeded with a probability of about 2e-5 (a test measures it), less at a higher
+similarity. Items with fewer words than a shingle have none; they are found as exact sequences.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from pyspark.sql import functions as F
 
 from stackloom.llm import shingles as S
 
-BITS, BLOCKS, RADIUS = 128, 8, 36
+BITS, BLOCKS, RADIUS = 128, 16, 36
 #: Items that one pass over the documents carries, and the most bytes of their texts.
 ITEMS, ITEM_BYTES = 20_000, 8 << 20
-#: All differences of two block values that are near enough.
-_NEAR = np.array([x for x in range(1 << BITS // BLOCKS) if x.bit_count() <= RADIUS // BLOCKS], np.int64)
+#: Which pairs of block values are near enough.
+_VALUES = np.arange(1 << BITS // BLOCKS)
+_NEAR = np.bitwise_count(_VALUES[:, None] ^ _VALUES) <= RADIUS // BLOCKS
+#: Windows fingerprinted from one piece of running sums.
+PIECE = 1 << 12
 
 
 def _weigh(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -43,11 +47,30 @@ def _weigh(data: np.ndarray, offsets: np.ndarray, k: int):
     return own, (size[last] - size[first]).astype(np.int64), own_counts, counts, starts, ends, hashes
 
 
-def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The BITS-bit fingerprint of weighted shingles, as bytes."""
+def _votes(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each shingle its weight for (or against) each bit of a fingerprint."""
     words = [S.mix(hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) for i in range(BITS // 64)]
     bits = np.unpackbits(np.column_stack(words).view(np.uint8), axis=1).astype(np.int64)
-    return np.packbits((2 * bits - 1).T @ weights > 0)
+    return (2 * bits - 1) * weights[:, None]
+
+
+def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The BITS-bit fingerprint of weighted shingles, as bytes."""
+    return np.packbits(_votes(hashes, weights).sum(axis=0) > 0)
+
+
+def window_simhashes(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, fingerprints) of the windows of `span` shingles at the given ascending starts."""
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = int(np.searchsorted(starts, first + PIECE))
+        part = slice(first, int(starts[to - 1]) + span)
+        sums = np.zeros((part.stop - first + 1, BITS), np.int64)
+        np.cumsum(_votes(hashes[part], weights[part]), axis=0, out=sums[1:])
+        own = starts[at:to] - first
+        yield starts[at:to], np.packbits(sums[own + span] - sums[own] > 0, axis=1)
+        at = to
 
 
 def _bag(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +98,15 @@ class Items:
         self.bags = [_bag(own[p], weights[p]) for p in parts]
         self.prints = np.array([simhash(own[p], weights[p]) for p in parts], np.uint8).reshape(-1, BITS // 8)
         self.totals = np.array([int(w.sum()) for _, w in self.bags], np.int64)
-        # The items of each known shingle, one after another.
-        hashes = np.concatenate([h for h, _ in self.bags]) if len(long) else np.zeros(0, np.uint64)
-        owners = np.repeat(np.arange(len(long)), [len(h) for h, _ in self.bags])
-        order = np.lexsort((owners, hashes))
-        self.owners = owners[order]
-        self.shingles, at = np.unique(hashes[order], return_index=True)
-        self.owner_at = np.append(at, len(order))
+        self.shingles = np.unique(np.concatenate([h for h, _ in self.bags])) if len(long) else np.zeros(0, np.uint64)
         self.table = np.zeros(1 << 22, bool)  # quick refusal before the exact search
         self.table[(self.shingles & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        # For each block the items in the order of its values, and where each value starts.
-        values = self.prints.view(">u2").astype(np.int64).reshape(-1, BLOCKS)
-        self.block_items = [np.argsort(values[:, b], kind="stable") for b in range(BLOCKS)]
-        self.block_at = [np.searchsorted(np.sort(values[:, b]), np.arange((1 << BITS // BLOCKS) + 1)) for b in range(BLOCKS)]
+        # For each length its items, and for each block and value a bit for each item that is near there.
+        self.of_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length in np.unique(self.lengths).tolist():
+            items = np.flatnonzero(self.lengths == length)
+            near = np.packbits(_NEAR[self.prints[items]], axis=0, bitorder="little")  # (items / 8, block, value)
+            self.of_length[length] = items, np.ascontiguousarray(near.transpose(1, 2, 0))
         # Short items: for each length the hashes of their whole sequences, sorted, and their ids.
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         first = np.cumsum(words) - words
@@ -107,54 +126,36 @@ class Items:
             maybe[at] = self.shingles[place] == hashes[at]
         return maybe
 
-    def within(self, print_: np.ndarray) -> np.ndarray:
-        """Items whose fingerprints lie within RADIUS: those near in some block, checked whole."""
-        near = []
-        for b, value in enumerate(print_.view(">u2").astype(np.int64).tolist()):
-            at = self.block_at[b]
-            from_, to = at[value ^ _NEAR], at[(value ^ _NEAR) + 1]
-            near += [self.block_items[b][x:y] for x, y in zip(from_[to > from_].tolist(), to[to > from_].tolist(), strict=True)]
-        if not near:
-            return np.zeros(0, np.int64)
-        near = np.unique(np.concatenate(near))
-        return near[np.bitwise_count(self.prints[near] ^ print_).sum(axis=1) <= RADIUS]
-
-    def windows(self, hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, n_words: int) -> dict[tuple[int, int], list[int]]:
-        """(first word, words) of the windows that can reach the similarity with some item -> those items."""
-        at = np.flatnonzero(known)
-        place = np.searchsorted(self.shingles, hashes[at])
-        counts = self.owner_at[place + 1] - self.owner_at[place]
-        item = self.owners[np.repeat(self.owner_at[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-        where = np.repeat(at, counts)
-        have = np.bincount(item, weights=weights[where], minlength=len(self.ids))
-        found: dict[tuple[int, int], list[int]] = {}
-        for j in np.flatnonzero(have >= self.least * self.totals).tolist():
-            length = int(self.lengths[j])
-            span = max(1, min(length, n_words) - self.k + 1)
-            own = where[item == j]
-            sums = np.concatenate(([0], np.cumsum(weights[own])))
-            # A window's own sum changes only where a matching shingle enters or leaves it.
-            starts = np.unique(np.clip(np.concatenate((own - span + 1, own, own + 1)), 0, len(hashes) - span))
-            inside = sums[np.searchsorted(own, starts + span)] - sums[np.searchsorted(own, starts)]
-            ends = np.append(starts[1:], len(hashes) - span + 1)
-            for i in np.flatnonzero(inside >= self.least * self.totals[j]).tolist():
-                for x in range(int(starts[i]), int(ends[i])):
-                    found.setdefault((x, length), []).append(j)
-        return found
+    def within(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of fingerprints and the items of a length within RADIUS of each
+        other: those near in some block, checked whole."""
+        items, near = self.of_length[length]
+        some = np.bitwise_or.reduce(near[np.arange(BLOCKS), prints], axis=1)
+        window, item = np.nonzero(np.unpackbits(some, axis=1, bitorder="little", count=len(items)))
+        close = np.bitwise_count(self.prints[items[item]] ^ prints[window]).sum(axis=1) <= RADIUS
+        return window[close], items[item[close]]
 
     def find(self, hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of its best window in one document."""
         found: dict[int, tuple[float, int, int]] = {}
-        for (at, length), certain in sorted(self.windows(hashes, weights, known, n_words).items()):
+        whole, shared = (np.concatenate(([0], np.cumsum(w))) for w in (weights, weights * known))
+        for length, (items, _) in self.of_length.items():
+            need = self.least * self.totals[items].min()
+            if shared[-1] < need:
+                continue
             span = max(1, min(length, n_words) - self.k + 1)
-            own, own_weights = hashes[at : at + span], weights[at : at + span]
-            bag = _bag(own, own_weights)
-            for j in sorted({*certain, *self.within(simhash(own, own_weights)).tolist()}):
-                if self.lengths[j] != length:
-                    continue
-                item, score = int(self.ids[j]), similarity(bag, self.bags[j])
-                if score >= self.least and score > found.get(item, (0.0,))[0]:
-                    found[item] = (score, at, min(length, n_words))
+            inside = shared[span:] - shared[:-span]
+            starts = np.flatnonzero((inside >= need) & (inside >= self.least * (whole[span:] - whole[:-span])))
+            for at, prints in window_simhashes(hashes, weights, starts, span):
+                window, item = self.within(length, prints)
+                last, bag = -1, None
+                for w, j in zip(window.tolist(), item.tolist(), strict=True):
+                    if w != last:
+                        place = int(at[w])
+                        last, bag = w, _bag(hashes[place : place + span], weights[place : place + span])
+                    name, score = int(self.ids[j]), similarity(bag, self.bags[j])
+                    if score >= self.least and score > found.get(name, (0.0,))[0]:
+                        found[name] = (score, place, min(length, n_words))
         return found
 
     def find_short(self, word_hashes: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

@@ -4,9 +4,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from stackloom.llm import language as L
 from stackloom.llm import secrets as X
+from stackloom.llm import decontaminate as D
+from stackloom.llm import shingles as S
 from stackloom.llm.decontaminate import find_leaks
 from stackloom.llm.licenses import TEMPLATES, scan_licenses
 from tests.llm.helpers import awkward_rows, documents, prose
@@ -150,6 +153,51 @@ def test_leaks_match_brute_force(spark):
     assert sum(d in range(400, 412) for d, _ in got) == 12 and not any(d in range(500, 512) for d, _ in got)
 
 
+def test_leaks_come_from_the_multi_index(monkeypatch):
+    """Without candidates from the fingerprints nothing is found, and the blocks lose no pair."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(10, 60), 3000) for _ in range(150)]
+    items = D.Items(list(range(150)), texts, 5, 0.8)
+    own, weights, counts, words, *_ = D._weigh(*S.texts_of(pa.array([" ".join(texts[:40])])), 5)
+    found = items.find(own, weights, items.known(own), int(words[0]))
+    assert set(range(40)) <= set(found)
+    prints = np.random.default_rng(4).integers(0, 256, (300, D.BITS // 8), dtype=np.uint8)
+    for length, (index, _) in items.of_length.items():
+        near = items.prints[index][:, None] ^ np.packbits(np.random.default_rng(length).random((len(index), 50, D.BITS)) < 0.25, axis=2)
+        for probes in (prints, near.reshape(-1, D.BITS // 8)):
+            window, item = items.within(length, probes)
+            away = np.bitwise_count(probes[:, None] ^ items.prints[index]).sum(axis=2)
+            assert sorted(zip(window.tolist(), item.tolist(), strict=True)) == sorted((int(w), int(index[i])) for w, i in zip(*np.nonzero(away <= D.RADIUS), strict=True))
+    monkeypatch.setattr(D.Items, "within", lambda self, length, prints: (np.zeros(0, int), np.zeros(0, int)))
+    assert items.find(own, weights, items.known(own), int(words[0])) == {}
+
+
+def test_similar_windows_lie_within_the_radius():
+    """Bags at similarity 0.8 to 0.85: the share beyond the radius is far below a thousandth."""
+    rng = np.random.default_rng(8)
+    beyond = trials = 0
+    for _ in range(6000):
+        n = int(rng.integers(10, 120))
+        other = max(1, int(n * 0.1))
+        hashes, weights = rng.integers(0, 2**63, n + other, dtype=np.uint64), rng.integers(15, 45, n + other)
+        a, b = slice(0, n), slice(other, n + other)
+        score = D.similarity(D._bag(hashes[a], weights[a]), D._bag(hashes[b], weights[b]))
+        if 0.8 <= score < 0.85:
+            trials += 1
+            beyond += int(np.bitwise_count(D.simhash(hashes[a], weights[a]) ^ D.simhash(hashes[b], weights[b])).sum() > D.RADIUS)
+    assert trials > 2000 and beyond <= 1, (beyond, trials)
+
+
+def test_window_fingerprints_are_those_of_the_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    hashes, weights = rng.integers(0, 2**63, 400, dtype=np.uint64), rng.integers(1, 60, 400)
+    monkeypatch.setattr(D, "PIECE", 37)
+    starts = np.flatnonzero(rng.random(380) < 0.4)
+    for at, prints in D.window_simhashes(hashes, weights, starts, 20):
+        for i, p in zip(at.tolist(), prints, strict=True):
+            assert (p == D.simhash(hashes[i : i + 20], weights[i : i + 20])).all()
+
+
 def test_leak_spans_are_code_points(spark):
     item = "where does the quick brown fox sleep at night"
     text = "漢字 É🎈. Where does the quick brown fox sleep at night? Nowhere."
