@@ -1,20 +1,26 @@
 """License scans by conditional compression.
 
-A candidate block is a line, a paragraph, a stretch around a license word in a long line, or,
-for each template, the words around a license word that one of its copies can reach, across
-lines and paragraphs. A template is compared with a block if the block holds enough of its
-words: an exact bound, no other template can be confirmed. The block is compressed with
-zstandard alone and with the template as a raw dictionary, and the template is confirmed by
-the exact differences in wording: the words of template and block are aligned, the share of
-the template's words found in order must be high, and the words that tell licenses apart
-(names, versions, clauses) must all be there.
+Candidate blocks: each template names words without which a block is another license; where one
+of them stands in a text, a copy of the template lies so that this word has its place in it,
+and the words that the copy can reach are a block for that template, across lines and
+paragraphs. A template without such words is looked for by its longest words, so many that a
+copy must hold one of them. A template is only tried on a block that holds enough of its words,
+an exact bound.
+
+Each block is compressed with zstandard alone and with each of its templates as a raw
+dictionary. Templates are ranked by the bytes that they save. From the top down the winner is
+confirmed by the exact differences in wording: the words of template and block are aligned,
+the share of the template's words found in order must be high, few other words may lie
+between them, and the words that tell licenses apart must all be there. A template that saves
+less than LEAST_SAVED of what it saves on its own text is no candidate. Of confirmed notices
+that overlap the one that saves the most stays.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -153,31 +159,20 @@ TEMPLATES = (
     ),
 )
 
-#: A block must hold one of these, in any case.
-TRIGGER = "(?i)licen[sc]e|" + "|".join(x.replace(" ", "[^a-z0-9]+") for x in ("permission is hereby", "redistribution and use", "free software", "public domain", "creative commons"))
-_TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-#: Characters kept on each side of a trigger in a long line or paragraph.
-REACH = 900
 #: A template is confirmed at this share of its words, and at most this share of other words inside.
 FOUND, OTHER = 0.85, 0.25
+#: Share of the bytes saved on a template's own text that it must save on a block.
+LEAST_SAVED = 0.05
+#: Other words in a copy from which on a template counts as long.
+LONG = 64
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str, at: int, to: int) -> Iterator[tuple[int, int]]:
-    """Spans of the line, the paragraph and the stretch of a line around a trigger at at:to."""
-    a, b = text.rfind("\n", 0, at) + 1, text.find("\n", to)
-    b = len(text) if b < 0 else b
-    yield max(a, at - REACH), min(b, to + REACH)
-    yield max(a, at - 60), min(b, to + 60)
-    above, below = text.rfind("\n\n", 0, at), text.find("\n\n", to)
-    yield max(above + 2 if above >= 0 else 0, at - REACH), min(below if below >= 0 else len(text), to + REACH)
-
-
 def wording(template: list[str], block: list[str]) -> tuple[float, float, int, int]:
     """(share of the template's words in order, share of other words between them, first and
     last matched word of the block). Words matched far from the others, which make too many
@@ -195,21 +190,62 @@ def wording(template: list[str], block: list[str]) -> tuple[float, float, int, i
         parts.pop(0 if lead > trail else -1)
 
 
+def triggers_of(template: Template) -> set[str]:
+    """Words of which every block that can be confirmed holds one: the longest of those that the
+    template needs, or as many of its longest words as a copy cannot do without."""
+    if template.needs:
+        return {max(template.needs, key=len)}
+    counts = Counter(words_of(template.text))
+    found, left = set(), (1 - FOUND) * sum(counts.values())
+    for word in sorted(counts, key=lambda w: (-len(w), w)):
+        if left < 0:
+            break
+        found.add(word)
+        left -= counts[word]
+    return found
+
+
+def trigger_pattern(templates: tuple[Template, ...]) -> str:
+    """A pattern that every text with a candidate block matches."""
+    words = sorted(set().union(*map(triggers_of, templates)))
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + ")(?![a-z0-9])"
+
+
+def templates_in(folder: str) -> tuple[Template, ...]:
+    """Templates of the license texts in a folder of the driver, named by their files. They are shipped to
+    the tasks with the scan, so a folder of some hundred texts is what this is for."""
+    found = []
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path) and not os.path.islink(path):
+            with open(path, encoding="utf-8", errors="replace") as file:
+                found.append(Template(name, "text", (), file.read()))
+    return tuple(t for t in found if words_of(t.text))
+
+
 class Scanner:
     def __init__(self, templates: tuple[Template, ...]):
         self.templates = templates
         self.words = [words_of(t.text) for t in templates]
         self.bags = [Counter(w) for w in self.words]
-        #: Words from a trigger to the far end of a copy, at most: other words lie between.
-        self.reach = [math.ceil(len(w) / (1 - OTHER)) for w in self.words]
+        #: Other words that a copy may hold, at most.
+        self.slack = [math.ceil(len(w) / (1 - OTHER)) - len(w) for w in self.words]
+        #: Trigger -> (template, place of the trigger in it).
+        self.triggered: dict[str, list[tuple[int, int]]] = {}
+        for i, t in enumerate(templates):
+            triggers = triggers_of(t)
+            for place, word in enumerate(self.words[i]):
+                if word in triggers:
+                    self.triggered.setdefault(word, []).append((i, place))
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         raw = [zstandard.ZstdCompressionDict((" ".join(w) + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False) for d in raw]
+        self.own = [self.saved(w, i) for i, w in enumerate(self.words)]
 
-    def saved(self, words: list[str], i: int) -> float:
-        """Share of the compressed size of a block's words that template i saves."""
+    def saved(self, words: list[str], i: int) -> int:
+        """Bytes of the compressed size of a block's words that template i saves."""
         data = " ".join(words).encode()
-        return 1 - len(self.given[i].compress(data)) / len(self.plain.compress(data))
+        return len(self.plain.compress(data)) - len(self.given[i].compress(data))
 
     def possible(self, i: int, bag: Counter) -> bool:
         """Whether words with these counts can confirm template i."""
@@ -231,53 +267,61 @@ class Scanner:
                 yield found, other, a + first, a + last
             open_ += [(a, a + first), (a + last, b)]
 
+    def block(self, i: int, start: int, words: int) -> tuple[int, int]:
+        """The words in which a copy of template i lies whose first word would be at start. Blocks of
+        long templates start at multiples of a step, so that neighbours are one block."""
+        slack = self.slack[i]
+        a, b = start - slack, start + len(self.words[i]) + slack
+        if slack >= LONG:
+            a -= a % slack
+            b = max(b, a + len(self.words[i]) + 3 * slack)
+        return max(0, a), min(words, b)
+
+    def candidates(self, own: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        """For each place at which a trigger stands the (bytes saved, template, first word, end)
+        of its blocks, from the best down."""
+        present, seen, places = set(own), {}, {}
+        for at, word in enumerate(own):
+            for i, place in self.triggered.get(word, ()):
+                if not set(self.templates[i].needs) <= present:
+                    continue
+                a, b = self.block(i, at - place, len(own))
+                if (i, a, b) not in seen:
+                    block = own[a:b]
+                    seen[i, a, b] = self.saved(block, i) if self.possible(i, Counter(block)) else -1
+                    if seen[i, a, b] >= LEAST_SAVED * self.own[i]:
+                        places.setdefault(at, []).append((seen[i, a, b], i, a, b))
+        return [sorted(c, key=lambda x: (-x[0], x[1])) for c in places.values()]
+
     def scan(self, text: str) -> list[dict]:
         spans = [m.span() for m in _WORD.finditer(text.translate(_ASCII_LOWER))]
         own = [text[s:e].lower() for s, e in spans]
-        starts, ends = [s for s, _ in spans], [e for _, e in spans]
-        present = [i for i, t in enumerate(self.templates) if set(t.needs) <= set(own)]
-        ranges: dict[tuple[int, int], list[int]] = {}  # words of a block -> templates
-        for m in _TRIGGER.finditer(text) if present else ():
-            for a, b in blocks(text, *m.span()):
-                ranges[bisect_left(starts, a), bisect_right(ends, b)] = present
-            first, last = bisect_right(ends, m.start()), bisect_left(starts, m.end())
-            for i in present:
-                around = (max(0, first - self.reach[i]), min(len(own), last + self.reach[i]))
-                have = ranges.setdefault(around, [])
-                if i not in have:
-                    ranges[around] = [*have, i]
-        best: dict[tuple[str, int], dict] = {}
-        for (a, b), templates in ranges.items():
-            block = own[a:b]
-            bag = Counter(block)
-            for i in templates:
-                if not self.possible(i, bag):
-                    continue
-                template = self.templates[i]
-                for found, other, first, last in self.matches(i, block):
-                    start, end = starts[a + first], ends[a + last - 1]
-                    saved = self.saved(block, i)
-                    row = {"license": template.license, "kind": template.kind, "start": start, "end": end, "saved": round(saved, 6), "found": round(found, 6), "other": round(other, 6)}
-                    key = (template.license, start)
-                    rank = lambda r: (round((r["found"] - r["other"]) * (r["end"] - r["start"]), 6), r["found"], r["saved"])
-                    if key not in best or rank(row) > rank(best[key]):
-                        best[key] = row
-        # Of matches that overlap the longest stays, counted by how well its wording fits.
+        rows: dict[tuple[str, int, int], dict] = {}
+        for ranked in self.candidates(own):
+            for saved, i, a, b in ranked:
+                confirmed = list(self.matches(i, own[a:b]))
+                for found, other, first, last in confirmed:
+                    start, end = spans[a + first][0], spans[a + last - 1][1]
+                    key = (self.templates[i].license, start, end)
+                    if key not in rows or saved > rows[key]["saved"]:
+                        rows[key] = {"license": self.templates[i].license, "kind": self.templates[i].kind, "start": start, "end": end, "saved": saved, "found": round(found, 6), "other": round(other, 6)}
+                if confirmed:  # the winner of this place; those that save less are not asked
+                    break
         kept: list[dict] = []
-        for row in sorted(best.values(), key=lambda r: (-(r["found"] - r["other"]) * (r["end"] - r["start"]), r["start"], r["license"])):
+        for row in sorted(rows.values(), key=lambda r: (-r["saved"], -r["found"], r["other"], r["start"], r["license"])):
             if all(row["end"] <= k["start"] or row["start"] >= k["end"] for k in kept):
                 kept.append(row)
         return sorted(kept, key=lambda r: r["start"])
 
 
-_ROW = pa.schema([("license", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saved", pa.float64()), ("found", pa.float64()), ("other", pa.float64())])
+_ROW = pa.schema([("license", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saved", pa.int64()), ("found", pa.float64()), ("other", pa.float64())])
 
 
 def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(id, license, kind, start, end, saved, found, other): one row for each license notice.
 
-    start and end are code points of the notice; saved is the share of its block's compressed
-    size that the template as dictionary saves, found the share of the template's words, other
+    start and end are code points of the notice; saved are the bytes of its block's compressed
+    size that the template as dictionary saves, found is the share of the template's words, other
     the share of other words between them. Documents without a notice, null and empty texts
     give no row. Ids may be null or repeated: each row is scanned alone. Extra columns are
     ignored.
@@ -291,5 +335,5 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in rows], pa.int64())), *found.columns], ["id", *found.schema.names])
 
     id_type = documents.schema[id_col].dataType.simpleString()
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(TRIGGER))
-    return rows.mapInArrow(scan, f"id {id_type}, license string, kind string, start long, end long, saved double, found double, other double").withColumnRenamed("id", id_col)
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(trigger_pattern(templates)))
+    return rows.mapInArrow(scan, f"id {id_type}, license string, kind string, start long, end long, saved long, found double, other double").withColumnRenamed("id", id_col)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from stackloom.llm import language as L
 from stackloom.llm import secrets as X
 from stackloom.llm import decontaminate as D
+from stackloom.llm import licenses as W
 from stackloom.llm import shingles as S
 from stackloom.llm.decontaminate import find_leaks
 from stackloom.llm.licenses import TEMPLATES, scan_licenses
@@ -289,3 +290,65 @@ def test_licenses_as_they_are_laid_out(spark):
     for r in sorted(scan_licenses(documents(spark, rows)).collect(), key=lambda r: r.start):
         got[r.doc_id].append(r.license)
     assert got == {i: want for i, (_, want) in enumerate(notices)}
+
+
+def brute_licenses(text, templates):
+    """Every run of words up to the reach of a copy, aligned with every template: the licenses of
+    the runs that confirm one, of overlapping runs the one with the longest template."""
+    own, found = W.words_of(text), []
+    for i, t in enumerate(templates):
+        want, needs = W.words_of(t.text), set(t.needs)
+        reach = math.ceil(len(want) / (1 - W.OTHER))
+        for at in range(len(own)):
+            block = own[at : at + reach]
+            if len(set(block) & set(want)) >= W.FOUND * len(set(want)):
+                share, other, first, last = W.wording(want, block)
+                if share >= W.FOUND and other <= W.OTHER and needs <= set(block[first:last]):
+                    found.append((-share * len(want), other, at + first, at + last, t.license))
+    kept = []
+    for row in sorted(found):
+        if all(row[3] <= k[2] or row[2] >= k[3] for k in kept):
+            kept.append(row)
+    return sorted(k[4] for k in kept)
+
+
+def test_licenses_match_brute_force():
+    rng = random.Random(11)
+    scanner = W.Scanner(TEMPLATES)
+    for n in range(120):
+        parts = []
+        for t in rng.sample(TEMPLATES, rng.randrange(0, 3)):
+            words = t.text.split(" ")
+            for _ in range(rng.choice((0, 0, 1, 2, len(words) // 4))):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(0, 2)] = rng.choice((["or"], ["the", "said"], []))
+            parts.append(" ".join(words))
+        text = f" {prose(rng, 40)}\n".join(["", *parts, ""])
+        got = scanner.scan(text)
+        assert sorted(r["license"] for r in got) == brute_licenses(text, TEMPLATES), (n, text, got)
+
+
+def test_licenses_come_from_compression(monkeypatch):
+    """Without what compression saves nothing is found; and a text of no listed wording is reached."""
+    text = "x y z " + BSD.format("").replace("Redistribution and use", "Redistribution or use") + " tail"
+    assert [r["license"] for r in W.Scanner(TEMPLATES).scan(text)] == ["BSD-2-Clause"]
+    assert re.search(W.trigger_pattern(TEMPLATES), text)
+    scanner = W.Scanner(TEMPLATES)
+    monkeypatch.setattr(scanner, "saved", lambda words, i: 0)
+    assert scanner.scan(text) == []
+    backwards = W.Scanner(TEMPLATES)  # the ranking decides: turned round, the shorter template wins
+    monkeypatch.setattr(backwards, "saved", lambda words, i, own=backwards.saved: 10_000 - own(words, i))
+    full = TEMPLATES[4].text
+    assert W.Scanner(TEMPLATES).scan(full)[0]["end"] > backwards.scan(full)[0]["end"]
+
+
+def test_whole_license_texts_from_a_folder(spark, tmp_path):
+    rng = random.Random(2)
+    for name in ("One", "Two"):
+        (tmp_path / name).write_text("\n\n".join(prose(rng, 200, 900) for _ in range(6)))
+    templates = W.templates_in(str(tmp_path))
+    copied = templates[0].text.split(" ")
+    for at in rng.sample(range(len(copied)), 60):
+        copied[at] = "changed"
+    rows = [(1, prose(rng, 300) + "\n" + " ".join(copied) + "\n" + prose(rng, 300), "en", "a"), (2, templates[1].text[:2000], "en", "a"), (3, prose(rng, 2000, 900), "en", "a"), (4, templates[1].text.upper(), "en", "a")]
+    assert sorted((r.doc_id, r.license) for r in scan_licenses(documents(spark, rows), templates=templates).collect()) == [(1, "One"), (4, "Two")]
