@@ -11,6 +11,11 @@ Reading: the format `warc` plans whole files into partitions of about `partition
 since a payload may hold anything). Filters on record_type, record_id, target_uri, page_id,
 payload_digest and refers_to are pushed down and decided on a record's headers; the payload
 of any other record, and of all records with payload=false, is skipped by seeking.
+
+Archives of others are read too: record ids may be any URI (page_id is null then), header names
+have any case, folded header lines are joined, and records that are no HTTP messages keep all of
+their block. A record whose header cannot be read gives a row that says so in `error`, and
+reading goes on at the next line that begins a record; so does a record that ends too early.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 _RECORD = "urn:x-page:"
 _KEYS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
-SCHEMA = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
+SCHEMA = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, refers_to_id string, error string"
+_START = b"WARC/"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -79,6 +85,31 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows.join(broadcast_if_small(revisits, 24), "id", "left").select("id", "url", "html", "first").mapInArrow(_records, "value string").write.option("lineSep", END).text(path)
 
 
+#: A header that does not end within this many bytes is no header.
+MOST_HEADER = 1 << 20
+
+
+def _fields(head: bytes) -> dict[str, str] | None:
+    """Header fields by lower-case name; lines that begin with a blank go on with the one before."""
+    fields, last = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
+        else:
+            return None
+    return fields
+
+
+def _page(record: str | None) -> int | None:
+    """The page id in a record id of this writer; null for others."""
+    number = (record or "").strip("<>").removeprefix(_RECORD)
+    return int(number) if record and re.fullmatch(r"-?\d{1,18}", number) and record.strip("<>").startswith(_RECORD) else None
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -148,35 +179,64 @@ class WarcReader(DataSourceReader):
                 buffer, start = raw.read(max(n, 1 << 20)), at
             return buffer[at - start : at - start + n]
 
+        def lost(why: str) -> tuple:
+            return (None,) * 10 + (why,)
+
+        def next_start(after: int) -> float:
+            """Where a line begins that begins a record, from `after` on."""
+            nonlocal at
+            at = after
+            while at < end:
+                piece = need(int(min(1 << 16, end - at)))
+                if (cut := piece.find(b"\n" + _START)) >= 0:
+                    return at + cut + 1
+                if len(piece) <= len(_START) + 1:
+                    break
+                at += len(piece) - len(_START)
+            return end
+
         while at < end:
             size = 4096
-            while (cut := (head := need(int(min(size, end - at)))).find(b"\r\n\r\n")) < 0 and at + size < end and len(head) >= size:
+            while (cut := (head := need(int(min(size, end - at)))).find(b"\r\n\r\n")) < 0 and at + size < end and len(head) >= size and size < MOST_HEADER:
                 size *= 2
             if not head.strip():
                 break
-            if cut < 0:
-                raise ValueError("a WARC header does not end")
-            lines = head[:cut].decode("utf-8").split("\r\n")
-            fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+            if head.startswith(b"\r\n"):  # more blank lines than records have between them
+                at += 2
+                continue
+            fields = _fields(head[:cut]) if cut >= 0 and head.startswith(_START) else None
+            if fields is None or not fields.get("content-length", "").isdigit():
+                if self._keep(dict.fromkeys((*_KEYS, "page_id"))):
+                    yield lost(f"no readable header at byte {at}")
+                at = next_start(at + 1)
+                continue
+            begun = at
             at += cut + 4
-            length = int(fields["Content-Length"])
-            row = {c: fields.get(k) for c, k in _KEYS.items()}
-            number = lambda x: int(x.strip("<>").removeprefix(_RECORD)) if x else None
-            row["page_id"], row["refers_to"] = number(row["record_id"]), number(row["refers_to"])
+            length = int(fields["content-length"])
+            row = {c: fields.get(k.lower()) for c, k in _KEYS.items()}
+            refers_to_id = row["refers_to"]
+            row["page_id"], row["refers_to"] = _page(row["record_id"]), _page(row["refers_to"])
             row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
             if self._keep(row):
-                http_size = 512
-                while (http := need(min(http_size, length))).find(b"\r\n\r\n") < 0 and http_size < length:
-                    http_size *= 2
-                http_end = http.find(b"\r\n\r\n") + 4
-                stated = next((int(x[15:]) for x in http[:http_end].decode("latin-1").split("\r\n") if x.lower().startswith("content-length:")), None)
+                first = need(min(512, length))
+                http_end, stated, error = 0, None, None
+                if first.startswith(b"HTTP/"):
+                    http_size = 512
+                    while (http := need(min(http_size, length))).find(b"\r\n\r\n") < 0 and http_size < length:
+                        http_size *= 2
+                    found = http.find(b"\r\n\r\n")
+                    http_end = found + 4 if found >= 0 else length
+                    lines = http[:http_end].decode("latin-1").split("\r\n")
+                    stated = next((int(x[15:]) for x in lines if x.lower().startswith("content-length:") and x[15:].strip().isdigit()), None)
                 payload, count, digest = None, stated, row["payload_digest"]
                 if row["record_type"] != "revisit":
                     count = length - http_end
                     if self.payload:
-                        payload = need(length)[http_end:]
+                        block = need(length)
+                        payload = block[http_end:]
                         digest = payload_digest(payload)
-                yield (row["record_id"], row["record_type"], row["target_uri"], fields.get("WARC-Date"), row["page_id"], row["refers_to"], count, digest, payload)
+                        error = None if len(block) == length else f"the record at byte {begun} ends after {len(block)} of {length} bytes"
+                yield (row["record_id"], row["record_type"], row["target_uri"], fields.get("warc-date"), row["page_id"], row["refers_to"], count, digest, payload, refers_to_id, error)
             at += length + 4
 
 
@@ -199,6 +259,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_by
     it reads can be listed; executors open them by URI with pyarrow, which knows local files,
     hdfs, s3 (s3a and s3n are taken as s3) and gs. With payload, payload_digest is computed from a response's bytes, otherwise it is
     the header's. Revisits have no payload; their payload_bytes come from the HTTP headers.
+    Bad records give rows with an error, which a filter on headers leaves out. The session's
+    setting for filters on Python sources is switched on, for the reader depends on it.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{part-*,*.warc,*.warc.gz}").load(path).select("path", "length").collect()
@@ -212,4 +274,7 @@ def round_trip(pages: DataFrame, **names) -> DataFrame:
     bytes but with what was computed from them."""
     path = fresh_path(pages.sparkSession, "warc")
     write_warc(pages, path, **names)
-    return read_warc(pages.sparkSession, path).drop("payload")
+    # Payloads are read of responses only; of revisits the headers are enough.
+    responses = read_warc(pages.sparkSession, path).filter("record_type = 'response'")
+    revisits = read_warc(pages.sparkSession, path, payload=False).filter("record_type = 'revisit'")
+    return responses.union(revisits).drop("payload")

@@ -208,3 +208,41 @@ def test_neighbours_over_several_blocks_and_slices(spark, monkeypatch):
         scores[q] = -np.inf
         hits += len({i for _, i in found[q]} & set(np.argsort(-scores)[:20].tolist()))
     assert hits / 2000 >= 0.9
+
+
+def _record(kind, block, *more, content="application/http; msgtype=response", length=None):
+    lines = ["WARC/1.0", f"warc-type: {kind}", "WARC-RECORD-ID: <urn:uuid:6d1a-4f>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type:{content}", *more, f"content-length: {len(block) if length is None else length}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n"
+    records = [
+        _record("warcinfo", b"software: abc\r\nformat: WARC\r\n", content="application/warc-fields"),
+        b"\r\n" + _record("response", http + b"<html>WARC/1.0 inside</html>", "WARC-Target-URI: http://a/"),
+        _record("metadata", b"fetchTime: 3", "WARC-Refers-To: <urn:uuid:77>", content="application/warc-fields"),
+        b"WARC/1.0\r\nno colon here\r\n\r\nlost block\r\n\r\n",
+        _record("response", http + b"second", "WARC-Target-URI: http://b/", "X-Folded: one", "  two"),
+        _record("response", http + b"third", length=7),  # a wrong length: what follows is no header
+        _record("request", b"GET / HTTP/1.1\r\n\r\n", content="application/http; msgtype=request"),
+        _record("response", http + b"cut off", length=4000)[:-4],
+    ]
+    (tmp_path / "other.warc").write_bytes(b"".join(records))
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    got = [(r.record_type, bytes(r.payload) if r.payload is not None else None, r.error is not None) for r in rows]
+    assert got == [
+        ("warcinfo", b"software: abc\r\nformat: WARC\r\n", False), ("response", b"<html>WARC/1.0 inside</html>", False), ("metadata", b"fetchTime: 3", False), (None, None, True),
+        ("response", b"second", False), ("response", b"", False), (None, None, True), ("request", b"GET / HTTP/1.1\r\n\r\n", False), ("response", b"cut off", True),
+    ]
+    assert {r.record_id for r in rows} == {"<urn:uuid:6d1a-4f>", None} and all(r.page_id is None for r in rows)
+    assert rows[2].refers_to_id == "<urn:uuid:77>" and rows[2].refers_to is None and rows[1].target_uri == "http://a/"
+    pushed = warc.read_warc(spark, f"file://{tmp_path}").filter("record_type = 'request'").collect()
+    assert [r.record_type for r in pushed] == ["request"]
+
+
+def test_round_trip_pushes_its_predicates(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", None)], "page_id long, url string, html string")
+    found = warc.round_trip(pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and " Filter " not in plan  # the source has taken them
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in found.collect()) == [(1, "response", None, 4), (2, "revisit", 1, 4), (3, "response", None, 0)]
