@@ -2,7 +2,9 @@
 
 import datetime as dt
 import hashlib
+import json
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import misc
 from stackloom.operators import completion, export, fingerprint, gapfill, identity, imports, packing, qc, review, rules, upsert
 from stackloom.plans.protocols import FIELDS, PROTOCOLS
-from stackloom.sources import files, headers
+from stackloom.sources import elements, files, headers
 from stackloom.streaming import ingest
 
 CASE = dict(zip([f.split()[0] for f in FIELDS.split(", ")], [None] * 13, strict=True))
@@ -242,6 +244,73 @@ def test_headers_are_read_up_to_the_last_tag(spark, tmp_path):
     assert [(r.modality, r.study_date, r.te, r.rows, r.tr) for r in rows] == [("MR", dt.date(2020, 1, 2), 12.5, 256, None)] * 2
 
 
+def _plain_element(tag, kind, value, order="<"):
+    value = value if isinstance(value, bytes) else value.encode("latin_1")
+    value += (b"\0" if kind in ("UI", "SQ", "OB") else b" ") * (len(value) % 2)
+    head = struct.pack(order + "HH", tag >> 16, tag & 0xFFFF) + kind.encode()
+    return head + (b"\0\0" + struct.pack(order + "I", len(value)) if kind in ("SQ", "UN", "OB", "UT") else struct.pack(order + "H", len(value))) + value
+
+
+def _file(body, syntax="1.2.840.10008.1.2.1", preamble=True, **meta):
+    group = b"".join(_plain_element(elements.TAGS[k], "UI", v) for k, v in sorted(meta.items(), key=lambda x: elements.TAGS[x[0]]) if elements.TAGS[k] < 0x00020010) + _plain_element(0x00020010, "UI", syntax)
+    return (b"\0" * 128 + b"DICM" if preamble else b"") + group + body
+
+
+def test_headers_of_all_kinds(spark, tmp_path):
+    name, patient = elements.TAGS["PatientName"], elements.TAGS["PatientID"]
+    charset = lambda x: _plain_element(0x00080005, "CS", x)
+    code = _plain_element(0x00080100, "SH", "113691") + _plain_element(0x00080104, "LO", "IEC Head")
+    nested = _plain_element(0x00189346, "SQ", b"\xfe\xff\x00\xe0" + struct.pack("<I", len(code)) + code)
+    inner = _plain_element(0x00081140, "SQ", b"\xfe\xff\x00\xe0\xff\xff\xff\xff" + _plain_element(0x00080100, "SH", "X") + _plain_element(0x00280010, "US", struct.pack("<H", 7)) + b"\xfe\xff\x0d\xe0\0\0\0\0")
+    deep = struct.pack("<HH", 0x0018, 0x9346) + b"SQ\0\0\xff\xff\xff\xff\xfe\xff\x00\xe0" + struct.pack("<I", len(inner)) + inner + b"\xfe\xff\xdd\xe0\0\0\0\0"
+    tail = b"\xe0\x7f\x10\0OW\0\0\xff\xff\xff\xff"
+    order = lambda *parts: b"".join(parts)
+    made = {
+        "latin": _file(order(charset("ISO_IR 100"), _plain_element(name, "PN", "Åberg^Sören".encode("latin_1")), tail)),
+        "utf8": _file(order(charset("ISO_IR 192"), _plain_element(name, "PN", "Wang^小东".encode()), tail)),
+        "greek": _file(order(charset("ISO_IR 126"), _plain_element(name, "PN", "Διονυσιος".encode("iso8859_7")), tail)),
+        "japanese": _file(order(charset("\\ISO 2022 IR 87"), _plain_element(name, "PN", b"Yamada^Tarou=\x1b$B;3ED\x1b(B^\x1b$BB@O:\x1b(B"), tail)),
+        "korean": _file(order(charset("\\ISO 2022 IR 149"), _plain_element(name, "PN", b"Hong^Gildong=\x1b$)C\xfb\xf3^\x1b$)C\xd1\xce\xd4\xd7"), tail)),
+        "unnamed": _file(order(_plain_element(name, "PN", "Åberg".encode("latin_1")), tail)),
+        "deflated": _file((lambda z: z.compress(order(_plain_element(name, "PN", "Deep^Flat"), _plain_element(patient, "LO", "P1"), nested, tail, b"\0" * 200_000)) + z.flush())(zlib.compressobj(9, zlib.DEFLATED, -15)), "1.2.840.10008.1.2.1.99"),
+        "big": _file(order(_plain_element(name, "PN", "Big^End", ">"), _plain_element(0x00280010, "US", struct.pack(">H", 512), ">"), tail), "1.2.840.10008.1.2.2"),
+        "bare": order(_plain_element(0x00080016, "UI", "1.2.3"), _plain_element(name, "PN", "No^Preamble"), tail),
+        "bare_implicit": struct.pack("<HHI", 0x0008, 0x0016, 6) + b"1.2.3\0" + struct.pack("<HHI", 0x0010, 0x0010, 4) + b"A^B " + struct.pack("<HHI", 0x0028, 0x0010, 2) + struct.pack("<H", 99),
+        "meta": _file(order(_plain_element(name, "PN", "M"), nested, tail), MediaStorageSOPClassUID="1.2.840.10008.5.1.4.1.1.2", MediaStorageSOPInstanceUID="9.9"),
+        "deep": _file(order(_plain_element(name, "PN", "D"), deep, tail)),
+        "cut": _file(order(_plain_element(name, "PN", "D"), nested))[:-5],
+        "empty": b"",
+    }
+    for n, raw in made.items():
+        (tmp_path / n).write_bytes(raw)
+    listed = spark.createDataFrame([(f"file://{tmp_path}/{n}", len(raw)) for n, raw in made.items()], "path string, bytes long")
+    keywords = ["PatientName", "PatientID", "Rows", "CTDIPhantomTypeCodeSequence", "NoSuchKeyword", *headers.keywords_of({"sop_class_uid": ("SOPClassUID", None)}), "MediaStorageSOPInstanceUID"]
+    read = headers.read_headers(spark, listed, keywords, files_per_task=3)
+    out = {r.path.rsplit("/", 1)[1]: r for r in read.collect()}
+    assert {n: r.error for n, r in out.items() if r.error} == {"cut": "the header is cut off", "empty": "no image header"}
+    names = {n: r.PatientName for n, r in out.items()}
+    assert [names[n] for n in ("latin", "utf8", "greek", "unnamed", "deflated", "big", "bare", "bare_implicit")] == ["Åberg^Sören", "Wang^小东", "Διονυσιος", "Åberg", "Deep^Flat", "Big^End", "No^Preamble", "A^B"]
+    assert names["japanese"] == "Yamada^Tarou=山田^太郎" and names["korean"] == "Hong^Gildong=洪^吉洞"
+    assert (out["big"].Rows, out["bare_implicit"].Rows, out["deflated"].PatientID, out["bare"].NoSuchKeyword) == ("512", "99", "P1", None)
+    assert json.loads(out["meta"].CTDIPhantomTypeCodeSequence) == json.loads(out["deflated"].CTDIPhantomTypeCodeSequence) == [{"00080100": {"vr": "SH", "Value": ["113691"]}, "00080104": {"vr": "LO", "Value": ["IEC Head"]}}]
+    assert json.loads(out["deep"].CTDIPhantomTypeCodeSequence) == [{"00081140": {"vr": "SQ", "Value": [{"00080100": {"vr": "SH", "Value": ["X"]}, "00280010": {"vr": "US", "Value": [7]}}]}}]
+    classes = {r.path.rsplit("/", 1)[1]: r.sop_class_uid for r in headers.projected(read, {"sop_class_uid": ("SOPClassUID", None)}).collect()}
+    assert (classes["meta"], classes["bare"], classes["latin"]) == ("1.2.840.10008.5.1.4.1.1.2", "1.2.3", None)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and str(tmp_path) not in plan.split("MapInArrow")[0]
+
+
+def test_every_table_of_an_archive_is_projected(spark):
+    keywords = headers.keywords_of(*headers.TABLES.values())
+    row = {k: "20200102" if k.endswith("Date") else "101500.5" if k.endswith("Time") else "7" for k in keywords}
+    df = spark.createDataFrame([("p", *row.values())], "path string, " + ", ".join(f"`{k}` string" for k in row))
+    for name, table in headers.TABLES.items():
+        got = headers.projected(df, table).first().asDict()
+        assert set(got) == {"path", *table} and all(v is not None for v in got.values()), name
+    assert sum(map(len, headers.TABLES.values())) == 161
+    assert not [k for k in keywords if k not in elements.TAGS and k not in ("SeriesComments", "PhaseEncodingDirection", "ActivityConcentrationScale", "SUVbw", "SUVlbm", "SUVbsa")]
+
+
 def test_streams_of_one_name_go_on(spark, tmp_path, monkeypatch):
     source, name = f"{tmp_path}/in", "headers"
     monkeypatch.setattr(ingest, "_shared", lambda _, name: f"file://{tmp_path}/shared/{name}")
