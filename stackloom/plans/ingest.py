@@ -170,7 +170,26 @@ def archive_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_ordered(documents, "source", "name", "size", 50_000).select("source", "name", "size", "chunk")
 
 
-QUERIES = {f.__name__: f for f in (dedupe_instances, ingest_conflicts, assign_dimension_ids, orphan_parent_audit, stack_discovery, stack_of_instance, stack_key, stack_instance_counts, stack_metrics, first_instance_per_stack, resume_filter, sister_series, middle_instance, import_subjects_upsert, import_memberships_replace, import_identifiers_replace, table_explorer_page, archive_bin_packing)}
+def _sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.col("doc_id").alias("name"), F.col("n_chars").alias("size"))
+
+
+def archive_bin_packing_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source packed by first-fit decreasing into archives under a limit."""
+    from stackloom.operators.packing import pack_ffd
+
+    return pack_ffd(_sized_documents(spark, sf_dir), "source", "name", "size", 50_000).drop("part")
+
+
+def archive_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of a first-fit packing: members, count and bytes."""
+    from stackloom.operators.packing import chunk_plan, pack_ffd
+
+    plan = chunk_plan(pack_ffd(_sized_documents(spark, sf_dir), "source", "name", "size", 50_000), "source", "name", "size")
+    return plan.select("source", "chunk_id", F.array_join("members", ",").alias("members"), "n_members", "total_bytes")
+
+
+QUERIES = {f.__name__: f for f in (dedupe_instances, ingest_conflicts, assign_dimension_ids, orphan_parent_audit, stack_discovery, stack_of_instance, stack_key, stack_instance_counts, stack_metrics, first_instance_per_stack, resume_filter, sister_series, middle_instance, import_subjects_upsert, import_memberships_replace, import_identifiers_replace, table_explorer_page, archive_bin_packing, archive_bin_packing_ffd, archive_chunk_plan)}
 
 _FIELDS = ", ".join(K.SIGNATURE)
 _NULLS = ", ".join(f"{c} NULLS FIRST" for c in K.SIGNATURE)
@@ -192,6 +211,13 @@ _HEADERS = """h AS (SELECT l_orderkey AS series_id, concat_ws('.', l_orderkey, l
     CASE WHEN what <> 8 THEN 'ORIGINAL' WHEN half = 1 THEN 'DERIVED' END AS image_type
     FROM (SELECT *, l_orderkey % 3 AS kind, (l_orderkey // 3) % 12 AS what, l_linenumber % 2 AS half FROM lineitem))"""
 
+#: The bins of each source as a list that the recursion carries.
+_FFD = """
+WITH RECURSIVE n AS (SELECT source, doc_id AS name, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+p AS (SELECT source, name, size, r, [size] AS used, 1::BIGINT AS chunk FROM n WHERE r = 1
+    UNION ALL SELECT source, name, size, r, CASE WHEN fit IS NULL THEN list_append(used, size) ELSE list_transform(used, lambda u, i: CASE WHEN i = fit THEN u + size ELSE u END) END, coalesce(fit, len(used) + 1)
+    FROM (SELECT n.source, n.name, n.size, n.r, p.used, nullif(list_position(list_transform(p.used, lambda u: u + n.size <= 50000), true), 0) AS fit FROM p JOIN n ON n.source IS NOT DISTINCT FROM p.source AND n.r = p.r + 1))"""
+
 ORACLE_SQL = {
     "dedupe_instances": f"WITH {A.CTES} SELECT sop_uid, study_id, series_id, part_id, te FROM instance QUALIFY row_number() OVER (PARTITION BY sop_uid ORDER BY part_id, supplier_id, te, tr) = 1",
     "ingest_conflicts": f"WITH {A.CTES} SELECT sop_uid, CASE WHEN count(DISTINCT series_id) > 1 THEN 'series' ELSE 'instance' END AS scope, count(*) AS n_rows, count(DISTINCT series_id) AS n_series FROM instance GROUP BY sop_uid HAVING count(*) > 1",
@@ -250,6 +276,8 @@ FROM o FULL JOIN n USING (subject_id)""",
     "table_explorer_page": """
 WITH f AS (SELECT * FROM customer WHERE lower(c_name) LIKE '%auto%' OR lower(c_mktsegment) LIKE '%auto%')
 SELECT *, (SELECT count(*) FROM customer) AS total_rows, (SELECT count(*) FROM f) AS filtered_rows FROM f ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 10""",
+    "archive_bin_packing_ffd": f"""{_FFD} SELECT source, name, size, CAST(chunk - 1 AS INTEGER) AS chunk FROM p""",
+    "archive_chunk_plan": f"""{_FFD} SELECT source, chunk AS chunk_id, string_agg(name, ',' ORDER BY name) AS members, count(*) AS n_members, CAST(sum(size) AS BIGINT) AS total_bytes FROM p GROUP BY source, chunk""",
     "archive_bin_packing": """
 WITH RECURSIVE n AS (SELECT source, doc_id AS name, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 p AS (SELECT source, name, size, r, size AS held, 0 AS chunk FROM n WHERE r = 1

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import json
+import random
 import struct
 import zlib
 
@@ -382,3 +383,26 @@ def test_reasons_keep_order_and_come_once(spark):
     doubt = completion.doubtful_orientation(F.col("m"), F.col("c"))
     out = rows.select("i", completion.completed_review(F.col("r"), **{"orientation:low_confidence": doubt}).alias("r")).sort("i").collect()
     assert [r.r for r in out] == ["orientation:low_confidence", "a,z", "", "orientation:low_confidence"]
+
+
+def test_first_fit_decreasing(spark):
+    rng = random.Random(4)
+    rows = [(g, f"n{i:04}", rng.choice((rng.randrange(100), rng.randrange(60, 100), 0, None, 130))) for g in ("a", "b", None) for i in range(400 if g == "a" else 30)] + [("a", "n0000", 50), ("c", "only", 500), ("c", "nothing", None)]
+    items = spark.createDataFrame(rows, "g string, n string, size int")
+    packed = packing.pack_ffd(items, "g", "n", "size", 100)
+    for g in ("a", "b", None, "c"):
+        bins, want = [], []
+        for _, n, s in sorted((r for r in rows if r[0] == g), key=lambda r: (-max(r[2] or 0, 0), r[1])):
+            s = s or 0
+            at = next((i for i, used in enumerate(bins) if used + s <= 100), len(bins))
+            bins[at:at + 1] = [(bins[at] if at < len(bins) else 0) + s]
+            want.append((n, s, at))
+        assert sorted((r.n, r.size or 0, r.chunk) for r in packed.filter(F.col("g").eqNullSafe(F.lit(g))).collect()) == sorted(want)
+    split = packing.pack_ffd(items, "g", "n", "size", 100, part_items=50)
+    assert split.select("part").distinct().count() > 4 and split.count() == len(rows)
+    plan = packing.chunk_plan(split, "g", "n", "size").filter("g = 'a'").collect()
+    assert sorted(r.chunk_id for r in plan) == list(range(1, len(plan) + 1)) and sum(r.n_members for r in plan) == 401
+    assert all(r.total_bytes <= 100 or sum(x[2] or 0 > 100 for x in rows if x[0] == "a" and x[1] in r.members) for r in plan)
+    sizes = [r[2] or 0 for r in rows if r[0] == "a"]
+    assert len(plan) <= 2 * sum(sizes) / 100 + sum(s > 100 for s in sizes) + 10
+    assert packing.pack_ffd(items.limit(0), "g", "n", "size", 100).collect() == []
