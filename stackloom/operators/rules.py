@@ -157,6 +157,29 @@ def matches(axis: str, order: tuple[str, ...] = ("exclusive", "keywords", "all_o
     return {r["id"]: _any(list(tiers(r, order).values())) for r in ordered_rules(axis)}
 
 
+def evidence(axis: str, order: tuple[str, ...], id_column: str, tier_column: str) -> str:
+    """What made the rule match that a column names: its deciding flag, all of its flags, the first
+    of them that holds, or the first of its keywords in the text; null for a default."""
+    arms = []
+    for rule in ordered_rules(axis):
+        shown = {"exclusive": _quoted(rule.get("exclusive", "")), "all_of": _quoted("&".join(rule.get("all_of", ())))}
+        first = lambda pairs: "CASE " + " ".join(f"WHEN {c} THEN {_quoted(v)}" for v, c in pairs) + " END"
+        if rule.get("keywords"):
+            shown["keywords"] = first([(k, f"contains(coalesce(text, ''), {_quoted(k)})") for k in rule["keywords"]])
+        if rule.get("any_of"):
+            shown["any_of"] = first([(n, f"f_{n}") for n in rule["any_of"]])
+        tests = [f"WHEN '{t}' THEN {shown[t]}" for t in tiers(rule, order) if t in shown]
+        if tests:
+            arms.append(f"WHEN {_quoted(rule['id'])} THEN CASE {tier_column} {' '.join(tests)} END")
+    return f"CASE {id_column} {' '.join(arms)} END"
+
+
+def alternatives(axis: str, order: tuple[str, ...], id_column: str) -> str:
+    """CSV of the other rules that match as well, in their order; '' if there are none."""
+    conditions = {r["id"]: _any(list(tiers(r, order).values())) for r in ordered_rules(axis)}
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} AND {id_column} <> {_quoted(i)} THEN {_quoted(i)} END" for i, c in conditions.items() if c != "false") + ")"
+
+
 def csv_of(conditions: dict[str, str]) -> str:
     """The ids whose conditions hold, in order, joined by commas; null if there are none."""
     return "nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN {_quoted(i)} END" for i, c in conditions.items()) + "), '')"
@@ -449,10 +472,13 @@ def intent() -> str:
     return "CASE WHEN provenance = 'Localizer' THEN 'localizer' WHEN branch_output IS NOT NULL THEN " + of_branch(3) + " " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in ladder) + " ELSE 'misc' END"
 
 
+_PROVENANCE_ORDER, _TECHNIQUE_ORDER = ("exclusive", "any_of", "keywords", "all_of"), ("exclusive", "keywords", "all_of")
+
+
 #: Stage -> column -> expression. Each stage may use the columns of those before it.
 def stages() -> list[dict[str, str]]:
-    provenance = first_match("provenances", ("exclusive", "any_of", "keywords", "all_of"), "'RawRecon'")
-    technique = first_match("techniques", ("exclusive", "keywords", "all_of"), "'UNKNOWN'")
+    provenance = first_match("provenances", _PROVENANCE_ORDER, "'RawRecon'")
+    technique = first_match("techniques", _TECHNIQUE_ORDER, "'UNKNOWN'")
     csv = lambda column, added: f"nullif(array_join(array_sort(array_distinct(filter(concat(split(coalesce({column}, ''), ','), array({added})), x -> coalesce(x, '') <> ''))), ','), '')"
     return [
         field_flags() | CONTEXT,
@@ -505,6 +531,70 @@ def _profile(rows: DataFrame) -> Column:
     return F.struct(*PREFIX, "text", *places, *flags, keys)
 
 
+def base_method() -> str:
+    """The method of a step of the base cascade; null for none."""
+    named = len([r for r in ordered_rules("bases") if r.get("keywords")])
+    lengths = (("technique", len(TECHNIQUE_BASE)), ("flags", len(BASE_FLAGS)), ("flair", 5), ("dual_echo", 2), ("keywords", named), ("physics", len(base_steps())))
+    arms, upto = [], 0
+    for method, n in lengths:
+        upto += n
+        arms.append(f"WHEN base_step < {upto} THEN '{method}'")
+    return f"CASE {' '.join(arms)} END"
+
+
+def base_alternatives() -> str:
+    """CSV of the other bases that some step of the cascade would give, in its order."""
+    found = ", ".join(f"CASE WHEN ({c}) AND NOT coalesce(detected_base = {_quoted(b)}, false) THEN {_quoted(b)} END" for c, b, *_ in base_steps())
+    return f"array_join(array_distinct(array({found})), ',')"
+
+
+def explain(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, and how classify comes to what it says of a row (the same columns are read).
+
+    excluded: why it is left out (all else is null then). For provenance and technique the rule,
+    its tier, the flag or word that decided, and the other rules that match; the technique's
+    family; the branch with what it overrides and how sure it is; for the base its value, the
+    method of the cascade, and the other bases that later steps would give; and the two
+    kinds of conflict. All of it comes from the expressions that classify runs.
+    """
+    rows = rows.withColumn("__profile", _profile(rows))
+    out = tokenised(rows.groupBy("__profile").agg(*(F.min(c).alias(c) for c in INPUTS)))
+    for stage in stages():
+        out = out.withColumns({name: F.expr(test) for name, test in stage.items()})
+    shown = {
+        "excluded": "excluded",
+        "provenance": "provenance", "provenance_tier": "provenance_tier", "provenance_evidence": evidence("provenances", _PROVENANCE_ORDER, "provenance", "provenance_tier"),
+        "provenance_alternatives": alternatives("provenances", _PROVENANCE_ORDER, "provenance"),
+        "technique_rule": "technique_id", "technique_tier": "technique_tier", "technique_evidence": evidence("techniques", _TECHNIQUE_ORDER, "technique_id", "technique_tier"),
+        "technique_alternatives": alternatives("techniques", _TECHNIQUE_ORDER, "technique_id"), "family": "family",
+        "branch": "branch", "branch_output": "branch_key", "branch_confidence": "branch_confidence",
+        "base_override": f"CASE WHEN branch_output IS NULL THEN '(none)' ELSE {of_branch(0)} END", "construct_override": f"CASE WHEN branch_output IS NULL THEN '(none)' ELSE {of_branch(1)} END",
+        "detected_base": "detected_base", "base_method": base_method(), "base_alternatives": base_alternatives(),
+        "base_conflict": "base_conflict", "technique_conflict": "technique_conflict",
+    }
+    traced = out.select("__profile", *(F.expr(e if n == "excluded" else f"CASE WHEN excluded IS NULL THEN {e} END").alias(n) for n, e in shown.items()))
+    return rows.select("__profile", *keep).join(traced, "__profile").drop("__profile")
+
+
+#: What a row that cannot be read is given.
+ERROR = "classification:error"
+
+
+def classify_captured(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """As classify, for rows whose numbers may be text: a row with a number that cannot be read is
+    not classified but kept in misc with the review reason classification:error, and `error`
+    names its fields (null for the others). No row fails the job."""
+    numbers = [c for c, t in (*INPUTS.items(), ("aspect", "double"), ("n_instances", "int")) if t in ("double", "int") and c in rows.columns]
+    cast = {c: F.expr(f"try_cast(nullif(trim(cast(`{c}` AS STRING)), '') AS {'INT' if c == 'n_instances' else 'DOUBLE'})") for c in numbers}
+    bad = F.array_compact(F.array(*(F.when((F.trim(F.col(c).cast("string")) != "") & (cast[c].isNull() | F.isnan(cast[c].cast("double"))), F.lit(c)) for c in numbers)))
+    error = F.when(F.size(bad) > 0, F.concat(F.lit("no number in "), F.array_join(bad, ", ")))
+    told = rows.withColumn("error", error).withColumns(cast)
+    found = classify(told, [*keep, "error"])
+    failed, kept = F.col("error").isNotNull(), [c for c in found.columns if c not in (*keep, "error")]
+    blank = {c: F.when(~failed, F.col(c)) for c in kept if c not in ("intent", "review_reasons")}
+    return found.withColumns({**blank, "intent": F.when(failed, "misc").otherwise(F.col("intent")), "review_reasons": F.when(failed, ERROR).otherwise(F.col("review_reasons"))})
+
+
 def classify(rows: DataFrame, keep: list[str]) -> DataFrame:
     """rows with columns image_type, scanning_sequence, sequence_variant, scan_options,
     sequence_name, text, te, tr, ti, b_value, acquisition_type, stack_key, contrast_agent, aspect,

@@ -406,3 +406,25 @@ def test_first_fit_decreasing(spark):
     sizes = [r[2] or 0 for r in rows if r[0] == "a"]
     assert len(plan) <= 2 * sum(sizes) / 100 + sum(s > 100 for s in sizes) + 10
     assert packing.pack_ffd(items.limit(0), "g", "n", "size", 100).collect() == []
+
+
+def test_explanations(spark):
+    rows = spark.createDataFrame([(i, *PROTOCOLS[i], 1.0, 20) for i in (0, 3, 4, 6, 11, 16, 17, 21)], f"i int, {FIELDS}, aspect double, n_instances int")
+    out = {r.i: r for r in rules.explain(rows, ["i"]).collect()}
+    assert (out[0].technique_rule, out[0].technique_tier, out[0].base_method, out[0].base_override, out[0].branch_output) == ("MPRAGE", "exclusive", "technique", "(none)", None)
+    assert (out[4].branch, out[4].branch_output, out[4].base_override, out[4].construct_override, out[4].branch_confidence) == ("swi", "swi:MinIP", "SWI", "MinIP", 0.95)
+    assert (out[3].provenance, out[3].provenance_tier, out[3].provenance_evidence) == ("SWIRecon", "exclusive", "is_swi")
+    assert (out[6].provenance_tier, out[6].provenance_evidence, out[6].construct_override, out[6].base_override) == ("keywords", "symri", "T1map", None)
+    assert out[11].excluded == "secondary_reformat" and all(v is None for n, v in out[11].asDict().items() if n not in ("i", "excluded"))
+    assert (out[16].base_method, out[16].detected_base) == ("physics", "T1w")
+    assert out[17].technique_conflict == "GRE" and out[17].detected_base == "T2*w"
+    assert (out[21].provenance, out[21].provenance_tier, out[21].provenance_evidence, out[21].technique_rule, out[21].base_method) == ("RawRecon", "default", None, "UNKNOWN", None)
+    assert rules.explain(rows.limit(0), ["i"]).collect() == []
+
+
+def test_rows_that_cannot_be_read_are_kept(spark):
+    text = spark.createDataFrame([(1, "90", "t2 tse"), (2, "ninety", "t2 tse"), (3, None, None), (4, "NaN", "swi")], "i int, te string, text string")
+    text = text.withColumns({c: F.lit(None).cast("string") for c in rules.INPUTS if c not in text.columns}).withColumns({"aspect": F.lit("1.0"), "n_instances": F.lit("x")})
+    out = {r.i: r for r in rules.classify_captured(text.withColumn("n_instances", F.when(F.col("i") == 3, "x")), ["i"]).collect()}
+    assert [out[i].error for i in (1, 2, 3, 4)] == [None, "no number in te", "no number in n_instances", "no number in te"]
+    assert [(out[i].intent, out[i].review_reasons, out[i].technique) for i in (2, 3, 4)] == [("misc", rules.ERROR, None)] * 3 and out[1].technique == "TSE"
