@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.plans import archive, classification, cohort, completing, features, fingerprints, handling, ingest, readings, review, wording
+from stackloom.plans import archive, classification, cohort, completing, features, fingerprints, handling, ingest, merging, readings, review, wording
 
-_MODULES = (cohort, archive, ingest, features, fingerprints, classification, completing, handling, readings, review, wording)
+_MODULES = (cohort, archive, ingest, features, fingerprints, classification, completing, handling, merging, readings, review, wording)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
