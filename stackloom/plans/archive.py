@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.sources import files, headers
+from stackloom.operators.packing import pack_ffd
+from stackloom.plans.ingest import FFD
+from stackloom.sources import files, headers, manifest
 from stackloom.sources.elements import TAGS
 from stackloom.streaming.ingest import _shared
 
@@ -65,8 +67,22 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("path")
 
 
-QUERIES = {"image_headers": image_headers}
+def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of packed archives, written with a manifest and read back from the parts that are
+    intact (K15, K17)."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", "n_chars", "text")
+    packed = pack_ffd(rows, "source", "doc_id", "n_chars", 50_000)
+    members = manifest.archive_members(packed, "source", "doc_id", "n_chars", F.coalesce("text", F.lit("")))
+    path = f"{_shared(spark, None)}/manifest"
+    manifest.write_manifest(members.repartition(8, "source", "chunk"), path, ["source", "chunk", "member"])
+    whole = manifest.verified(spark, path).agg(F.min("intact").alias("intact"), F.sum("rows").alias("listed"))
+    read = manifest.read_parts(spark, path, "source string, chunk int, member long, bytes long, sha256 string")
+    return read.join(F.broadcast(whole))  # one row
+
+
+QUERIES = {"image_headers": image_headers, "archive_manifest": archive_manifest}
 ORACLE_SQL = {
+    "archive_manifest": f"""{FFD} SELECT p.source, CAST(chunk - 1 AS INTEGER) AS chunk, name AS member, size AS bytes, sha256(coalesce(text, '')) AS sha256, true AS intact, (SELECT count(*) FROM documents) AS listed FROM p JOIN documents ON doc_id = name""",
     "image_headers": """SELECT '1.2.' || c_custkey AS sop_uid, '1.2.840.10008.5.1.4.1.1.4' AS sop_class_uid, 'Åberg^' || c_name AS patient_name, CAST(c_custkey % 50 AS DOUBLE) + 0.5 AS te, c_custkey % 512 AS rows,
     '[{"00080100": {"vr": "SH", "Value": ["' || (c_custkey % 7) || '"]}}]' AS phantom FROM customer""",
 }

@@ -212,7 +212,7 @@ _HEADERS = """h AS (SELECT l_orderkey AS series_id, concat_ws('.', l_orderkey, l
     FROM (SELECT *, l_orderkey % 3 AS kind, (l_orderkey // 3) % 12 AS what, l_linenumber % 2 AS half FROM lineitem))"""
 
 #: The bins of each source as a list that the recursion carries.
-_FFD = """
+FFD = """
 WITH RECURSIVE n AS (SELECT source, doc_id AS name, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
 p AS (SELECT source, name, size, r, [size] AS used, 1::BIGINT AS chunk FROM n WHERE r = 1
     UNION ALL SELECT source, name, size, r, CASE WHEN fit IS NULL THEN list_append(used, size) ELSE list_transform(used, lambda u, i: CASE WHEN i = fit THEN u + size ELSE u END) END, coalesce(fit, len(used) + 1)
@@ -276,8 +276,8 @@ FROM o FULL JOIN n USING (subject_id)""",
     "table_explorer_page": """
 WITH f AS (SELECT * FROM customer WHERE lower(c_name) LIKE '%auto%' OR lower(c_mktsegment) LIKE '%auto%')
 SELECT *, (SELECT count(*) FROM customer) AS total_rows, (SELECT count(*) FROM f) AS filtered_rows FROM f ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 10""",
-    "archive_bin_packing_ffd": f"""{_FFD} SELECT source, name, size, CAST(chunk - 1 AS INTEGER) AS chunk FROM p""",
-    "archive_chunk_plan": f"""{_FFD} SELECT source, chunk AS chunk_id, string_agg(name, ',' ORDER BY name) AS members, count(*) AS n_members, CAST(sum(size) AS BIGINT) AS total_bytes FROM p GROUP BY source, chunk""",
+    "archive_bin_packing_ffd": f"""{FFD} SELECT source, name, size, CAST(chunk - 1 AS INTEGER) AS chunk FROM p""",
+    "archive_chunk_plan": f"""{FFD} SELECT source, chunk AS chunk_id, string_agg(name, ',' ORDER BY name) AS members, count(*) AS n_members, CAST(sum(size) AS BIGINT) AS total_bytes FROM p GROUP BY source, chunk""",
     "archive_bin_packing": """
 WITH RECURSIVE n AS (SELECT source, doc_id AS name, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 p AS (SELECT source, name, size, r, size AS held, 0 AS chunk FROM n WHERE r = 1

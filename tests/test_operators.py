@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions import misc
-from stackloom.operators import completion, export, fingerprint, gapfill, identity, imports, packing, qc, review, rules, upsert
+from stackloom.operators import completion, export, fingerprint, flow, gapfill, identity, imports, packing, qc, resume, review, rules, upsert
 from stackloom.plans.protocols import FIELDS, PROTOCOLS
-from stackloom.sources import elements, files, headers
+from stackloom.sources import elements, files, headers, manifest
 from stackloom.streaming import ingest, merge
 
 CASE = dict(zip([f.split()[0] for f in FIELDS.split(", ")], [None] * 13, strict=True))
@@ -462,3 +462,45 @@ def test_merged_streams_survive_a_crash(spark, tmp_path, monkeypatch):
             assert found == [("instance", "i1"), ("instance", "i2"), ("series", "e1"), ("study", "t1"), ("subject_identifier", "S1")]
             assert {r.uid for r in stream.parents(spark, "study").collect()} == {"t1"}  # t9 has no accepted instance: no orphan
             assert [(r.subject_code, r.conflict) for r in stream.parents(spark, "study").collect()] == [("S1", True)]
+
+
+def test_manifests_are_committed_at_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f'a "{i}", b\nc', None if i % 3 else "x") for i in range(40)], "i int, t string, o string")
+    for run in ("a", "b"):
+        manifest.write_manifest(rows.repartition(3, "i"), f"file://{tmp_path}/{run}", ["i"])
+    lines = (tmp_path / "a" / "MANIFEST.csv").read_text()
+    assert lines == (tmp_path / "b" / "MANIFEST.csv").read_text() and sum(r.rows for r in manifest.manifest(spark, f"file://{tmp_path}/a").collect()) == 40
+    assert {r.intact for r in manifest.verified(spark, f"file://{tmp_path}/a").collect()} == {True}
+    back = manifest.read_parts(spark, f"file://{tmp_path}/a", "i int, t string, o string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    part = next(p for p in (tmp_path / "b").iterdir() if p.name.startswith("part-"))
+    part.write_text(part.read_text() + "x")
+    assert sorted(r.intact for r in manifest.verified(spark, f"file://{tmp_path}/b").collect()).count(False) == 1
+    fails = rows.repartition(3, "i").withColumn("t", F.when(F.col("i") == 17, F.raise_error(F.lit("broken"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="broken"):
+        manifest.write_manifest(fails, f"file://{tmp_path}/c", ["i"])
+    left = list((tmp_path / "c").iterdir()) if (tmp_path / "c").exists() else []
+    assert not left
+    manifest.write_manifest(rows.limit(0), f"file://{tmp_path}/d", ["i"])
+    assert (tmp_path / "d" / "MANIFEST.csv").read_text() == "part,rows,bytes,sha256\n" and manifest.read_parts(spark, f"file://{tmp_path}/d", "i int").count() == 0
+
+
+def test_resume_renames_and_flows_on_awkward_rows(spark):
+    files = spark.createDataFrame([("a", "a/1", "o/1", None), ("a", "a/2", "o/2", "t1"), ("a", "a/3", "o/3", "t9"), ("b", "b/1", "o/4", "t2"), ("b", "b/1", "o/4", "t2"), (None, "c", "o/5", None)], "leaf string, path string, output string, study_uid string")
+    done = spark.createDataFrame([("t1",), (None,)], "study_uid string")
+    there = spark.createDataFrame([("o/3",), ("o/3",)], "path string")
+    got = sorted(((r.path, r.study_uid, r.audit_done, r.mode) for r in resume.leaf_modes(files, done, there).collect()))
+    assert got == [("a/1", None, False, "full"), ("a/2", "t1", True, "output_only"), ("a/3", "t1", True, "skip"), ("b/1", "t2", False, "full"), ("b/1", "t2", False, "full"), ("c", None, False, "full")]
+    folders = spark.createDataFrame([("P1",), ("P1/P1_P2",), ("P2",), ("x",), ("P10",), (None,), ("P1",), ("u/P1",), ("u/Q1",)], "path string")
+    mapping = spark.createDataFrame([("P1", "Q1"), ("P10", "Z"), ("Q1", "R1"), ("", "x"), ("P2", "P2"), (None, "n"), ("P1", "Y")], "old string, new string")
+    plan = resume.rename_plan(folders, mapping)
+    assert sorted((r.path, r.new_name, r.status) for r in plan.collect()) == [("P1", "R1", "rename"), ("P1/P1_P2", "R1_P2", "rename"), ("P10", "Z", "rename"), ("u/P1", "R1", "rename"), ("u/Q1", "R1", "target exists")]
+    paths = spark.createDataFrame([("P1/P1_P2/f",), ("f",), ("u/Q1/f",)], "path string")
+    assert sorted(map(tuple, resume.renamed_paths(paths, plan).collect())) == [("P1/P1_P2/f", "R1/R1_P2/f"), ("f", "f"), ("u/Q1/f", "u/Q1/f")]
+    assert resume.rename_plan(folders, mapping.limit(0)).collect() == [] and resume.rename_plan(folders.limit(0), mapping).collect() == []
+    events = spark.createDataFrame([(1, 1, 1, "confirmed"), (1, 2, 2, "reviewed"), (1, 3, 3, "pending"), (1, 3, 4, "reviewed"), (2, 1, 1, "odd"), (2, None, 2, "reviewed"), (None, 1, 1, "reviewed"), (3, 1, 1, "skipped"), (3, 1, 1, "skipped")], "item_id int, at int, seq int, status string")
+    out = {r.item_id: r for r in flow.item_status(events).collect()}
+    assert out[1][1:] == ("reviewed", 3, 1, 4, "confirmed>reviewed") and out[2][1:] == ("pending", None, None, 1, "pending>odd") and out[3][1:] == ("skipped", None, None, 2, "")
+    cache = spark.createDataFrame([(1, "T1w", 0, 1), (2, "T1w", 0, 1), (3, "T1w", 0, 1)], "series_id int, base string, localizer int, review_required int")
+    drafts = spark.createDataFrame([(1, "localizer", "x"), (1, "base", None), (2, "other", "y")], "series_id int, field string, new_value string")
+    assert sorted(map(tuple, flow.confirm_item_changes(cache, drafts, ("base", "localizer")).collect())) == [(1, None, None, 0), (2, "T1w", 0, 1), (3, "T1w", 0, 1)]
