@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions import misc
-from stackloom.operators import completion, export, fingerprint, flow, gapfill, identity, imports, packing, qc, resume, review, rules, upsert
+from stackloom.operators import completion, export, fingerprint, flow, gapfill, identity, imports, packing, qc, resume, review, rules, stacks, upsert
 from stackloom.plans.protocols import FIELDS, PROTOCOLS
 from stackloom.sources import elements, files, headers, manifest
 from stackloom.streaming import ingest, merge
@@ -504,3 +504,57 @@ def test_resume_renames_and_flows_on_awkward_rows(spark):
     cache = spark.createDataFrame([(1, "T1w", 0, 1), (2, "T1w", 0, 1), (3, "T1w", 0, 1)], "series_id int, base string, localizer int, review_required int")
     drafts = spark.createDataFrame([(1, "localizer", "x"), (1, "base", None), (2, "other", "y")], "series_id int, field string, new_value string")
     assert sorted(map(tuple, flow.confirm_item_changes(cache, drafts, ("base", "localizer")).collect())) == [(1, None, None, 0), (2, "T1w", 0, 1), (3, "T1w", 0, 1)]
+
+
+def test_imports_of_awkward_rows(spark):
+    codes = lambda *rows: spark.createDataFrame(list(rows), "p string, s string")
+    assert sorted(map(tuple, imports.subject_codes(codes((" a ", "1"), ("a", "1 "), (None, " "), ("b", "2")), "p", "s").collect())) == [("a", "1"), ("b", "2")]
+    for rows, says in (([("a", "1"), ("a", "2")], "conflicting"), ([("a", None)], "without a subject code"), ([(None, "1")], "no patient id"), ([("a", "1"), ("a", " ")], "without")):
+        with pytest.raises(ValueError, match=says):
+            imports.subject_codes(codes(*rows), "p", "s")
+    types = spark.createDataFrame([(4, "Site", None)], "id long, name string, description string")
+    new = spark.createDataFrame([(" site ", "x"), ("Code", None), ("code", "y"), ("  ", None), (None, None)], "name string, description string")
+    after, refused = imports.create_id_types(types, new)
+    assert sorted(map(tuple, after.collect())) == [(4, "Site", None), (5, "Code", None)]
+    assert sorted(((r.name, r.reason) for r in refused.collect()), key=str) == [("Code", "name comes twice"), ("site", "name exists"), (None, "name is blank"), (None, "name is blank")]
+    used = spark.createDataFrame([(4,), (4,), (None,)], "id_type_id long")
+    assert sorted((r.id, r.identifiers_count) for r in imports.list_id_types(after, used).collect()) == [(4, 2), (5, 0)]
+    rows = spark.createDataFrame([("1", "['A, b', \"c\"]", "[x, 2]"), ("1", "nan", "3"), ("", "z", "9"), ("x", "null", "1e30")], "`Instance_Id ` string, image_type string, echo_train_length string")
+    values = imports.instance_values(rows)
+    assert sorted(map(tuple, values.collect()), key=str) == [(1, "A, b\\c", 2), (1, None, 3), (None, None, None)]
+    old = spark.createDataFrame([(1, "o", 8), (2, "o", 8)], "instance_id long, image_type string, echo_train_length long")
+    out, counts = imports.update_instances(old, values)
+    assert sorted(map(tuple, out.collect())) == [(1, "A, b\\c", 2), (2, "o", 8)] and tuple(counts.first()) == (3, 1)
+    with pytest.raises(ValueError):
+        imports.instance_values(rows.select("image_type"))
+    cohorts = spark.createDataFrame([(3, "lund", "o", "/p", None, False)], "cohort_id long, name string, owner string, path string, description string, is_active boolean")
+    more = spark.createDataFrame([(" LUND", "n", "/q", " ", None), ("Umea", "n", "/u", "d", None), ("none", None, "/x", None, True), (" ", "n", "/x", None, True)], "name string, owner string, path string, description string, is_active boolean")
+    assert sorted(map(tuple, imports.upsert_cohorts(cohorts, more).collect())) == [(3, "lund", "n", "/q", None, False), (4, "umea", "n", "/u", "d", True)]
+
+
+def test_stacks_keep_their_indices(spark):
+    fields = {**stacks.SIGNATURE}
+    schema = "series_id int, sop_uid string, " + ", ".join(f"{c} {'double' if d is not None else 'string'}" for c, d in fields.items())
+    blank = dict.fromkeys(fields)
+    row = lambda series, sop, **k: (series, sop, *({**blank, **k}.values()))
+    first = spark.createDataFrame([row(1, "b", echo_time=10.001), row(1, "c", echo_time=10.004), row(1, "d", echo_time=20.0), row(None, "e")], schema)
+    known = stacks.ensure_stacks(first)
+    assert sorted((r.series_id or 0, r.stack_index, r.n_instances) for r in known.collect()) == [(0, 0, 1), (1, 0, 2), (1, 1, 1)]
+    second = spark.createDataFrame([row(1, "a", echo_time=5.0), row(1, "x", echo_time=20.004), row(2, "y", image_type="M"), row(2, "z", image_type=None)], schema)
+    both = {(r.series_id or 0, r.stack_index): (r.echo_time, r.n_instances, r.is_new) for r in stacks.ensure_stacks(second, known).collect()}
+    assert both == {(0, 0): (None, 0, False), (1, 0): (10.0, 0, False), (1, 1): (20.0, 1, False), (1, 2): (5.0, 1, True), (2, 0): (None, 1, True), (2, 1): (None, 1, True)}
+    gap = known.withColumn("stack_index", F.col("stack_index") * 5)
+    assert {r.stack_index for r in stacks.ensure_stacks(second, gap).filter("series_id = 1").collect()} == {0, 5, 6}
+    assert stacks.ensure_stacks(first.limit(0)).collect() == []
+    keys = {r.series_id: r.stack_key for r in stacks.stack_key(stacks.ensure_stacks(second, known)).collect()}
+    assert (keys[1], keys[2], keys[None]) == ("multi_echo", "image_type_variation", None)
+
+
+def test_worklist_filters(spark):
+    reasons = ["base:low_confidence,base:missing", "technique:conflict", "contrast:low", None, "Base:missing"]
+    df = spark.createDataFrame([(r,) for r in reasons], "r string")
+    csv = F.col("r")
+    pick = lambda c: [bool(x[0]) for x in df.select(c).collect()]
+    assert pick(qc.has_flag(csv, "base", "missing")) == [True, False, False, False, False] and pick(qc.has_flag(csv)) == [True, True, False, False, False]
+    assert pick(qc.worth_a_look(F.lit("localizer"), csv)) == [True, True, False, False, False] and pick(qc.worth_a_look(F.lit(None).cast("string"), csv)) == [True, True, False, False, False]
+    assert pick(qc.worth_a_look(F.lit("anat"), csv)) == [True] * 5
