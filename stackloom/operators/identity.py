@@ -128,3 +128,55 @@ def scrub_plan(tags: DataFrame, scrubbed: DataFrame, kept: tuple[str, ...]) -> D
     spared = F.col("tag").isin(*kept) | name.contains("uid") | (name.contains("referenc") & name.contains("sequence"))
     hit = tags.join(scrubbed.select("tag").distinct(), "tag")
     return hit.select("path", "tag", "name", F.when(spared, "retained").otherwise("removed").alias("action"), F.col("value").alias("old_value"))
+
+
+PATIENT_ID, STUDY_DATE, STUDY_UID = "0010,0020", "0008,0020", "0020,000D"
+# The tags that every category of a de-identification removes, by group: numbers; MANDATORY always.
+MANDATORY = {"0008": "0016 0018"}
+CATEGORIES = {
+    "Patient_Information": {"0010": "0010 0030 0032 0040 1010 1020 1030 1040 0050 1090 1080 1081 2000 2110 2150 2152 2154 2160 2180 21A0 21B0 21C0 21D0 1000 1001 1002 0101 0102 2297 2298 0021 1060 21F0 4000"},
+    "Clinical_Trial_Information": {"0012": "0010 0020 0021 0030 0031 0040 0042 0050 0051 0060 0071 0072 0081 0082 0083 0084 0085 0086 0087 0088 0089 0090 0091"},
+    "Healthcare_Provider_Information": {
+        "0008": "0090 0092 0094 0096 1060 106E 1048 1049 1062 1050 1052 1070 1072 2111 1080",
+        "0032": "1032 1033 1060",
+        "0040": "1001 0007 0009 0006 000B 0254 0253 A075 A073 0275 0260 A730 1102 1103 1104 1002 1400",
+        "0400": "0561",
+        "0070": "0084 0086",
+    },
+    "Institution_Information": {"0008": "1010 0080 0081 1040 1041"},
+    "Time_And_Date_Information": {"0008": "0021 0022 0023 0030 0031 0032 0033 0012 0013", "0032": "1050 1051", "0040": "0244 0245 0250 0251 2004 2005 A030 A032"},
+}
+
+
+def scrub_list(categories: tuple[str, ...] = tuple(CATEGORIES)) -> list[str]:
+    """The tags, as group,number in upper case, that the given categories remove, sorted; unknown categories have none."""
+    tables = [MANDATORY, *(CATEGORIES.get(c, {}) for c in categories)]
+    return sorted({f"{group},{number}" for table in tables for group, numbers in table.items() for number in numbers.split()})
+
+
+def audit_events(tags: DataFrame, ids: DataFrame, categories: tuple[str, ...] = tuple(CATEGORIES), kept: tuple[str, ...] = (), timepoints: bool = True) -> DataFrame:
+    """(path, study_uid, tag, name, action, old_value, new_value): what de-identification does to each element.
+
+    tags(path, tag, name, value) are the elements of all files. A patient id that ids(old_id, new_id) maps
+    is replaced. A study date becomes its time point after the patient's first (replaced); where it is
+    no date, or has no patient, or timepoints is off, it is retained. Listed tags of the categories
+    are removed; ids, dates and the study's uid are not, nor kept tags, nor elements that say they
+    are uids or references. Elements that nothing happens to give no event. Blank values count as missing.
+    """
+    value = F.nullif(F.trim("value"), F.lit(""))
+    rows = tags.withColumn("value", value)
+    own = rows.groupBy("path").agg(*(F.min(F.when(F.col("tag") == t, F.col("value"))).alias(n) for n, t in (("__patient", PATIENT_ID), ("study_uid", STUDY_UID), ("__date", STUDY_DATE))))
+    own = own.withColumn("__day", F.when(F.col("__date").rlike(r"^\d{8}$"), F.try_to_date("__date", "yyyyMMdd")))
+    first = own.filter("__patient IS NOT NULL").groupBy("__patient").agg(F.min("__day").alias("__first"))
+    table = ids.groupBy(F.trim("old_id").alias("__patient")).agg(F.max(F.trim("new_id")).alias("__new"))
+    files = own.join(first, "__patient", "left").join(table, "__patient", "left")
+    name = F.lower(F.coalesce("name", F.lit("")))
+    spared = F.col("tag").isin(PATIENT_ID, STUDY_DATE, STUDY_UID, *kept) | name.contains("uid") | name.contains("referenc")
+    listed = F.col("tag").isin(*scrub_list(categories)) & ~spared
+    label = F.when(F.col("__day").isNotNull(), timepoint(F.col("__first"), F.col("__day"))) if timepoints else F.lit(None).cast("string")
+    mapped = F.when((F.col("tag") == PATIENT_ID) & (F.col("__new") != F.col("value")), F.nullif("__new", F.lit("")))
+    dated = (F.col("tag") == STUDY_DATE) & F.col("value").isNotNull()
+    new = F.when(mapped.isNotNull(), mapped).when(dated & F.col("__patient").isNotNull(), label)
+    action = F.when(mapped.isNotNull(), "replaced").when(dated, F.when(new.isNotNull(), "replaced").otherwise("retained")).when(listed, "removed")
+    joined = rows.join(files, "path").withColumns({"action": action, "new_value": F.when(action == "removed", "").otherwise(F.coalesce(new, F.lit("")))})
+    return joined.filter("action IS NOT NULL").select("path", "study_uid", "tag", "name", "action", F.coalesce("value", F.lit("")).alias("old_value"), "new_value")

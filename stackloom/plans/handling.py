@@ -100,7 +100,20 @@ def discovered_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-_ALL = (import_coercion, import_dry_run, import_cohorts, anonymise_sequential_ids, anonymise_hash_ids, anonymise_path_ids, subject_resolution, scrub_tags, discovered_patients)
+def deidentification_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replaced, retained and removed elements of each file."""
+    k = F.col("o_orderkey")
+    patient = F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("P"), "o_custkey")).otherwise("")
+    date = F.when(k % 7 == 0, "unknown").when(k % 7 != 1, F.date_format("o_orderdate", "yyyyMMdd"))
+    cells = (("0010,0020", "PatientID", patient), ("0008,0020", "StudyDate", date), ("0020,000D", "StudyInstanceUID", F.concat(F.lit("1."), k)), ("0010,0010", "PatientName", F.lit("N")), ("0008,0018", "SOPInstanceUID", F.lit("1")),
+             ("0008,1010", "StationName", F.col("o_orderstatus")), ("0018,0050", "SliceThickness", F.lit("2")), ("0008,0090", "ReferringPhysicianName", F.lit("R")))
+    element = F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(n).alias("name"), v.cast("string").alias("value")) for t, n, v in cells))).alias("e")
+    tags = _orders(spark, sf_dir).select(F.concat(F.lit("f"), k).alias("path"), element).select("path", "e.*")
+    ids = _customers(spark, sf_dir).filter("c_custkey % 2 = 0").select(F.concat(F.lit(" P"), "c_custkey").alias("old_id"), F.concat(F.lit("S"), "c_custkey").alias("new_id"))
+    return I.audit_events(tags, ids, ("Patient_Information", "Institution_Information", "Healthcare_Provider_Information"), kept=("0008,0090",))
+
+
+_ALL = (import_coercion, import_dry_run, import_cohorts, anonymise_sequential_ids, anonymise_hash_ids, anonymise_path_ids, subject_resolution, scrub_tags, deidentification_events, discovered_patients)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _IN = """i AS (SELECT o_orderkey AS row_number, CASE WHEN o_orderkey % 37 <> 0 THEN 'Customer' || o_custkey END AS subject_code, CASE WHEN o_orderkey % 5 > 1 THEN CAST(o_orderdate AS DATE) END AS birth_date,
@@ -120,6 +133,16 @@ SELECT subject_code, CASE WHEN was IS NULL THEN 'inserted' WHEN birth_date IS NO
     count(*) AS n, count(DISTINCT CASE WHEN o_custkey % 10 = 0 THEN -o_orderkey ELSE o_custkey END) AS n_codes FROM orders GROUP BY ALL""",
     "scrub_tags": """SELECT 'f' || user_id AS path, ['0010,0010', '0010,0020', '0008,0018', '0008,1140', '0008,0080'][event_id % 6 + 1] AS tag, CASE WHEN event_id % 6 IN (0, 4) THEN 'removed' ELSE 'retained' END AS action,
     count(*) AS n, min(event_type) AS first_value FROM events WHERE event_id % 6 <> 5 GROUP BY ALL""",
+    "deidentification_events": """WITH f AS (SELECT 'f' || o_orderkey AS path, '1.' || o_orderkey AS study_uid, CASE WHEN o_custkey % 5 <> 0 THEN 'P' || o_custkey END AS p, o_custkey AS c, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 7 <> 1 THEN strftime(o_orderdate, '%Y%m%d') END AS d,
+    CASE WHEN o_orderkey % 7 > 1 THEN CAST(o_orderdate AS DATE) END AS day, o_orderstatus AS station FROM orders),
+g AS (SELECT *, CASE WHEN p IS NOT NULL THEN min(day) OVER (PARTITION BY p) END AS first FROM f),
+m AS (SELECT *, CASE WHEN first IS NULL OR day IS NULL THEN NULL ELSE datediff('month', first, day) - CASE WHEN first + to_months(CAST(datediff('month', first, day) AS INTEGER)) > day THEN 1 ELSE 0 END END AS whole FROM g),
+n AS (SELECT *, CAST(round_even(whole + datediff('day', CAST(first + to_months(CAST(whole AS INTEGER)) AS DATE), day) / 30.44::DOUBLE, 0) AS INTEGER) AS months FROM m),
+t AS (SELECT *, greatest(6, CAST(6 * round_even(months / 6.0::DOUBLE, 0) AS INTEGER)) AS six FROM n),
+l AS (SELECT *, CASE WHEN months = 0 THEN 'M00' ELSE 'M' || CASE WHEN CASE WHEN abs(months - six) <= 1 THEN six ELSE months END > 9 THEN '' ELSE '0' END || CASE WHEN abs(months - six) <= 1 THEN six ELSE months END END AS label FROM t)
+SELECT path, study_uid, '0010,0020' AS tag, 'PatientID' AS name, 'replaced' AS action, p AS old_value, 'S' || c AS new_value FROM l WHERE p IS NOT NULL AND c % 2 = 0 AND c IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT path, study_uid, '0008,0020', 'StudyDate', CASE WHEN label IS NULL THEN 'retained' ELSE 'replaced' END, d, coalesce(label, '') FROM l WHERE d IS NOT NULL
+UNION ALL SELECT path, study_uid, '0010,0010', 'PatientName', 'removed', 'N', '' FROM l UNION ALL SELECT path, study_uid, '0008,1010', 'StationName', 'removed', station, '' FROM l""",
     "discovered_patients": f"""WITH {_FILES} SELECT DISTINCT p AS patient_id, 'top' AS mode FROM (SELECT min_by(p, path) AS p FROM f GROUP BY top)
 UNION ALL SELECT DISTINCT p, 'study' FROM (SELECT min_by(p, path) AS p FROM f WHERE u IS NOT NULL GROUP BY u) UNION ALL SELECT DISTINCT p, 'all' FROM f""",
 }

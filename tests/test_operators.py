@@ -558,3 +558,14 @@ def test_worklist_filters(spark):
     assert pick(qc.has_flag(csv, "base", "missing")) == [True, False, False, False, False] and pick(qc.has_flag(csv)) == [True, True, False, False, False]
     assert pick(qc.worth_a_look(F.lit("localizer"), csv)) == [True, True, False, False, False] and pick(qc.worth_a_look(F.lit(None).cast("string"), csv)) == [True, True, False, False, False]
     assert pick(qc.worth_a_look(F.lit("anat"), csv)) == [True] * 5
+
+
+def test_deidentification_events(spark):
+    assert len(identity.scrub_list()) == 121 and identity.scrub_list(("Institution_Information", "none")) == ["0008,0016", "0008,0018", "0008,0080", "0008,0081", "0008,1010", "0008,1040", "0008,1041"]
+    tags = [("a", "0010,0020", "PatientID", " P1 "), ("a", "0008,0020", "StudyDate", "20200101"), ("b", "0010,0020", "PatientID", "P1"), ("b", "0008,0020", "StudyDate", "20200702"), ("b", "0008,1010", "StationName", None), ("c", "0008,0020", "StudyDate", "2020"), ("c", "0008,0080", None, "x"), ("d", "0010,0020", "PatientID", ""), ("e", "9999,0000", "Other", "x")]
+    df = spark.createDataFrame(tags, "path string, tag string, name string, value string")
+    ids = spark.createDataFrame([("P1", "S1"), ("P2", None)], "old_id string, new_id string")
+    out = sorted((r.path, r.tag, r.action, r.old_value, r.new_value) for r in identity.audit_events(df, ids).collect())
+    assert out == [("a", "0008,0020", "replaced", "20200101", "M00"), ("a", "0010,0020", "replaced", "P1", "S1"), ("b", "0008,0020", "replaced", "20200702", "M06"), ("b", "0008,1010", "removed", "", ""), ("b", "0010,0020", "replaced", "P1", "S1"), ("c", "0008,0020", "retained", "2020", ""), ("c", "0008,0080", "removed", "x", "")]
+    off = identity.audit_events(df, ids.limit(0), (), timepoints=False).collect()
+    assert {(r.tag, r.action) for r in off} == {("0008,0020", "retained")} and identity.audit_events(df.limit(0), ids).collect() == []
