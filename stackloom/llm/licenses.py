@@ -7,9 +7,9 @@ paragraphs. A template without such words is looked for by its longest words, so
 copy must hold one of them. A template is only tried on a block that holds enough of its words,
 an exact bound.
 
-Each block is compressed with zstandard alone and with each of its templates as a raw
-dictionary. Templates are ranked by the bytes that they save. From the top down the winner is
-confirmed by the exact differences in wording: the words of template and block are aligned,
+Each block is compressed with zstandard alone and with its template as a raw dictionary. The
+templates of one place are ranked by the bytes that they save on the block that holds all of
+their blocks, so that one wording is measured for all. From the top down the winner is confirmed by the exact differences in wording: the words of template and block are aligned,
 the share of the template's words found in order must be high, few other words may lie
 between them, and the words that tell licenses apart must all be there. A template that saves
 less than LEAST_SAVED of what it saves on its own text is no candidate. Of confirmed notices
@@ -279,7 +279,7 @@ class Scanner:
 
     def candidates(self, own: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each place at which a trigger stands the (bytes saved, template, first word, end)
-        of its blocks, from the best down."""
+        of its blocks, from the best down; saved are bytes of the block that holds them all."""
         present, seen, places = set(own), {}, {}
         for at, word in enumerate(own):
             for i, place in self.triggered.get(word, ()):
@@ -291,7 +291,14 @@ class Scanner:
                     seen[i, a, b] = self.saved(block, i) if self.possible(i, Counter(block)) else -1
                     if seen[i, a, b] >= LEAST_SAVED * self.own[i]:
                         places.setdefault(at, []).append((seen[i, a, b], i, a, b))
-        return [sorted(c, key=lambda x: (-x[0], x[1])) for c in places.values()]
+        ranked: dict[tuple, list[tuple[int, int, int, int]]] = {}
+        for found in places.values():
+            key = tuple(sorted(x[1:] for x in found))
+            if len(key) > 1 and key not in ranked:
+                whole = own[min(a for _, a, _ in key) : max(b for *_, b in key)]
+                found = [(self.saved(whole, i), i, a, b) for i, a, b in key]
+            ranked.setdefault(key, sorted(found, key=lambda x: (-x[0], x[1])))
+        return list(ranked.values())
 
     def scan(self, text: str) -> list[dict]:
         spans = [m.span() for m in _WORD.finditer(text.translate(_ASCII_LOWER))]
