@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # What a maker's name holds, the tracers, and the units of sizes.
 VENDORS = (("SIEMENS", ("SIEMENS",)), ("GE", ("GE", "GENERAL ELECTRIC")), ("PHILIPS", ("PHILIPS",)), ("CANON", ("CANON", "TOSHIBA")), ("HITACHI", ("HITACHI",)))
-TRACERS = ("FDG", "FLT", "CHOLINE", "PSMA", "DOTATATE", "NH3", "RB82", "AMYLOID", "TAU", "FMISO")
 UNITS = {"": 1, "b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "kib": 2**10, "mib": 2**20, "gib": 2**30, "tib": 2**40}
 
 
@@ -20,12 +19,6 @@ def vendor(maker: Column) -> Column:
     return F.coalesce(*(F.when(has(words), name) for name, words in VENDORS), F.lit("OTHER"))
 
 
-def pet_tracer(raw: Column) -> Column:
-    """The first known tracer that a name holds, else the trimmed upper-case name; null for none."""
-    upper = F.upper(F.trim(raw))
-    return F.when(F.coalesce(raw, F.lit("")) != "", F.coalesce(*(F.when(upper.contains(t), t) for t in TRACERS), upper))
-
-
 def echo_number(raw: Column) -> Column:
     """The whole number before the first comma; null if there is none."""
     return F.floor(F.trim(F.get(F.split(raw, ","), F.lit(0))).try_cast("double")).cast("int")

@@ -63,12 +63,12 @@ def plan(stacks: DataFrame, layout: str = "bids", group_symri: bool = True, exis
     folder are numbered by series time (nulls last) and stack index.
 
     layout `bids` is sub-<code>/ses-<date>/<folder>/<name>, `flat` puts all of it into one name.
-    existing(path) lists what is there already: those stacks are marked skip. Two windows, one
-    over series and one over subject, date, folder and name: both are small groups.
+    existing(path) lists what is there already: those stacks are marked skip. Series are counted
+    and joined, stacks without one are in none; the window is over subject, date, folder and name.
     """
-    several = F.when(F.col("series_id").isNull(), F.lit(False)).otherwise(F.count("*").over(Window.partitionBy("series_id")) > 1)
-    rows = stacks.withColumns({"several": several, "folder": destination(group_symri)})
-    rows = rows.withColumn("base_name", stack_name(F.col("several"))).drop("several")
+    shared = stacks.filter("series_id IS NOT NULL").groupBy("series_id").count().filter("count > 1").select("series_id", F.lit(True).alias("__several"))
+    rows = stacks.join(shared, "series_id", "left").withColumns({"several": F.coalesce("__several", F.lit(False)), "folder": destination(group_symri)})
+    rows = rows.drop("__several").withColumn("base_name", stack_name(F.col("several"))).drop("several")
     same = Window.partitionBy("subject_code", "study_date", "folder", "base_name")
     number = F.row_number().over(same.orderBy(F.coalesce(F.col("series_time"), F.lit("zzz")), "stack_index", "stack_id"))
     rows = rows.withColumn("name", F.when(F.count("*").over(same) > 1, F.concat_ws("_", "base_name", number)).otherwise(F.col("base_name")))

@@ -54,6 +54,12 @@ def classification_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(again.alias("x"), "k").groupBy("x.axis", "x.value").agg(F.sum("k").alias("n"))
 
 
+def review_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacks by each of their review reasons (A10)."""
+    counted = _classified(spark, sf_dir).groupBy("review_reasons").agg(F.count("*").alias("k")).filter("review_reasons <> ''")
+    return counted.select(F.explode(F.split("review_reasons", ",")).alias("reason"), "k").groupBy("reason").agg(F.sum("k").alias("n"))
+
+
 _RULE_FIELDS = "base technique provenance constructs intent localizer spinal_cord post_contrast aspect n_instances".split()
 
 
@@ -212,7 +218,7 @@ def export_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.chosen(_stacks(spark, sf_dir), intents=("anat", "misc"), include=("SyMRI",), exclude=("RawRecon",)).groupBy("intent", "provenance").agg(F.count("*").alias("n"))
 
 
-_ALL = (classify_stacks, classification_breakdown, qc_rule_violations, intent_synthesis, acceleration_regex, acquisition_type_inference, technique_compatibility, qc_categorise_priority, qc_axis_flags, qc_available_filters, qc_worklist, qc_worklist_flags, qc_confirm_drafts, export_plan, export_filters)
+_ALL = (classify_stacks, classification_breakdown, review_reason_counts, qc_rule_violations, intent_synthesis, acceleration_regex, acquisition_type_inference, technique_compatibility, qc_categorise_priority, qc_axis_flags, qc_available_filters, qc_worklist, qc_worklist_flags, qc_confirm_drafts, export_plan, export_filters)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # Protocol -> what the detectors are to make of it: provenance and confidence,
@@ -281,6 +287,7 @@ _STORED = f"""SELECT 'o' || o_orderkey AS stack_id, {_AT(("T1w", None, "", "T2w"
 ORACLE_SQL = {
     "classify_stacks": f"WITH {_EXPECTED} SELECT stack_id, aspect, n_instances, provenance, provenance_confidence, technique, technique_confidence, base, base_confidence, modifiers, constructs, accelerations, post_contrast, spinal_cord, excluded, intent, review_reasons FROM c",
     "classification_breakdown": f"WITH {_EXPECTED}, a AS (SELECT 'intent' AS axis, intent AS value FROM c UNION ALL SELECT 'base', base FROM c UNION ALL SELECT 'technique', technique FROM c UNION ALL SELECT 'provenance', provenance FROM c UNION ALL SELECT 'post_contrast', CAST(post_contrast AS VARCHAR) FROM c UNION ALL SELECT 'review', CASE WHEN review_reasons = '' THEN '0' ELSE '1' END FROM c) SELECT axis, value, count(*) AS n FROM a GROUP BY ALL",
+    "review_reason_counts": f"WITH {_EXPECTED} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(review_reasons, ',')) AS reason FROM c WHERE review_reasons <> '') GROUP BY reason",
     "qc_rule_violations": f"""WITH {_EXPECTED}, z AS ({_STORED}), y AS (
 SELECT stack_id, base, technique, provenance, constructs, intent, CASE WHEN provenance = 'Localizer' THEN 1 ELSE 0 END AS localizer, spinal_cord, post_contrast, aspect, n_instances FROM c UNION ALL SELECT * FROM z),
 x AS (SELECT *, coalesce(constructs, '') AS con, coalesce(provenance, '') AS prov, coalesce(intent, '') AS folder, coalesce(localizer, 0) = 1 AS scout, coalesce(base, '') AS b, coalesce(technique, '') AS t FROM y)

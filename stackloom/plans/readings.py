@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import misc as V
+from stackloom.operators import fingerprint as FP
 from stackloom.sources import adapter as A
 from stackloom.sources import files, headers
 
@@ -25,7 +26,7 @@ def header_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(
         F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
         V.vendor(_dealt(("Siemens Healthineers", "general electric", None, "TOSHIBA MEC", "Agfa", "philips"), k)).alias("vendor"),
-        V.pet_tracer(_dealt((None, " 18f-fdg ", "Ga68 PSMA-11", "water", ""), k)).alias("tracer"),
+        FP.canonical_tracer(_dealt((None, " 18f-fdg ", "Ga68 PSMA-11", "zzz", ""), k)).alias("tracer"),
         V.echo_number(_dealt(("1", "2.0,3", "x", None, " 4 ,1"), k)).alias("echo"),
         V.calcium_score(_dealt(("CT", "MR"), k), _dealt(("CaScore", "chest", None), k)).alias("calcium"),
         V.attenuation_corrected(_dealt(("PT", "CT", "PET"), k), _dealt(("CTAC", " ", None, "x"), k)).alias("attenuation"),
@@ -66,10 +67,10 @@ def candidate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subjects_by_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects in the order of a chosen identifier, those without one last by code (J15, O3): the first 200."""
+    """Subjects in the order of a chosen identifier, those without one last by code."""
     identifier = _table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("subject_id"), F.concat_ws("-", "c_mktsegment", "c_custkey").alias("identifier"))
     one = identifier.groupBy("subject_id").agg(F.min("identifier").alias("identifier"))
-    return A.subjects(spark, sf_dir).join(one, "subject_id", "left").orderBy(F.col("identifier").asc_nulls_last(), "subject_code").limit(200).select("subject_id", "subject_code", "identifier")
+    return A.subjects(spark, sf_dir).join(one, "subject_id", "left").orderBy(F.col("identifier").asc_nulls_last(), "subject_code").select("subject_id", "subject_code", "identifier")
 
 
 def session_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +151,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {
     "header_readings": r"""
 WITH x AS (SELECT concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, l_orderkey + l_linenumber AS k FROM lineitem)
-SELECT row_id, ['SIEMENS', 'GE', 'OTHER', 'CANON', 'OTHER', 'PHILIPS'][k % 6 + 1] AS vendor, [NULL, 'FDG', 'PSMA', 'WATER', NULL][k % 5 + 1] AS tracer, [1, 2, NULL, NULL, 4][k % 5 + 1] AS echo,
+SELECT row_id, ['SIEMENS', 'GE', 'OTHER', 'CANON', 'OTHER', 'PHILIPS'][k % 6 + 1] AS vendor, [NULL, 'FDG', 'PSMA', 'ZZZ', NULL][k % 5 + 1] AS tracer, [1, 2, NULL, NULL, 4][k % 5 + 1] AS echo,
     CASE WHEN k % 2 = 0 THEN CAST(k % 3 = 0 AS INTEGER) END AS calcium, CASE WHEN k % 3 <> 1 THEN CAST(k % 4 IN (0, 3) AS INTEGER) END AS attenuation,
     ['a', 'a', 'solo', ''][k % 4 + 1] AS segment, ['b/c', 'b', NULL, NULL][k % 4 + 1] AS rest FROM x""",
     "size_strings": """
@@ -172,7 +173,7 @@ WITH c AS (SELECT l_orderkey, concat_ws('-', l_returnflag, l_linestatus, l_partk
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p DESC, value) AS n FROM c)
 SELECT l_orderkey, max(value) FILTER (n = 1) AS best, CAST(count(*) - 1 AS INTEGER) AS n_others, round(avg(p), 6) AS mean, coalesce(max(p) FILTER (n = 1) - max(p) FILTER (n = 2) < 0.1::DOUBLE, false) AS close FROM r GROUP BY 1""",
     "subjects_by_identifier": f"""WITH {A.CTES} SELECT subject_id, subject_code, CASE WHEN subject_id % 3 = 0 THEN c_mktsegment || '-' || c_custkey END AS identifier
-FROM subject JOIN customer ON c_custkey = subject_id ORDER BY identifier NULLS LAST, subject_code LIMIT 200""",
+FROM subject JOIN customer ON c_custkey = subject_id ORDER BY identifier NULLS LAST, subject_code""",
     "session_items": f"""WITH {A.CTES}, x AS (SELECT DISTINCT series_id, CASE image_type WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 0 END AS priority FROM instance JOIN study USING (study_id)
 WHERE subject_id IN (SELECT subject_id FROM subject_cohort)) SELECT * FROM x ORDER BY priority DESC, series_id LIMIT 10000""",
     "instance_paths": f"""WITH {A.CTES}, m AS (SELECT subject_id, min(cohort_id) AS cohort_id FROM subject_cohort GROUP BY 1), o AS (SELECT sop_uid, study_id, min(series_id) AS series_id FROM instance GROUP BY 1, 2)

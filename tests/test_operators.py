@@ -326,7 +326,7 @@ def test_streams_of_one_name_go_on(spark, tmp_path, monkeypatch):
 
 def test_small_readings_of_nothing(spark):
     none = F.lit(None).cast("string")
-    row = spark.range(1).select(misc.vendor(none).alias("a"), misc.pet_tracer(none).alias("b"), misc.echo_number(none).alias("c"), misc.size_bytes(F.lit("1.5 GiB")).alias("d"), misc.size_bytes(none).alias("e"), misc.mean_confidence(F.array().cast("array<double>")).alias("f")).first()
+    row = spark.range(1).select(misc.vendor(none).alias("a"), fingerprint.canonical_tracer(none).alias("b"), misc.echo_number(none).alias("c"), misc.size_bytes(F.lit("1.5 GiB")).alias("d"), misc.size_bytes(none).alias("e"), misc.mean_confidence(F.array().cast("array<double>")).alias("f")).first()
     assert row[:] == ("OTHER", None, None, 1610612736, None, 0.8)
 
 
