@@ -1,8 +1,7 @@
 """The rule compiler: vocabularies in YAML become expressions.
 
-Rules compile to SQL expression text in the part of SQL that Spark shares with other engines
-(CASE, AND, OR, contains, array_contains), so the same text runs in Spark through expr() and
-in an oracle. Flags are materialised in stages, fields first and unified flags then, so each
+Rules compile to SQL expression text (CASE, AND, OR, contains, array_contains) that Spark runs
+through expr(). Flags are materialised in stages, fields first and unified flags then, so each
 expression stays small and is evaluated once.
 """
 
@@ -180,9 +179,10 @@ def alternatives(axis: str, order: tuple[str, ...], id_column: str) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} AND {id_column} <> {_quoted(i)} THEN {_quoted(i)} END" for i, c in conditions.items() if c != "false") + ")"
 
 
-def csv_of(conditions: dict[str, str]) -> str:
-    """The ids whose conditions hold, in order, joined by commas; null if there are none."""
-    return "nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN {_quoted(i)} END" for i, c in conditions.items()) + "), '')"
+def csv_of(axis: str, conditions: dict[str, str]) -> str:
+    """The names of the rules whose conditions hold, in order, joined by commas; null if there are none."""
+    names = {r["id"]: r.get("name", r["id"]) for r in vocabulary()[axis]["rules"]}
+    return "nullif(concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN {_quoted(names[i])} END" for i, c in conditions.items()) + "), '')"
 
 
 def modifiers() -> str:
@@ -192,7 +192,7 @@ def modifiers() -> str:
         better = [j for j, other in rules.items() if rule.get("group") and other.get("group") == rule["group"] and other["priority"] < rule["priority"]]
         if better:
             conditions[i] = f"({conditions[i]} AND NOT {_any([conditions_raw for conditions_raw in (matches('modifiers')[j] for j in better)])})"
-    return csv_of({i: conditions[i] for i in (r["id"] for r in ordered_rules("modifiers"))})
+    return csv_of("modifiers", {i: conditions[i] for i in (r["id"] for r in ordered_rules("modifiers"))})
 
 
 #: Confidence by tier.
@@ -328,6 +328,7 @@ MAPS = ("MyelinMap", "MultiQmap", "T1map", "T2map", "PDmap", "R1map", "R2map", "
 SYNTHETIC = {"SyntheticFLAIR": ("T2w", "FLAIR"), "SyntheticDIR": ("T2w", "DIR"), "SyntheticPSIR": ("T1w", "PSIR"), "SyntheticSTIR": ("T2w", "STIR"), "SyntheticT1w": ("T1w", None), "SyntheticT2w": ("T2w", None), "SyntheticPDw": ("PDw", None)}
 
 
+# What tells an output of the branch, in order, and how sure it is.
 def _swi() -> list[tuple[str, str, float]]:
     return [
         (f"f_has_qsm OR {_says('qsm')}", "QSM", 0.95),
@@ -341,6 +342,7 @@ def _swi() -> list[tuple[str, str, float]]:
     ]
 
 
+# What tells an output of the branch, in order, and how sure it is.
 def _symri() -> list[tuple[str, str, float]]:
     synthetic = lambda word, *without: f"({_says(word)} AND {_says('synthetic')}" + "".join(f" AND NOT {_says(w)}" for w in without) + ")"
     return [
@@ -365,9 +367,10 @@ def _symri() -> list[tuple[str, str, float]]:
     ]
 
 
+# What tells an output of the branch, in order, and how sure it is.
 def _epimix() -> list[tuple[str, str, float]]:
-    # A weighting is named by t1 or t2 as a word, or followed by w, flair or a hyphen.
-    weighting = lambda w: "(" + " OR ".join(f"contains(concat(' ', {_TEXT}, ' '), '{p}')" for p in (f" {w}w", f" {w}flair", f" {w} ", f" {w}-")) + ")"
+    # A weighting is named by t1 or t2 where a word begins, followed by w, flair, a space, a hyphen or the end.
+    weighting = lambda w: f"regexp_like({_TEXT}, '(^|[^\\\\p{{L}}\\\\p{{N}}_]){w}(w|flair|[ -]|$)')"
     t1, star = weighting("t1"), _says("t2star", "t2*", "gradient-echo", "gradient echo")
     t2 = f"({weighting('t2')} AND NOT {_says('t2star', 't2*')})"
     flair, neuromix = _says("flair"), _says("neuromix", "mix2", "mix3")
@@ -483,7 +486,7 @@ def stages() -> list[dict[str, str]]:
     return [
         field_flags() | CONTEXT,
         unified_flags() | BRANCH_FLAGS,
-        {"provenance": provenance["id"], "provenance_tier": provenance["tier"], "technique_id": technique["id"], "technique_tier": technique["tier"], "detected_modifiers": modifiers(), "detected_constructs": csv_of(matches("constructs")), "post_contrast": contrast(), "spinal_cord": spinal_cord(), "body_conflict": body_conflict()},
+        {"provenance": provenance["id"], "provenance_tier": provenance["tier"], "technique_id": technique["id"], "technique_tier": technique["tier"], "detected_modifiers": modifiers(), "detected_constructs": csv_of("constructs", matches("constructs")), "post_contrast": contrast(), "spinal_cord": spinal_cord(), "body_conflict": body_conflict()},
         {
             "branch": named("provenances", "provenance", "branch", "'rawrecon'"),
             "family": named("techniques", "technique_id", "family", "'UNKNOWN'"),

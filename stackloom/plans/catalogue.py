@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackloom.plans import archive, classification, cohort, completing, features, fingerprints, handling, importing, ingest, merging, readings, resuming, review, wording
+from stackloom.plans import archive, cases, classification, cohort, completing, features, fingerprints, handling, importing, ingest, merging, readings, resuming, review, wording
 
-_MODULES = (cohort, archive, ingest, features, fingerprints, classification, completing, handling, importing, merging, readings, resuming, review, wording)
+_MODULES = (cohort, archive, ingest, features, fingerprints, cases, classification, completing, handling, importing, merging, readings, resuming, review, wording)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

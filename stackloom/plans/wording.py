@@ -86,8 +86,8 @@ SELECT stack_id, text, coalesce(p.rule, 'RawRecon') AS provenance, CASE WHEN p.r
     coalesce(q.family, 'UNKNOWN') AS family, coalesce(p.branch, 'rawrecon') AS branch
 FROM s LEFT JOIN (FROM one WHERE axis = 'provenances') p USING (text) LEFT JOIN (FROM one WHERE axis = 'techniques') q USING (text)""",
     "keyword_rules": f"""{_SQL},
-m AS (SELECT a.text, array_to_string(list_sort(list(a.rule)), ',') AS csv FROM hit a WHERE axis = 'modifiers' AND NOT EXISTS (FROM hit b WHERE b.text = a.text AND b.axis = 'modifiers' AND b.grp = a.grp AND b.priority < a.priority) GROUP BY a.text),
-c AS (SELECT text, array_to_string(list_sort(list(rule)), ',') AS csv FROM hit WHERE axis = 'constructs' GROUP BY text)
+m AS (SELECT a.text, array_to_string(list_sort(list(a.name)), ',') AS csv FROM hit a WHERE axis = 'modifiers' AND NOT EXISTS (FROM hit b WHERE b.text = a.text AND b.axis = 'modifiers' AND b.grp = a.grp AND b.priority < a.priority) GROUP BY a.text),
+c AS (SELECT text, array_to_string(list_sort(list(name)), ',') AS csv FROM hit WHERE axis = 'constructs' GROUP BY text)
 SELECT stack_id, text, coalesce(p.rule, 'RawRecon') AS provenance, coalesce(q.name, 'Unknown') AS technique, c.csv AS constructs, m.csv AS modifiers
 FROM s LEFT JOIN (FROM one WHERE axis = 'provenances') p USING (text) LEFT JOIN (FROM one WHERE axis = 'techniques') q USING (text) LEFT JOIN c USING (text) LEFT JOIN m USING (text)
 WHERE coalesce(p.branch, 'rawrecon') = 'rawrecon'""",
