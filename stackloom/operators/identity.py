@@ -96,11 +96,39 @@ def discovered_ids(files: DataFrame, mode: str) -> DataFrame:
     return usable.filter("study_uid is not null").groupBy("study_uid").agg(F.min_by("patient_id", "path").alias("patient_id")).select("patient_id").distinct()
 
 
-def resolved_subjects(rows: DataFrame, mapping: DataFrame, seed: str, digest_size: int = 8) -> DataFrame:
+def mapping_problems(mapping: DataFrame) -> DataFrame:
+    """(problem, id) of what a subject mapping(old_id, new_id) must not hold: `conflict` an id with
+    several codes, `code_missing` an id without one, `id_missing` a code (given as id) without an
+    id. Blanks around ids and codes do not count; entries without both are none; each problem comes once."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    entries = mapping.select(blank("old_id").alias("old"), blank("new_id").alias("new")).filter("old <> '' OR new <> ''")
+    by_id = entries.filter("old <> ''").groupBy("old").agg(F.min(F.nullif("new", F.lit(""))).alias("low"), F.max("new").alias("high"), F.min("new").alias("least"))
+    told = F.array_compact(F.array(F.when(F.col("low") != F.col("high"), "conflict"), F.when(F.col("least") == "", "code_missing")))
+    found = by_id.select(F.explode(told).alias("problem"), F.col("old").alias("id"))
+    return found.union(entries.filter("old = ''").select(F.lit("id_missing"), "new").distinct())
+
+
+def _checked(mapping: DataFrame) -> DataFrame:
+    """The mapping's entries, each id once; a problem fails the job that reads it."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    say = lambda text, c: F.raise_error(F.concat(F.lit(f"subject mapping: {text} "), c)).cast("string")
+    entries = mapping.select(blank("old_id").alias("o"), blank("new_id").alias("n")).filter("o <> '' OR n <> ''")
+    # The id and the code are read by the join and the result, so neither check can be pruned.
+    ids = entries.select(F.when(F.col("o") == "", say("no id for", F.col("n"))).otherwise(F.col("o")).alias("old_id"), "n")
+    grouped = ids.groupBy("old_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    code = F.when(F.col("low") == "", say("no code for", F.col("old_id"))).when(F.col("low") != F.col("high"), say("several codes for", F.col("old_id"))).otherwise(F.col("high"))
+    return grouped.select("old_id", code.alias("new_id"))
+
+
+def resolved_subjects(rows: DataFrame, mapping: DataFrame, seed: str, digest_size: int = 8, strict: bool = True) -> DataFrame:
     """rows(patient_id, study_uid, ...) with subject_code and its source: the mapping's code
     (`csv`), else the keyed hash of the patient id, or of the study uid where that is missing
-    (`hash`); both null where neither is there."""
-    coded = mapped_ids(rows.withColumn("__none", F.lit(None).cast("string")), mapping, "patient_id", F.col("__none"), "__csv")
+    (`hash`); both null where neither is there.
+
+    An entry without an id or a code, or an id with several codes, fails the job (mapping_problems
+    lists them); if not strict such an entry is left out, and of several codes the last in code-point
+    order counts."""
+    coded = mapped_ids(rows.withColumn("__none", F.lit(None).cast("string")), _checked(mapping) if strict else mapping, "patient_id", F.col("__none"), "__csv")
     known = F.col("__csv").isNotNull() & (F.col("__csv") != F.coalesce("patient_id", F.lit("")))
     key = F.coalesce(F.nullif("patient_id", F.lit("")), "study_uid")
     coded = coded.withColumn("subject_code", F.when(known, F.col("__csv")).otherwise(keyed_hash(seed, digest_size)(key)))

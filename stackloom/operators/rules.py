@@ -527,11 +527,12 @@ _DETECTED = ["provenance", "provenance_confidence", "technique", "technique_conf
 
 
 def _profile(rows: DataFrame) -> Column:
-    """What the rules can tell apart: texts as they are, numbers by their place among the bounds."""
+    """128 bits of what the rules can tell apart: texts as they are, numbers by their place among the
+    bounds. Rows are grouped and joined by this digest, not by the texts."""
     places = [F.when(F.col(n).isNull(), -1).otherwise(sum(((F.col(n) >= b).cast("int") + (F.col(n) > b).cast("int") for b in bounds), F.lit(0))).alias(n) for n, bounds in BOUNDS.items()]
     flags = [F.expr(CONTEXT["cx__positive_b"]).alias("b"), (F.col("acquisition_type") == "3D").alias("d3"), F.col("contrast_agent").isNotNull().alias("agent")]
     keys = F.when(F.col("stack_key").isin("multi_echo", "multi_ti", "multi_flip_angle"), F.col("stack_key")).alias("key")
-    return F.struct(*PREFIX, "text", *places, *flags, keys)
+    return F.md5(F.to_json(F.struct(*PREFIX, "text", *places, *flags, keys)))
 
 
 def base_method() -> str:

@@ -80,6 +80,23 @@ def subject_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source", F.length("subject_code").alias("code_length")).agg(F.count("*").alias("n"), F.count_distinct("subject_code").alias("n_codes"))
 
 
+def subject_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every study, where a mapping has one, and whether the others got a hash."""
+    patient = F.when(F.col("o_custkey") % 10 == 0, " ").when(F.col("o_custkey") % 10 == 5, None).otherwise(F.concat(F.lit("P"), "o_custkey"))
+    rows = _orders(spark, sf_dir).select(F.nullif(F.trim(patient), F.lit("")).alias("patient_id"), F.concat(F.lit("1.2."), "o_orderkey").alias("study_uid"))
+    entry = _customers(spark, sf_dir).filter("c_custkey % 4 = 1").select(F.concat(F.lit(" P"), "c_custkey").alias("old_id"), F.concat("c_mktsegment", F.lit("-"), "c_custkey", F.lit(" ")).alias("new_id"))
+    found = I.resolved_subjects(rows, entry.union(entry.filter("old_id < ' P2'")), "seed")
+    return found.select("study_uid", "source", F.when(F.col("source") == "csv", F.col("subject_code")).alias("mapped_code"), F.col("subject_code").rlike("^[0-9a-f]{16}$").alias("hashed"))
+
+
+def subject_mapping_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mapping file must be rejected for."""
+    k = F.col("o_custkey")
+    code = F.when(k % 7 == 0, F.concat(F.lit("C"), F.col("o_orderkey") % 2)).when((k % 11 == 0) & (F.col("o_orderkey") % 3 == 0), " ").otherwise(F.concat(F.lit(" C"), k))
+    mapping = _orders(spark, sf_dir).select(F.when(k % 13 == 0, F.lit("  ")).otherwise(F.concat(F.lit("P"), k, F.lit(" "))).alias("old_id"), F.when(k % 17 != 0, code).alias("new_id"))
+    return I.mapping_problems(mapping)
+
+
 _TAGS = ("0010,0010", "0010,0020", "0008,0018", "0008,1140", "0008,0080", "0018,0050")
 _NAMES = ("PatientName", "PatientID", "SOPInstanceUID", "ReferencedImageSequence", "InstitutionName", "SliceThickness")
 
@@ -113,7 +130,7 @@ def deidentification_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.audit_events(tags, ids, ("Patient_Information", "Institution_Information", "Healthcare_Provider_Information"), kept=("0008,0090",))
 
 
-_ALL = (import_coercion, import_dry_run, import_cohorts, anonymise_sequential_ids, anonymise_hash_ids, anonymise_path_ids, subject_resolution, scrub_tags, deidentification_events, discovered_patients)
+_ALL = (import_coercion, import_dry_run, import_cohorts, anonymise_sequential_ids, anonymise_hash_ids, anonymise_path_ids, subject_resolution, subject_codes, subject_mapping_problems, scrub_tags, deidentification_events, discovered_patients)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _IN = """i AS (SELECT o_orderkey AS row_number, CASE WHEN o_orderkey % 37 <> 0 THEN 'Customer' || o_custkey END AS subject_code, CASE WHEN o_orderkey % 5 > 1 THEN CAST(o_orderdate AS DATE) END AS birth_date,
@@ -129,6 +146,14 @@ SELECT subject_code, CASE WHEN was IS NULL THEN 'inserted' WHEN birth_date IS NO
     "import_cohorts": "SELECT lower(c_mktsegment) AS key, CASE WHEN min(c_custkey) % 2 = 0 THEN upper(lower(c_mktsegment)[1]) || lower(c_mktsegment)[2:] ELSE upper(lower(c_mktsegment)) END AS name FROM customer GROUP BY c_mktsegment",
     "anonymise_sequential_ids": "SELECT 'P' || o_custkey AS patient_id, 'STUDY' || CASE WHEN n > 9999 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 4, '0') END AS new_id FROM (SELECT o_custkey, row_number() OVER (ORDER BY min(o_orderkey), 'P' || o_custkey) AS n FROM orders GROUP BY o_custkey)",
     "anonymise_path_ids": "SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'IDsub-' || c_mktsegment ELSE 'ID' || CASE WHEN c_custkey % 10007 > 9999 THEN CAST(c_custkey % 10007 AS VARCHAR) ELSE lpad(CAST(c_custkey % 10007 AS VARCHAR), 4, '0') END END AS new_id FROM customer",
+    "subject_codes": """
+WITH x AS (SELECT '1.2.' || o_orderkey AS study_uid, o_custkey % 10 NOT IN (0, 5) AND o_custkey % 4 = 1 AS known, o_custkey FROM orders)
+SELECT study_uid, CASE WHEN known THEN 'csv' ELSE 'hash' END AS source, CASE WHEN known THEN c_mktsegment || '-' || c_custkey END AS mapped_code, NOT known AS hashed FROM x JOIN customer ON c_custkey = o_custkey""",
+    "subject_mapping_problems": """
+WITH x AS (SELECT CASE WHEN o_custkey % 13 <> 0 THEN 'P' || o_custkey ELSE '' END AS id, CASE WHEN o_custkey % 17 = 0 THEN '' WHEN o_custkey % 7 = 0 THEN 'C' || (o_orderkey % 2)
+    WHEN o_custkey % 11 = 0 AND o_orderkey % 3 = 0 THEN '' ELSE 'C' || o_custkey END AS code FROM orders)
+SELECT 'conflict' AS problem, id FROM x WHERE id <> '' AND code <> '' GROUP BY id HAVING count(DISTINCT code) > 1
+UNION ALL SELECT DISTINCT 'code_missing', id FROM x WHERE id <> '' AND code = '' UNION ALL SELECT DISTINCT 'id_missing', code FROM x WHERE id = '' AND code <> ''""",
     "subject_resolution": """SELECT CASE WHEN o_custkey % 10 <> 0 AND o_custkey % 4 = 1 THEN 'csv' ELSE 'hash' END AS source, CAST(CASE WHEN o_custkey % 10 <> 0 AND o_custkey % 4 = 1 THEN length('C' || o_custkey) ELSE 16 END AS INTEGER) AS code_length,
     count(*) AS n, count(DISTINCT CASE WHEN o_custkey % 10 = 0 THEN -o_orderkey ELSE o_custkey END) AS n_codes FROM orders GROUP BY ALL""",
     "scrub_tags": """SELECT 'f' || user_id AS path, ['0010,0010', '0010,0020', '0008,0018', '0008,1140', '0008,0080'][event_id % 6 + 1] AS tag, CASE WHEN event_id % 6 IN (0, 4) THEN 'removed' ELSE 'retained' END AS action,

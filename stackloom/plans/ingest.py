@@ -34,6 +34,15 @@ def assign_dimension_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_distinct"), F.max("id").alias("top"))
 
 
+def dimension_ids_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series with the id that it keeps, or that it got one beyond all known ids (K3)."""
+    series = A.instances(spark, sf_dir).select("series_id").distinct()
+    known = series.filter("series_id % 3 = 0").select("series_id", (F.col("series_id") * 2 + 1).alias("id")).filter("id <= 2000")
+    ids = U.assign_ids(known, series, "series_id", "id").select("series_id", "id")
+    had = known.select("series_id", F.col("id").alias("kept_id"))
+    return ids.join(had, "series_id", "left").join(F.broadcast(known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))).select("series_id", "kept_id", (F.col("id") == F.col("kept_id")).alias("unchanged"), F.when(F.col("kept_id").isNull(), F.col("id") > F.col("top")).alias("beyond"))  # one row
+
+
 def orphan_parent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents without children and children without parents."""
     studies, files = A.studies(spark, sf_dir), A.instances(spark, sf_dir)
@@ -189,7 +198,7 @@ def archive_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("source", "chunk_id", F.array_join("members", ",").alias("members"), "n_members", "total_bytes")
 
 
-QUERIES = {f.__name__: f for f in (dedupe_instances, ingest_conflicts, assign_dimension_ids, orphan_parent_audit, stack_discovery, stack_of_instance, stack_key, stack_instance_counts, stack_metrics, first_instance_per_stack, resume_filter, sister_series, middle_instance, import_subjects_upsert, import_memberships_replace, import_identifiers_replace, table_explorer_page, archive_bin_packing, archive_bin_packing_ffd, archive_chunk_plan)}
+QUERIES = {f.__name__: f for f in (dedupe_instances, ingest_conflicts, assign_dimension_ids, dimension_ids_kept, orphan_parent_audit, stack_discovery, stack_of_instance, stack_key, stack_instance_counts, stack_metrics, first_instance_per_stack, resume_filter, sister_series, middle_instance, import_subjects_upsert, import_memberships_replace, import_identifiers_replace, table_explorer_page, archive_bin_packing, archive_bin_packing_ffd, archive_chunk_plan)}
 
 _FIELDS = ", ".join(K.SIGNATURE)
 _NULLS = ", ".join(f"{c} NULLS FIRST" for c in K.SIGNATURE)
@@ -221,6 +230,9 @@ p AS (SELECT source, name, size, r, [size] AS used, 1::BIGINT AS chunk FROM n WH
 ORACLE_SQL = {
     "dedupe_instances": f"WITH {A.CTES} SELECT sop_uid, study_id, series_id, part_id, te FROM instance QUALIFY row_number() OVER (PARTITION BY sop_uid ORDER BY part_id, supplier_id, te, tr) = 1",
     "ingest_conflicts": f"WITH {A.CTES} SELECT sop_uid, CASE WHEN count(DISTINCT series_id) > 1 THEN 'series' ELSE 'instance' END AS scope, count(*) AS n_rows, count(DISTINCT series_id) AS n_series FROM instance GROUP BY sop_uid HAVING count(*) > 1",
+    "dimension_ids_kept": f"""
+WITH {A.CTES}, s AS (SELECT DISTINCT series_id FROM instance), k AS (SELECT series_id, CASE WHEN series_id % 3 = 0 AND series_id * 2 + 1 <= 2000 THEN series_id * 2 + 1 END AS kept_id FROM s)
+SELECT series_id, kept_id, CASE WHEN kept_id IS NOT NULL THEN true END AS unchanged, CASE WHEN kept_id IS NULL THEN true END AS beyond FROM k""",
     "assign_dimension_ids": f"""
 WITH {A.CTES}, s AS (SELECT DISTINCT series_id FROM instance), k AS (SELECT series_id FROM s WHERE series_id % 2 = 0 AND series_id <= 1000)
 SELECT count(*) AS n, count(*) AS n_distinct, (SELECT coalesce(max(series_id), 0) FROM k) + count(*) - (SELECT count(*) FROM k) AS top FROM s""",

@@ -183,10 +183,23 @@ def test_ids_and_time_points(spark):
     assert {r.p: r.new_id for r in identity.sequential_ids(rows, "p", "at", "SXX").collect()} == {"a": "S01", "b": "S02"}
     mapping = spark.createDataFrame([(" P1 ", " C1 "), ("P2", ""), (None, "x")], "old_id string, new_id string")
     people = spark.createDataFrame([("P1", "u"), ("P2", "u"), (None, "u"), (None, None)], "patient_id string, study_uid string")
-    out = identity.resolved_subjects(people, mapping, "seed").collect()
+    out = identity.resolved_subjects(people, mapping, "seed", strict=False).collect()
     assert [r.source for r in out] == ["csv", "hash", "hash", None] and out[0].subject_code == "C1" and out[3].subject_code is None
 
 
+def test_subject_mappings_with_problems_are_rejected(spark):
+    people = spark.createDataFrame([("P1", "u"), ("P9", "u"), (None, None)], "patient_id string, study_uid string")
+    table = lambda *entries: spark.createDataFrame(entries, "old_id string, new_id string")
+    fine = table((" P1", "C1 "), ("P1", "C1"), (None, " "), ("P3", "C3"))
+    assert identity.mapping_problems(fine).count() == 0
+    assert {(r.patient_id, r.source) for r in identity.resolved_subjects(people, fine, "seed").collect()} == {("P1", "csv"), ("P9", "hash"), (None, None)}
+    for entries, problem, wording in ((((" P1", "C1"), ("P1", "C2")), ("conflict", "P1"), "several codes for P1"), ((("P1", " "),), ("code_missing", "P1"), "no code for P1"), (((None, "C7"),), ("id_missing", "C7"), "no id for C7")):
+        assert [tuple(r) for r in identity.mapping_problems(table(*entries)).collect()] == [problem]
+        with pytest.raises(Exception, match=wording):
+            identity.resolved_subjects(people, table(*entries), "seed").collect()
+    assert identity.mapping_problems(table(("P1", "C1")).limit(0)).count() == 0
+
+
 def test_csv_imports(spark, tmp_path):
     path = tmp_path / "subjects.csv"
     path.write_text('﻿code , born,active\nS1,31/12/1999,yes\n"S2\nx",1999-02-30,maybe\n,2000-01-01,1\nS1,,0\n', encoding="utf-8")
