@@ -19,3 +19,16 @@ def explore(rows: DataFrame, search: str = "", order: list[tuple[str, bool]] = (
     page = (found.orderBy(*keys) if keys else found).offset(start).limit(max(1, min(500, length)))
     counts = rows.agg(F.count("*").alias("total_rows")).join(F.broadcast(found.agg(F.count("*").alias("filtered_rows"))))
     return page.join(F.broadcast(counts))
+
+
+def found_subjects(subjects: DataFrame, identifiers: DataFrame, search: str = "") -> DataFrame:
+    """subjects(subject_id, subject_code, ...) whose code, id or any of whose other
+    identifiers(subject_id, value) holds `search`, in any case; % and _ in it stand for any text and
+    any one character. Each subject comes once; an empty search finds all."""
+    if not search:
+        return subjects
+    like = f"%{search}%"
+    named = identifiers.filter(F.ilike("value", F.lit(like))).select("subject_id").distinct().withColumn("__named", F.lit(True))
+    rows = subjects.join(named, "subject_id", "left")
+    own = F.ilike(F.coalesce("subject_code", F.lit("")), F.lit(like)) | F.ilike(F.col("subject_id").cast("string"), F.lit(like))
+    return rows.filter(F.coalesce(own, F.lit(False)) | F.col("__named").isNotNull()).select(*subjects.columns)

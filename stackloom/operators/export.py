@@ -84,3 +84,21 @@ def plan(stacks: DataFrame, layout: str = "bids", group_symri: bool = True, exis
 def resolved_source(path: Column, root: str) -> Column:
     """Where a source lies: absolute paths as they are, others below the root."""
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
+def resolved_sources(stacks: DataFrame, listing: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """stacks with `source`, where their files lie, and `found`, whether listing(path) has it.
+
+    Absolute paths stay. Others lie below the root; if nothing is there but below a first folder
+    that begins with sub-, that one is taken. What is nowhere keeps the plain place; a null path
+    has no source, and an empty one is the root itself. Listed paths may repeat."""
+    there = listing.select(F.col("path").alias("__at")).dropna().distinct()
+    plain = resolved_source(F.col(path), root)
+    labelled = F.when(~F.startswith(path, F.lit("/")) & (F.col(path) != ""), F.concat(F.lit(root.rstrip("/") + "/sub-"), path))
+    rows = stacks.withColumns({"__plain": F.when(F.col(path) == "", root.rstrip("/")).otherwise(plain), "__labelled": labelled})
+    for place, flag in (("__plain", "__is_plain"), ("__labelled", "__is_labelled")):
+        rows = rows.join(there.select(F.col("__at").alias(place), F.lit(True).alias(flag)), place, "left")
+    second = F.col("__is_plain").isNull() & F.col("__is_labelled").isNotNull()
+    found = F.col("__is_plain").isNotNull() | F.col("__is_labelled").isNotNull()
+    rows = rows.withColumns({"source": F.when(second, F.col("__labelled")).otherwise(F.col("__plain")), "found": found})
+    return rows.select(*stacks.columns, "source", "found")

@@ -213,12 +213,23 @@ def export_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("stack_id", "folder", "path", "skip")
 
 
+def resolved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the files of stacks lie: absolute, below the root, or in a folder that begins with sub-."""
+    c = F.col("o_custkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    folder = F.concat(F.lit("P"), c, F.lit("/"), F.col("o_orderkey"))
+    stacks = orders.select(F.col("o_orderkey").alias("stack_id"), F.when(c % 7 == 0, F.concat(F.lit("/abs/"), folder)).when(c % 11 != 0, folder).alias("path"))
+    listing = orders.filter(c % 3 != 2).select(F.concat(F.when(c % 3 == 0, "/raw/").otherwise("/raw/sub-"), folder).alias("path"))
+    both = orders.filter(c % 6 == 0).select(F.concat(F.lit("/raw/sub-"), folder).alias("path"))
+    return E.resolved_sources(stacks, listing.union(both).union(both), "/raw/")
+
+
 def export_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stacks that an export's filters leave."""
     return E.chosen(_stacks(spark, sf_dir), intents=("anat", "misc"), include=("SyMRI",), exclude=("RawRecon",)).groupBy("intent", "provenance").agg(F.count("*").alias("n"))
 
 
-_ALL = (classify_stacks, classification_breakdown, review_reason_counts, qc_rule_violations, intent_synthesis, acceleration_regex, acquisition_type_inference, technique_compatibility, qc_categorise_priority, qc_axis_flags, qc_available_filters, qc_worklist, qc_worklist_flags, qc_confirm_drafts, export_plan, export_filters)
+_ALL = (classify_stacks, classification_breakdown, review_reason_counts, qc_rule_violations, intent_synthesis, acceleration_regex, acquisition_type_inference, technique_compatibility, qc_categorise_priority, qc_axis_flags, qc_available_filters, qc_worklist, qc_worklist_flags, qc_confirm_drafts, export_plan, resolved_sources, export_filters)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # Protocol -> what the detectors are to make of it: provenance and confidence,
@@ -361,5 +372,10 @@ u AS (SELECT *, CASE WHEN count(*) OVER w > 1 THEN base_name || '_' || row_numbe
     FROM n WINDOW w AS (PARTITION BY subject_code, study_date, folder, base_name)),
 p AS (SELECT stack_id, folder, 'sub-' || subject_code || '/ses-' || strftime(study_date, '%Y%m%d') || '/' || folder || '/' || name AS path FROM u)
 SELECT *, path IN (SELECT 'sub-S' || (l_orderkey % 500) || '/ses-19980101/dwi/T1w_3D_TSE' FROM lineitem) AS skip FROM p""",
+    "resolved_sources": """
+WITH x AS (SELECT o_orderkey AS stack_id, o_custkey AS c, 'P' || o_custkey || '/' || o_orderkey AS folder FROM orders)
+SELECT stack_id, CASE WHEN c % 7 = 0 THEN '/abs/' || folder WHEN c % 11 <> 0 THEN folder END AS path,
+    CASE WHEN c % 7 = 0 THEN '/abs/' || folder WHEN c % 11 = 0 THEN NULL WHEN c % 3 = 1 THEN '/raw/sub-' || folder ELSE '/raw/' || folder END AS source,
+    c % 7 <> 0 AND c % 11 <> 0 AND c % 3 <> 2 AS found FROM x""",
     "export_filters": f"WITH {_STACKS} SELECT intent, provenance, count(*) AS n FROM t WHERE coalesce(intent, 'misc') IN ('anat', 'misc') AND coalesce(provenance, '') NOT IN ('SWIRecon', 'EPIMix', 'ProjectionDerived', 'RawRecon') GROUP BY ALL",
 }

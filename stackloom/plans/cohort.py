@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackloom.operators.explore import found_subjects
 from stackloom.operators.identity import timepoint
 from stackloom.sources import adapter as A
 
@@ -83,6 +84,17 @@ def subjects_with_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.subjects(spark, sf_dir).join(listed, "subject_id", "left").select("subject_id", "subject_code", F.coalesce("ids", F.lit("[]")).alias("other_ids"))
 
 
+_SEARCHES = ("building-1", "R#%7_3", "42")
+
+
+def subject_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of a cohort by a part of their code, id or any other identifier."""
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("subject_id"), F.concat_ws("-", "c_mktsegment", "c_custkey").alias("value"))
+    members = A.subject_cohorts(spark, sf_dir).filter("cohort_id = 2").select("subject_id")
+    scope = A.subjects(spark, sf_dir).join(members, "subject_id", "left_semi").select("subject_id", "subject_code")
+    return reduce(DataFrame.union, (found_subjects(scope, ids, text).select(F.lit(text).alias("search"), "subject_id", "subject_code") for text in _SEARCHES))
+
+
 def sessions_per_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates of each subject with their modalities (A15); an unknown date stays null."""
     grouped = A.studies(spark, sf_dir).groupBy("subject_id", "study_date").agg(F.array_join(F.array_sort(F.collect_set("modality")), ",").alias("modalities"), F.count("*").alias("n_studies"))
@@ -102,7 +114,7 @@ def table_counts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-QUERIES = {f.__name__: f for f in (cohort_metrics, all_cohort_stats, active_subjects_in_cohort, studies_with_series, series_for_studies, modality_filter_counts, unclassified_series, study_date_imputation, subjects_with_identifiers, sessions_per_subject, timepoint_labels, table_counts_union)}
+QUERIES = {f.__name__: f for f in (cohort_metrics, all_cohort_stats, active_subjects_in_cohort, studies_with_series, series_for_studies, modality_filter_counts, unclassified_series, study_date_imputation, subjects_with_identifiers, subject_search, sessions_per_subject, timepoint_labels, table_counts_union)}
 
 ORACLE_SQL = {
     "cohort_metrics": f"""
@@ -131,6 +143,10 @@ SELECT study_id, coalesce(study_date, earliest) AS study_date, study_date IS NUL
 WITH {A.CTES}
 SELECT subject_id, subject_code, CASE WHEN subject_id % 3 = 0 THEN '["' || c_mktsegment || '-' || c_custkey || '"]' ELSE '[]' END AS other_ids
 FROM subject JOIN customer ON c_custkey = subject_id""",
+    "subject_search": f"""
+WITH {A.CTES}, q AS (SELECT unnest({list(_SEARCHES)}) AS search), x AS (SELECT subject_id, subject_code, CASE WHEN subject_id % 3 = 0 THEN c_mktsegment || '-' || c_custkey ELSE '' END AS other FROM subject JOIN customer ON c_custkey = subject_id
+    WHERE subject_id IN (SELECT subject_id FROM subject_cohort WHERE cohort_id = 2))
+SELECT search, subject_id, subject_code FROM x, q WHERE subject_code ILIKE '%' || search || '%' OR CAST(subject_id AS VARCHAR) ILIKE '%' || search || '%' OR other ILIKE '%' || search || '%'""",
     "sessions_per_subject": f"WITH {A.CTES} SELECT subject_id, study_date, string_agg(DISTINCT modality, ',' ORDER BY modality) AS modalities, count(*) AS n_studies FROM study GROUP BY 1, 2",
     "timepoint_labels": f"""
 WITH {A.CTES}, f AS (SELECT *, min(study_date) OVER (PARTITION BY subject_id) AS d0 FROM study WHERE study_date IS NOT NULL),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions import misc
-from stackloom.operators import completion, export, fingerprint, flow, gapfill, identity, imports, packing, qc, resume, review, rules, stacks, upsert
+from stackloom.operators import completion, explore, export, fingerprint, flow, gapfill, identity, imports, packing, qc, resume, review, rules, stacks, upsert
 from stackloom.plans.protocols import FIELDS, PROTOCOLS
 from stackloom.sources import elements, files, headers, manifest
 from stackloom.streaming import ingest, merge
@@ -582,3 +582,15 @@ def test_deidentification_events(spark):
     assert out == [("a", "0008,0020", "replaced", "20200101", "M00"), ("a", "0010,0020", "replaced", "P1", "S1"), ("b", "0008,0020", "replaced", "20200702", "M06"), ("b", "0008,1010", "removed", "", ""), ("b", "0010,0020", "replaced", "P1", "S1"), ("c", "0008,0020", "retained", "2020", ""), ("c", "0008,0080", "removed", "x", "")]
     off = identity.audit_events(df, ids.limit(0), (), timepoints=False).collect()
     assert {(r.tag, r.action) for r in off} == {("0008,0020", "retained")} and identity.audit_events(df.limit(0), ids).collect() == []
+
+
+def test_sources_and_searched_subjects(spark):
+    stacks = spark.createDataFrame([(1, "a/x"), (2, "b/x"), (3, "c/x"), (4, "/z/x"), (5, None), (6, ""), (7, "b/x"), (8, "solo")], "id int, path string")
+    listing = spark.createDataFrame([("/r/a/x",), ("/r/sub-a/x",), ("/r/sub-b/x",), ("/r/sub-b/x",), ("/r/sub-solo",), (None,)], "path string")
+    got = {r.id: (r.source, r.found) for r in export.resolved_sources(stacks, listing, "/r").collect()}
+    assert got == {1: ("/r/a/x", True), 2: ("/r/sub-b/x", True), 3: ("/r/c/x", False), 4: ("/z/x", False), 5: (None, False), 6: ("/r", False), 7: ("/r/sub-b/x", True), 8: ("/r/sub-solo", True)}
+    assert export.resolved_sources(stacks.limit(0), listing.limit(0), "/r").count() == 0
+    subjects = spark.createDataFrame([(1, "Abc"), (12, "xyz"), (3, None)], "subject_id int, subject_code string")
+    others = spark.createDataFrame([(3, "ABC-9"), (3, "abc"), (12, None), (None, "abc")], "subject_id int, value string")
+    found = lambda text: sorted(r.subject_id for r in explore.found_subjects(subjects, others, text).collect())
+    assert found("abc") == [1, 3] and found("1") == [1, 12] and found("a_c-%9") == [3] and found("") == [1, 3, 12] and found("q") == []
