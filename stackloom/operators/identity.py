@@ -135,19 +135,27 @@ def resolved_subjects(rows: DataFrame, mapping: DataFrame, seed: str, digest_siz
     return coded.withColumn("source", F.when(known, "csv").when(key.isNotNull(), "hash")).drop("__csv", "__none")
 
 
-def timepoint(first: Column, date: Column) -> Column:
-    """M00, M06, ...: whole months and days / 30.44 between two dates, rounded half-even, and
-    snapped to the nearest multiple of six if that is one month away at most."""
+def months_apart(first: Column, date: Column) -> Column:
+    """Whole months and days / 30.44 between two dates, rounded half-even."""
     early, late = F.least(first, date), F.greatest(first, date)
     apart = (F.year(late) - F.year(early)) * 12 + F.month(late) - F.month(early)
     whole = F.when(F.add_months(early, apart) > late, apart - 1).otherwise(apart)
     days = F.datediff(late, F.add_months(early, whole))
-    months = F.bround(whole + days / 30.44, 0).cast("int")
+    return F.bround(whole + days / 30.44, 0).cast("int")
+
+
+def month_label(months: Column) -> Column:
+    """M00, M06, ...: months snapped to the nearest multiple of six if that is one month away at most."""
     six = F.greatest(F.lit(6), (6 * F.bround(months / 6, 0)).cast("int"))
     snapped = F.when(F.abs(months - six) <= 1, six).otherwise(months)
     return F.when(months == 0, "M00").otherwise(F.concat(F.lit("M"), F.lpad(snapped.cast("string"), F.greatest(F.lit(2), F.length(snapped.cast("string"))), F.lit("0"))))
 
 
+def timepoint(first: Column, date: Column) -> Column:
+    """The label of the months between two dates."""
+    return month_label(months_apart(first, date))
+
+
 def scrub_plan(tags: DataFrame, scrubbed: DataFrame, kept: tuple[str, ...]) -> DataFrame:
     """Events (path, tag, name, action, old_value) for tags(path, tag, name, value): a tag on the
     scrub list is `removed`, except kept ones and those whose name says uid, or reference and
@@ -198,13 +206,15 @@ def audit_events(tags: DataFrame, ids: DataFrame, categories: tuple[str, ...] =
     first = own.filter("__patient IS NOT NULL").groupBy("__patient").agg(F.min("__day").alias("__first"))
     table = ids.groupBy(F.trim("old_id").alias("__patient")).agg(F.max(F.trim("new_id")).alias("__new"))
     files = own.join(first, "__patient", "left").join(table, "__patient", "left")
+    # Months and labels are columns of the files: put into the actions, which repeat them, they make an expression that no compiler takes.
+    label = F.when(F.col("__day").isNotNull(), month_label(F.col("__months"))) if timepoints else F.lit(None).cast("string")
+    files = files.withColumn("__months", months_apart(F.col("__first"), F.col("__day"))).withColumn("__label", label)
     name = F.lower(F.coalesce("name", F.lit("")))
     spared = F.col("tag").isin(PATIENT_ID, STUDY_DATE, STUDY_UID, *kept) | name.contains("uid") | name.contains("referenc")
     listed = F.col("tag").isin(*scrub_list(categories)) & ~spared
-    label = F.when(F.col("__day").isNotNull(), timepoint(F.col("__first"), F.col("__day"))) if timepoints else F.lit(None).cast("string")
     mapped = F.when((F.col("tag") == PATIENT_ID) & (F.col("__new") != F.col("value")), F.nullif("__new", F.lit("")))
     dated = (F.col("tag") == STUDY_DATE) & F.col("value").isNotNull()
-    new = F.when(mapped.isNotNull(), mapped).when(dated & F.col("__patient").isNotNull(), label)
+    new = F.when(mapped.isNotNull(), mapped).when(dated & F.col("__patient").isNotNull(), F.col("__label"))
     action = F.when(mapped.isNotNull(), "replaced").when(dated, F.when(new.isNotNull(), "replaced").otherwise("retained")).when(listed, "removed")
     joined = rows.join(files, "path").withColumns({"action": action, "new_value": F.when(action == "removed", "").otherwise(F.coalesce(new, F.lit("")))})
     return joined.filter("action IS NOT NULL").select("path", "study_uid", "tag", "name", "action", F.coalesce("value", F.lit("")).alias("old_value"), "new_value")
