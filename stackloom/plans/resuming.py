@@ -88,7 +88,7 @@ def date_recovery_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("reviewed", "confirmed", "skipped", "pending", "reviewed", "archived"))), ((F.col("l_partkey") + F.col("l_linenumber")) % 6 + 1).cast("int"))
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.to_date("l_shipdate").alias("at"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).cast("long").alias("seq"), status.alias("status"))
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.to_date("l_shipdate").alias("at"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"), status.alias("status"))
 
 
 def item_status_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

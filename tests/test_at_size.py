@@ -1,10 +1,11 @@
 """What broke on larger tables, on small ones."""
 
+import datetime as dt
 import os
 
 import pytest
 
-from stackloom.plans import handling
+from stackloom.plans import handling, resuming
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -16,3 +17,11 @@ def test_deidentification_events_compile(spark):
         handling.deidentification_events(spark, SF_DIR).write.format("noop").mode("overwrite").save()  # a count would drop the columns
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_item_events_go_by_line_whatever_the_part(spark, tmp_path):
+    day = dt.date(2020, 1, 1)
+    # Line 1 confirms, line 2 reviews, which may not follow; the other way round both would be applied.
+    lines = [(1, 1, 120_000, 5, day), (1, 2, 4, 5, day)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [(r.status, r.illegal) for r in resuming.item_status_flow(spark, str(tmp_path)).collect()] == [("confirmed", "confirmed>reviewed")]
