@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from stackloom.operators import gapfill
+from stackloom.operators import fingerprint, gapfill
 from stackloom.plans import handling, resuming
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -37,3 +37,15 @@ def test_votes_look_around_once_a_bin(spark, monkeypatch):
     votes = {r.id: (r.technique, r.n, r.outcome) for r in gapfill.vote(probes, known, "id").collect()}
     assert looked == [1]
     assert votes == {i: ("EPI", 2, "filled") if i % 3 == 1 else ("TSE", 3, "filled") for i in range(60)}
+
+
+def test_texts_of_series_are_joined_last(spark):
+    row = lambda **c: spark.range(1).selectExpr(*(f"{e} AS {n}" for n, e in c.items()))
+    first = {c: "'1'" for c in fingerprint.FIRST_INSTANCE}
+    stacks, series, studies = row(series_stack_id="CAST(id AS STRING)", series_id="id", study_id="id"), row(series_id="id", text="'t'"), row(study_id="id", maker="'m'")
+    details = [row(series_id="id", **{n: f"'{n}'"}) for n in ("mri", "ct")] + [row(series_id="id + 9", pet="'p'")]
+    wide = fingerprint.source(stacks, series, studies, *details, row(series_stack_id="CAST(id AS STRING)", instance_id="'i'", **first))
+    got = wide.first()
+    assert (got.text, got.maker, got.mri, got.ct, got.pet, got.image_comments) == ("t", "m", "mri", "ct", None, "1")
+    joins = [line for line in wide._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert ["series_id#" in line for line in joins] == [True] * 4 + [False] * 2  # from the last join to the first
