@@ -4,9 +4,11 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from stackloom.operators import fingerprint, gapfill
 from stackloom.plans import handling, resuming
+from stackloom.sources import files
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -49,3 +51,19 @@ def test_texts_of_series_are_joined_last(spark):
     assert (got.text, got.maker, got.mri, got.ct, got.pet, got.image_comments) == ("t", "m", "mri", "ct", None, "1")
     joins = [line for line in wide._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert ["series_id#" in line for line in joins] == [True] * 4 + [False] * 2  # from the last join to the first
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path):
+    for path in ("1.dcm", "s1/a/2.dcm", "s1/a b/3.dcm", "s1/a/_x=1/4.dcm", "s1/_hidden/5.dcm", "s1/.6.dcm", "s2/_7.dcm", "s2/8._COPYING_", "s2/9"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+    (tmp_path / "s2" / "empty.dcm").touch()
+    (tmp_path / "s3").mkdir()
+    listed = files.list_files(spark, f"file://{tmp_path}/")
+    assert "BinaryFile" not in listed._jdf.queryExecution().toString()  # whose list the driver holds
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{tmp_path}").drop("content").filter(files.matches(F.element_at(F.split("path", "/"), -1)))
+    assert sorted(listed.select("path", "modified", "bytes").collect()) == sorted(map(tuple, by_spark.collect()))
+    assert sorted((r.subject or "", r.leaf, r.name) for r in listed.collect()) == [("", "", "1.dcm"), ("s1", "s1/a", "2.dcm"), ("s1", "s1/a b", "3.dcm"), ("s1", "s1/a/_x=1", "4.dcm"), ("s2", "s2", "9")]
+    assert [r.name for r in files.list_files(spark, f"file://{tmp_path}/s1/a/2.dcm").collect()] == ["2.dcm"]
+    assert files.list_files(spark, f"file://{tmp_path}/s3").collect() == []
+    assert files.list_files(spark, f"file://{tmp_path}/s[12]").count() == 4
