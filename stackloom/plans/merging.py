@@ -12,6 +12,8 @@ from stackloom.streaming.merge import OVERWRITE, SKIP, Merge, merge_stream
 
 #: Lines of an order, as they arrive in three deliveries.
 _DELIVERIES = ("l_linenumber <= 2", "l_linenumber between 3 and 4", "l_linenumber > 4")
+#: A delivery has this many files, more if a file would have more than about so many rows.
+_FILES, _FILE_ROWS = 4, 1_000_000
 _ROWS = (
     "concat_ws('.', l_orderkey, l_partkey % 4) AS sop_uid", "concat_ws('.', l_orderkey, l_partkey % 2) AS series_uid", "CAST(l_orderkey div 2 AS STRING) AS study_uid",
     "concat('S', CASE WHEN l_linenumber >= 4 AND l_suppkey % 7 = 0 THEN l_orderkey % 50 + 100 ELSE l_orderkey div 2 % 50 END) AS subject_code", "concat('P', CASE WHEN l_partkey % 997 = 0 THEN 1 ELSE 0 END) AS patient_id",
@@ -21,12 +23,13 @@ _ROWS = (
 
 def _merged(spark: SparkSession, sf_dir: str, policy: str) -> Merge:
     """Three deliveries: two are merged, then the stream stops and goes on with the third."""
-    name, lines = f"merge-{uuid.uuid4().hex[:12]}", spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name, lines = f"merge-{uuid.uuid4().hex[:12]}", spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    files = max(_FILES, -(-lines.count() // (len(_DELIVERIES) * _FILE_ROWS)))
     folder = _shared(spark, f"{name}-in")
     for i, part in enumerate(_DELIVERIES):
-        lines.filter(part).repartition(4, "l_orderkey").write.mode("append").parquet(folder)
+        lines.filter(part).repartition(files, "l_orderkey").write.mode("append").parquet(folder)
         if i:
-            merge = merge_stream(spark, folder, lambda rows: rows.selectExpr(*_ROWS), name, policy, files_per_batch=4)
+            merge = merge_stream(spark, folder, lambda rows: rows.selectExpr(*_ROWS), name, policy, files_per_batch=files)
     return merge
 
 

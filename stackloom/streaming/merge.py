@@ -14,8 +14,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.storagelevel import StorageLevel
 
 from stackloom.streaming.ingest import _shared
 
@@ -58,42 +60,53 @@ class Merge:
     def _write(self, rows: DataFrame, table: str, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch}")
 
-    def accept(self, rows: DataFrame, batch: int) -> tuple[DataFrame, DataFrame | None]:
-        """(accepted rows, one for each SOP UID; the rejected rows' sop_uid, order and file_path)."""
-        columns = [c for c in rows.columns if c != "sop_uid"]
-        pick = F.max if self.policy == OVERWRITE else F.min
-        whole = F.struct(self.order, "file_path", *(c for c in columns if c not in (self.order, "file_path")))
-        chosen = rows.groupBy("sop_uid").agg(pick(whole).alias("r"), F.count("*").alias("__n")).select("sop_uid", "r.*", "__n")
+    def told(self, rows: DataFrame, batch: int) -> DataFrame:
+        """The batch's rows with __i, the row's place within its SOP UID, from 1; unless the policy is
+        overwrite also with __at and __path, order and file_path of the first, and __known, true if an earlier
+        batch has the SOP UID, else null. Rows are shuffled and sorted once for all of it."""
+        whole = [F.col(c) for c in (self.order, "file_path", *(c for c in rows.columns if c not in ("sop_uid", self.order, "file_path")))]
+        by = Window.partitionBy("sop_uid").orderBy(*([c.desc() for c in whole] if self.policy == OVERWRITE else whole))
         if self.policy == OVERWRITE:
-            return chosen.drop("__n").select(*rows.columns), None
+            return rows.repartition("sop_uid").withColumn("__i", F.row_number().over(by))
+        placed = rows.withColumns({"__i": F.row_number().over(by), "__at": F.first(self.order).over(by), "__path": F.first("file_path").over(by)})
         known = self.read(rows.sparkSession, "instances", batch)
-        if known is not None:
+        if known is None:
+            return placed.withColumn("__known", F.lit(None).cast("boolean"))
+        known = known.select("sop_uid")
+        if rows.count() * KEY_BYTES <= SENT_BYTES:
             # The large table is scanned for the batch's keys, which are few; it is not shuffled for them.
-            keys = chosen.select("sop_uid")
-            keys = F.broadcast(keys) if keys.count() * KEY_BYTES <= SENT_BYTES else keys
-            met = known.select("sop_uid").join(keys, "sop_uid", "left_semi").withColumn("__known", F.lit(True))
-            chosen = chosen.join(met, "sop_uid", "left")
-        else:
-            chosen = chosen.withColumn("__known", F.lit(None).cast("boolean"))
-        accepted = chosen.filter("__known is null").select(*rows.columns)
-        # Of a new SOP UID the chosen row is no duplicate; of a known one all rows are.
-        again = rows.join(chosen.filter("__known or __n > 1").select("sop_uid", "__known", F.col(self.order).alias("__at"), F.col("file_path").alias("__path")), "sop_uid")
-        rejected = again.filter(F.col("__known").isNotNull() | (F.col(self.order) != F.col("__at")) | ~F.col("file_path").eqNullSafe(F.col("__path")))
-        return accepted, rejected.select("sop_uid", self.order, "file_path")
+            known = known.join(F.broadcast(rows.select("sop_uid").distinct()), "sop_uid", "left_semi")
+        return placed.join(known.withColumn("__known", F.lit(True)), "sop_uid", "left")
 
     def apply(self, rows: DataFrame, batch: int) -> None:
         """Merge one batch: rows(sop_uid, series_uid, study_uid, subject_code, patient_id, file_path, order, ...)."""
         spark = rows.sparkSession
         rows = rows.filter("sop_uid is not null")
-        accepted, rejected = self.accept(rows, batch)
-        self._write(accepted, "instances", batch)
-        accepted = spark.read.schema(accepted.schema).parquet(f"{self.root}/instances/batch={batch}")
-        for scope, (uid, link) in LINKS.items():
-            held = accepted.filter(F.col(uid).isNotNull()).select(F.col(uid).alias("uid"), F.struct(*link).alias("link"), F.struct(self.order, "file_path").alias("at"))
-            self._write(_folded(held.select("uid", *_extremes(F.col("at"), F.col("link")))), scope, batch)
-        if rejected is not None:
+        told = self.told(rows, batch)
+        if self.policy == OVERWRITE:
+            self._write(told.filter("__i = 1").select(*rows.columns), "instances", batch)
+            self._link(spark, rows.schema, batch)
+            return
+        told = told.persist(StorageLevel.DISK_ONLY)  # two tables are written from it
+        try:
+            self._write(told.filter("__i = 1 and __known is null").select(*rows.columns), "instances", batch)
+            self._link(spark, rows.schema, batch)
+            # Of a new SOP UID the first row is no duplicate; of a known one all rows are.
+            rejected = told.filter(F.col("__known").isNotNull() | (F.col(self.order) != F.col("__at")) | ~F.col("file_path").eqNullSafe(F.col("__path")))
             first = rejected.groupBy(F.col("sop_uid").alias("uid")).agg(F.min(F.struct(self.order, "file_path")).alias("at"))
             self._write(first, "duplicates", batch)
+        finally:
+            told.unpersist()
+
+    def _link(self, spark: SparkSession, schema: StructType, batch: int) -> None:
+        """What the accepted instances of a batch say of their parents."""
+        accepted = spark.read.schema(schema).parquet(f"{self.root}/instances/batch={batch}")
+        for scope, (uid, link) in LINKS.items():
+            at, link = F.struct(self.order, "file_path"), F.struct(*link)
+            first, last, low, high = _extremes(at, link)
+            # The structs are built when rows are aggregated: what is sorted has each column once.
+            held = accepted.filter(F.col(uid).isNotNull()).groupBy(F.col(uid).alias("uid"))
+            self._write(held.agg(F.min(first).alias("first"), F.max(last).alias("last"), F.min(low).alias("low"), F.max(high).alias("high")), scope, batch)
 
     def parents(self, spark: SparkSession, scope: str) -> DataFrame:
         """(uid, the columns linked to, conflict, first_path) of a scope: the last link by order, and
@@ -135,8 +148,9 @@ def _extremes(at, link) -> list:
 
 
 def _folded(rows: DataFrame) -> DataFrame:
-    """One row for each uid; folding folded rows again gives the same."""
-    return rows.groupBy("uid").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+    """One row for each uid; folding folded rows again gives the same. A batch has one row for a uid, so
+    nothing is gained by folding before the shuffle."""
+    return rows.repartition("uid").groupBy("uid").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def merge_stream(spark: SparkSession, files: str, shape: Callable[[DataFrame], DataFrame], name: str, policy: str = SKIP, order: str = "arrival", files_per_batch: int | None = None) -> Merge:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.operators import fingerprint, gapfill
-from stackloom.plans import handling, resuming
+from stackloom.plans import handling, merging, resuming
 from stackloom.sources import files
+from stackloom.streaming import merge
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -67,3 +68,32 @@ def test_files_are_listed_in_tasks(spark, tmp_path):
     assert [r.name for r in files.list_files(spark, f"file://{tmp_path}/s1/a/2.dcm").collect()] == ["2.dcm"]
     assert files.list_files(spark, f"file://{tmp_path}/s3").collect() == []
     assert files.list_files(spark, f"file://{tmp_path}/s[12]").count() == 4
+
+
+def test_a_batch_is_read_twice_at_most(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(merge, "SENT_BYTES", 0)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    schema = "sop_uid string, series_uid string, study_uid string, subject_code string, patient_id string, file_path string, arrival long"
+    batch = lambda lo, hi: spark.range(lo, hi).selectExpr("CAST(id % 70 AS STRING)", "'e'", "'t'", "'S'", "'P'", "CAST(id AS STRING)", "id").toDF(*schema.replace(" string", "").replace(" long", "").split(", "))
+    stream = merge.Merge(f"file://{tmp_path}/tables")
+    stream.apply(batch(0, 50), 0)
+    stream.apply(batch(50, 130).mapInPandas(counted, schema), 1)
+    assert sorted(int(r.file_path) for r in stream.instances(spark).collect()) == list(range(70))
+    assert sorted(int(r.uid) for r in stream.conflicts(spark).collect()) == list(range(60))
+    assert read.value == 160  # counted, then merged
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not here")
+def test_deliveries_have_more_files_with_more_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(merging, "_FILE_ROWS", 300)
+    monkeypatch.setattr(merging, "merge_stream", lambda spark, folder, shape, name, policy, files_per_batch: seen.append((len(spark.read.parquet(folder).inputFiles()), files_per_batch)))
+    merging._merged(spark, SF_DIR, merge.SKIP)
+    n = -(-spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count() // 900)
+    assert n > 4 and seen == [(2 * n, n), (3 * n, n)]
