@@ -45,10 +45,13 @@ def dimension_ids_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_parent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parents without children and children without parents."""
-    studies, files = A.studies(spark, sf_dir), A.instances(spark, sf_dir)
-    childless = studies.join(files.select("study_id"), "study_id", "left_anti").select(F.lit("study without instance").alias("problem"), F.col("study_id").alias("key"))
-    parentless = files.select("study_id").distinct().join(studies.select("study_id"), "study_id", "left_anti").select(F.lit("instance without study").alias("problem"), F.col("study_id").alias("key"))
-    return childless.union(parentless)
+    sides = A.studies(spark, sf_dir).select("study_id", F.lit(1).alias("parent")).union(A.instances(spark, sf_dir).select("study_id", F.lit(0)))
+    met = A.by_key(sides, "study_id").groupBy("study_id").agg(F.sum("parent").alias("parents"), F.sum(1 - F.col("parent")).alias("children"))
+    null = F.col("study_id").isNull()  # matches nothing
+    childless = F.when(null | (F.col("children") == 0), F.col("parents")).otherwise(0).cast("int")
+    parentless = F.when(null | (F.col("parents") == 0), F.least("children", F.lit(1))).otherwise(0).cast("int")
+    problems = F.concat(F.array_repeat(F.lit("study without instance"), childless), F.array_repeat(F.lit("instance without study"), parentless))
+    return met.select(F.explode(problems).alias("problem"), F.col("study_id").alias("key"))
 
 
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:

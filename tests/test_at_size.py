@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.operators import fingerprint, gapfill
-from stackloom.plans import handling, merging, resuming
-from stackloom.sources import files
+from stackloom.plans import handling, ingest, merging, resuming
+from stackloom.sources import adapter, files
 from stackloom.streaming import merge
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -97,3 +97,19 @@ def test_deliveries_have_more_files_with_more_rows(spark, monkeypatch):
     merging._merged(spark, SF_DIR, merge.SKIP)
     n = -(-spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count() // 900)
     assert n > 4 and seen == [(2 * n, n), (3 * n, n)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not here")
+@pytest.mark.parametrize("query", [ingest.orphan_parent_audit])
+def test_tasks_of_keys_stay_of_one_size(spark, monkeypatch, query):
+    monkeypatch.setattr(adapter, "TASK_ROWS", 500)
+    assert query(spark, SF_DIR).rdd.getNumPartitions() >= 12
+
+
+def test_orphans_by_side(spark, tmp_path):
+    studies = [(k, 1, "1-URGENT", dt.date(2020, 1, 1)) for k in (1, 2, 2, 3, None, None)]
+    lines = [(k, 1, 1, 1, 1.0, 1.0, 0.1, 0.1, "A", "O", dt.date(2020, 1, 1)) for k in (3, 3, 4, 4, None, None)]
+    spark.createDataFrame(studies, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_tax double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = sorted((r.problem, r.key or 0) for r in ingest.orphan_parent_audit(spark, str(tmp_path)).collect())
+    assert found == [("instance without study", 0), ("instance without study", 4)] + [("study without instance", k) for k in (0, 0, 1, 2, 2)]
