@@ -21,7 +21,8 @@ def dedupe_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SOP keys that came more than once, or under several series (K4, K9)."""
-    grouped = A.instances(spark, sf_dir).groupBy("sop_uid").agg(F.count("*").alias("n_rows"), F.count_distinct("series_id").alias("n_series"))
+    rows = A.by_key(A.instances(spark, sf_dir).select("sop_uid", "series_id"), "sop_uid")
+    grouped = rows.groupBy("sop_uid").agg(F.count("*").alias("n_rows"), F.count_distinct("series_id").alias("n_series"))
     return grouped.filter("n_rows > 1").select("sop_uid", F.when(F.col("n_series") > 1, "series").otherwise("instance").alias("scope"), "n_rows", "n_series")
 
 

@@ -100,7 +100,7 @@ def test_deliveries_have_more_files_with_more_rows(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not here")
-@pytest.mark.parametrize("query", [ingest.orphan_parent_audit])
+@pytest.mark.parametrize("query", [ingest.orphan_parent_audit, ingest.ingest_conflicts])
 def test_tasks_of_keys_stay_of_one_size(spark, monkeypatch, query):
     monkeypatch.setattr(adapter, "TASK_ROWS", 500)
     assert query(spark, SF_DIR).rdd.getNumPartitions() >= 12
