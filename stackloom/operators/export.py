@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ORIENTATIONS = {"Axial": "Ax", "Coronal": "Cor", "Sagittal": "Sag"}
 SELECTABLE = ("SyMRI", "SWIRecon", "EPIMix", "ProjectionDerived")
 SUFFIXES = {"multi_echo": "e", "multi_ti": "ti"}
+#: Paths that exist are sent to all tasks up to this many bytes, at so many for each.
+SENT_BYTES, PATH_BYTES = 32 << 20, 256
 
 
 def stack_name(several: Column) -> Column:
@@ -24,8 +26,11 @@ def stack_name(several: Column) -> Column:
     parts = F.concat_ws("_", orientation, plain("base"), plain("acquisition_type"), hyphened("modifiers"), plain("technique"), hyphened("accelerations"), hyphened("constructs"))
     named = F.when(parts == "", F.when(spine.isNotNull(), "SC").otherwise("unknown")).otherwise(F.concat_ws("_", spine, parts))
     named = F.when(F.coalesce(F.col("post_contrast"), F.lit(0)) != 0, F.concat(named, F.lit("_CE"))).otherwise(named)
-    suffix = F.coalesce(*(F.when(F.col("stack_key") == k, F.concat(F.lit(f"_{s}"), F.col("stack_index") + 1)) for k, s in SUFFIXES.items()), F.lit(""))
-    return F.when(several, F.concat(named, suffix)).otherwise(named)
+    return F.when(several, F.concat(named, _suffix())).otherwise(named)
+
+
+def _suffix() -> Column:
+    return F.coalesce(*(F.when(F.col("stack_key") == k, F.concat(F.lit(f"_{s}"), F.col("stack_index") + 1)) for k, s in SUFFIXES.items()), F.lit(""))
 
 
 def destination(group_symri: bool = True) -> Column:
@@ -63,12 +68,14 @@ def plan(stacks: DataFrame, layout: str = "bids", group_symri: bool = True, exis
     folder are numbered by series time (nulls last) and stack index.
 
     layout `bids` is sub-<code>/ses-<date>/<folder>/<name>, `flat` puts all of it into one name.
-    existing(path) lists what is there already: those stacks are marked skip. Series are counted
-    and joined, stacks without one are in none; the window is over subject, date, folder and name.
+    existing(path) lists what is there already: those stacks are marked skip. Names are built before rows are
+    shuffled, so that what only they need stays behind; stacks are counted in their series by a window, those
+    without one are in none; the second window is over subject, date, folder and name.
     """
-    shared = stacks.filter("series_id IS NOT NULL").groupBy("series_id").count().filter("count > 1").select("series_id", F.lit(True).alias("__several"))
-    rows = stacks.join(shared, "series_id", "left").withColumns({"several": F.coalesce("__several", F.lit(False)), "folder": destination(group_symri)})
-    rows = rows.drop("__several").withColumn("base_name", stack_name(F.col("several"))).drop("several")
+    rows = stacks.withColumns({"folder": destination(group_symri), "__named": stack_name(F.lit(False)), "__suffix": _suffix()})
+    alone = F.when(F.col("series_id").isNull(), F.col("stack_id"))  # stacks without a series are no group
+    several = F.col("series_id").isNotNull() & (F.count("*").over(Window.partitionBy("series_id", alone)) > 1)
+    rows = rows.withColumn("base_name", F.when(several, F.concat("__named", "__suffix")).otherwise(F.col("__named"))).drop("__named", "__suffix")
     same = Window.partitionBy("subject_code", "study_date", "folder", "base_name")
     number = F.row_number().over(same.orderBy(F.coalesce(F.col("series_time"), F.lit("zzz")), "stack_index", "stack_id"))
     rows = rows.withColumn("name", F.when(F.count("*").over(same) > 1, F.concat_ws("_", "base_name", number)).otherwise(F.col("base_name")))
@@ -77,7 +84,9 @@ def plan(stacks: DataFrame, layout: str = "bids", group_symri: bool = True, exis
     rows = rows.withColumn("path", path)
     if existing is None:
         return rows.withColumn("skip", F.lit(False))
-    there = existing.select("path").distinct().withColumn("__there", F.lit(True))
+    there = existing.select("path").distinct()
+    few = there.count() * PATH_BYTES <= SENT_BYTES
+    there = (F.broadcast(there) if few else there).withColumn("__there", F.lit(True))
     return rows.join(there, "path", "left").withColumn("skip", F.col("__there").isNotNull()).drop("__there")
 
 

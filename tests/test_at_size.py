@@ -6,8 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stackloom.operators import fingerprint, gapfill
-from stackloom.plans import handling, ingest, merging, resuming
+from stackloom.operators import export, fingerprint, gapfill
+from stackloom.plans import archive, classification, handling, ingest, merging, resuming
 from stackloom.sources import adapter, files
 from stackloom.streaming import merge
 
@@ -113,3 +113,31 @@ def test_orphans_by_side(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_tax double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
     found = sorted((r.problem, r.key or 0) for r in ingest.orphan_parent_audit(spark, str(tmp_path)).collect())
     assert found == [("instance without study", 0), ("instance without study", 4)] + [("study without instance", k) for k in (0, 0, 1, 2, 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not here")
+def test_texts_are_digested_before_they_are_packed(spark, monkeypatch):
+    seen, plain = [], archive.pack_ffd
+    monkeypatch.setattr(archive, "pack_ffd", lambda items, *args: (seen.append(items.columns), plain(items, *args))[1])
+    assert archive.archive_manifest(spark, SF_DIR).filter("sha256 is null").count() == 0
+    assert seen == [["source", "doc_id", "n_chars", "sha256"]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not here")
+def test_names_are_built_before_stacks_are_shuffled(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        skipped = []
+        for sent, shuffles in ((export.SENT_BYTES, 3), (0, 4)):  # series, names and the distinct paths; beyond, rows go by path, too
+            monkeypatch.setattr(export, "SENT_BYTES", sent)
+            planned = classification.export_plan(spark, SF_DIR)
+            lines = planned._jdf.queryExecution().executedPlan().toString().splitlines()
+            exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+            assert len(exchanges) == shuffles
+            below = next(lines[i + 1] for i in exchanges if "hashpartitioning(series_id" in lines[i])
+            assert "__suffix" in below and not any(f" AS {c}#" in below or f"[{c}#" in below or f", {c}#" in below.split(" AS ")[-1] for c in ("technique", "base", "modifiers"))
+            skipped.append(planned.filter("skip").count())
+        assert skipped[0] == skipped[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
