@@ -79,7 +79,8 @@ def pack_ffd(items: DataFrame, group: str, name: str, size: str, limit: int, par
     """Adds `part` and `chunk`: items of a group, largest first (equal sizes by name), go to the
     first chunk that they leave within the limit, else to a new one. An item beyond the limit has a
     chunk of its own, into which nothing else goes but items without a size. Null and negative
-    sizes count as 0; null groups are one group.
+    sizes count as 0; null groups are one group. All columns of items pass through the tasks' Python, the
+    largest items together: leave contents out, or digest them before.
 
     A group of up to part_items items is one part, packed exactly so, in a task that holds a number
     for each chunk. A larger one is dealt by hash into parts of about that many, each packed

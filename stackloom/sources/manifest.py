@@ -145,8 +145,9 @@ def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(parts, header=True, schema=schema, multiLine=True, escape='"')
 
 
-def archive_members(packed: DataFrame, group: str, name: str, size: str, content: Column | None = None) -> DataFrame:
+def archive_members(packed: DataFrame, group: str, name: str, size: str, content: Column | None = None, digest: Column | None = None) -> DataFrame:
     """(group, chunk, member, bytes, sha256) of packed items (pack_ffd) for an archive's manifest; content
-    is what the digest is of."""
-    digest = F.sha2(content, 256) if content is not None else F.lit(None).cast("string")
+    is what the digest is of. Large contents are digested before they are packed: give the digest then."""
+    if digest is None:
+        digest = F.sha2(content, 256) if content is not None else F.lit(None).cast("string")
     return packed.select(group, "chunk", F.col(name).alias("member"), F.col(size).alias("bytes"), digest.alias("sha256"))
