@@ -203,9 +203,12 @@ def audit_events(tags: DataFrame, ids: DataFrame, categories: tuple[str, ...] =
     rows = tags.withColumn("value", value)
     own = rows.groupBy("path").agg(*(F.min(F.when(F.col("tag") == t, F.col("value"))).alias(n) for n, t in (("__patient", PATIENT_ID), ("study_uid", STUDY_UID), ("__date", STUDY_DATE))))
     own = own.withColumn("__day", F.when(F.col("__date").rlike(r"^\d{8}$"), F.try_to_date("__date", "yyyyMMdd")))
-    first = own.filter("__patient IS NOT NULL").groupBy("__patient").agg(F.min("__day").alias("__first"))
-    table = ids.groupBy(F.trim("old_id").alias("__patient")).agg(F.max(F.trim("new_id")).alias("__new"))
-    files = own.join(first, "__patient", "left").join(table, "__patient", "left")
+    # Tables of files and patients grow with the input, yet look small by the size of compressed files: none may be broadcast. Files
+    # without a patient are dealt by their paths, behind a blank that no trimmed id begins with.
+    table = ids.select(F.trim("old_id").alias("__key"), F.lit(None).cast("date").alias("__day"), F.trim("new_id").alias("__new"))
+    patients = own.select(F.col("__patient").alias("__key"), "__day", F.lit(None).cast("string").alias("__new")).union(table)
+    patients = patients.filter("__key IS NOT NULL").groupBy("__key").agg(F.min("__day").alias("__first"), F.max("__new").alias("__new"))
+    files = own.withColumn("__key", F.coalesce("__patient", F.concat(F.lit(" "), "path"))).join(patients.hint("merge"), "__key", "left")
     # Months and labels are columns of the files: put into the actions, which repeat them, they make an expression that no compiler takes.
     label = F.when(F.col("__day").isNotNull(), month_label(F.col("__months"))) if timepoints else F.lit(None).cast("string")
     files = files.withColumn("__months", months_apart(F.col("__first"), F.col("__day"))).withColumn("__label", label)
@@ -216,5 +219,6 @@ def audit_events(tags: DataFrame, ids: DataFrame, categories: tuple[str, ...] =
     dated = (F.col("tag") == STUDY_DATE) & F.col("value").isNotNull()
     new = F.when(mapped.isNotNull(), mapped).when(dated & F.col("__patient").isNotNull(), F.col("__label"))
     action = F.when(mapped.isNotNull(), "replaced").when(dated, F.when(new.isNotNull(), "replaced").otherwise("retained")).when(listed, "removed")
-    joined = rows.join(files, "path").withColumns({"action": action, "new_value": F.when(action == "removed", "").otherwise(F.coalesce(new, F.lit("")))})
+    touched = rows.filter((F.col("tag") == PATIENT_ID) | dated | listed)  # no other element gives an event
+    joined = touched.join(files.hint("merge"), "path").withColumns({"action": action, "new_value": F.when(action == "removed", "").otherwise(F.coalesce(new, F.lit("")))})
     return joined.filter("action IS NOT NULL").select("path", "study_uid", "tag", "name", "action", F.coalesce("value", F.lit("")).alias("old_value"), "new_value")

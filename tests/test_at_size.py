@@ -23,6 +23,12 @@ def test_deidentification_events_compile(spark):
         spark.conf.unset("spark.sql.codegen.fallback")
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not here")
+def test_files_of_events_are_never_broadcast(spark):
+    plan = handling.deidentification_events(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def test_item_events_go_by_line_whatever_the_part(spark, tmp_path):
     day = dt.date(2020, 1, 1)
     # Line 1 confirms, line 2 reviews, which may not follow; the other way round both would be applied.
