@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.operators import export, fingerprint, gapfill
-from stackloom.plans import archive, classification, handling, ingest, merging, resuming
+from stackloom.plans import archive, classification, fingerprints, handling, ingest, merging, resuming
 from stackloom.sources import adapter, files
 from stackloom.streaming import merge
 
@@ -60,6 +60,18 @@ def test_texts_of_series_are_joined_last(spark):
     assert ["series_id#" in line for line in joins] == [True] * 4 + [False] * 2  # from the last join to the first
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the test tables are not here")
+def test_stacks_are_shuffled_by_study_and_series_alone(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fingerprints.stack_fingerprints(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        keys = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert "series_stack_id" not in keys and keys.count("study_id") == 3  # instances twice, and studies
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_files_are_listed_in_tasks(spark, tmp_path):
     for path in ("1.dcm", "s1/a/2.dcm", "s1/a b/3.dcm", "s1/a/_x=1/4.dcm", "s1/_hidden/5.dcm", "s1/.6.dcm", "s2/_7.dcm", "s2/8._COPYING_", "s2/9"):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
