@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,21 +36,17 @@ def pack_ordered(items: DataFrame, group: str, name: str, size: str, limit: int)
     return items.repartition(group).sortWithinPartitions(group, name).mapInPandas(fold, schema)
 
 
-#: Items of a group up to which one task packs them; larger groups are cut into parts.
-PART_ITEMS = 1_000_000
-
-
 class FirstFit:
     """Bins in a tournament tree: each node holds the most room below it, so the first bin with
     room is found in log time."""
 
     def __init__(self, limit: int):
         self.limit, self.bins, self.leaves = limit, 0, 1
-        self.room = [-1, -1]
+        self.room = array("q", (-1, -1))
 
     def _grow(self) -> None:
         old, n = self.room[self.leaves : self.leaves + self.bins], self.leaves * 2
-        self.leaves, self.room = n, [-1] * (2 * n)
+        self.leaves, self.room = n, array("q", (-1,)) * (2 * n)
         self.room[n : n + len(old)] = old
         for i in range(n - 1, 0, -1):
             self.room[i] = max(self.room[2 * i], self.room[2 * i + 1])
@@ -82,18 +79,19 @@ def pack_ffd(items: DataFrame, group: str, name: str, size: str, limit: int, par
     sizes count as 0; null groups are one group. All columns of items pass through the tasks' Python, the
     largest items together: leave contents out, or digest them before.
 
-    A group of up to part_items items is one part, packed exactly so, in a task that holds a number
-    for each chunk. A larger one is dealt by hash into parts of about that many, each packed
-    alone and numbered on: no task sees the whole group. First fit leaves at most one chunk of a
-    part half empty, so all parts together take at most 2 x (sum of sizes / limit) + items beyond the
-    limit + one chunk for each part.
+    A group is one part, whatever its size: first fit is a fold over its sorted items, which stream through one task
+    that holds two numbers for each chunk. Only if part_items is given are larger groups dealt by hash into parts
+    of about that many, each packed alone and numbered on; the packing is another one then. First fit leaves
+    at most one chunk of a part half empty, so all parts together take at most 2 x (sum of sizes / limit) +
+    items beyond the limit + one chunk for each part.
     """
-    part_items = part_items or PART_ITEMS
-    spread = lambda parts: F.pmod(F.xxhash64(name, size), parts).cast("int")
-    counted = items.groupBy(F.col(group).alias("__group")).agg(F.ceil(F.count("*") / part_items).cast("int").alias("__parts"))
-    counted = counted.filter("__parts > 1")  # what is joined are the few large groups
-    rows = items.join(counted, F.col(group).eqNullSafe(F.col("__group")), "left")
-    rows = rows.withColumn("part", F.when(F.col("__parts") > 1, spread(F.col("__parts"))).otherwise(0)).drop("__group", "__parts")
+    rows = items.withColumn("part", F.lit(0))
+    if part_items:
+        spread = lambda parts: F.pmod(F.xxhash64(name, size), parts).cast("int")
+        counted = items.groupBy(F.col(group).alias("__group")).agg(F.ceil(F.count("*") / part_items).cast("int").alias("__parts"))
+        counted = counted.filter("__parts > 1")  # what is joined are the few large groups
+        rows = items.join(counted, F.col(group).eqNullSafe(F.col("__group")), "left")
+        rows = rows.withColumn("part", F.when(F.col("__parts") > 1, spread(F.col("__parts"))).otherwise(0)).drop("__group", "__parts")
     rows = rows.withColumn("__size", F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)))
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

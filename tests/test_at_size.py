@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stackloom.operators import export, fingerprint, gapfill
+from stackloom.operators import export, fingerprint, gapfill, packing
 from stackloom.plans import archive, classification, fingerprints, handling, ingest, merging, resuming
 from stackloom.sources import adapter, files
 from stackloom.streaming import merge
@@ -159,3 +159,14 @@ def test_names_are_built_before_stacks_are_shuffled(spark, monkeypatch):
         assert skipped[0] == skipped[1]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_large_group_is_packed_as_a_small_one(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_ITEMS", 50, raising=False)  # from where groups were cut
+    packed = packing.pack_ffd(spark.range(300).selectExpr("'g' AS g", "id", "id * 37 % 101 AS size"), "g", "id", "size", 100)
+    used, want = [], []
+    for size, i in sorted((-(i * 37 % 101), i) for i in range(300)):
+        at = next((k for k, u in enumerate(used) if u - size <= 100), len(used))
+        used[at:at + 1] = [(used[at] if at < len(used) else 0) - size]
+        want.append((i, 0, at))
+    assert sorted((r.id, r.part, r.chunk) for r in packed.collect()) == sorted(want)
