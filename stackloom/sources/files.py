@@ -22,9 +22,19 @@ def matches(name: Column, mode: str = "all") -> Column:
 
 #: Roots that tasks list with pyarrow: no patterns, and nothing that a URI would have to escape.
 _PLAIN_ROOT = re.compile(r"(file|hdfs|s3[an]?|gs)://?[^*?\[\]{}\\%#\s]*$")
+_BARE_ROOT = re.compile(r"/[^*?\[\]{}\\%#\s:]*$")
 _LISTED = "path string, bytes long, modified long, folder boolean"
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root with the scheme that Spark reads it by, if it is a path without one; other roots as they are."""
+    if not _BARE_ROOT.match(root):
+        return root
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
+
+
 def _lister(root: str):
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -66,6 +76,7 @@ def list_files(spark: SparkSession, root: str, mode: str = "all") -> DataFrame:
     own folder. Listing runs in tasks, one for some folders of a level, when this is called; contents are
     not read. Only roots that pyarrow does not open, or that are patterns, are listed by Spark itself,
     which holds the whole list on the driver."""
+    root = qualified(spark, root)
     base = root.rstrip("/") + "/"
     if _PLAIN_ROOT.match(root):
         listed = _walked(spark, root)
